@@ -27,9 +27,9 @@ def smoke_input(spark: SparkSession, n: int = 64) -> DataFrame:
 
 
 def read_lookup(spark: SparkSession, path: str, value: str = "double", key_name: str = "key",
-                value_name: str = "value") -> DataFrame:
-    """One JSON object `{key: value, ...}` per file as rows `(key, value)`."""
-    text = spark.read.text(path, wholetext=True)
+                value_name: str = "value", one_per_line: bool = False) -> DataFrame:
+    """JSON objects `{key: value, ...}`, one per file or one per line, as rows `(key, value)`."""
+    text = spark.read.text(path, wholetext=not one_per_line)
     parsed = text.select(F.from_json("value", f"map<string,{value}>").alias("entries"))
     return parsed.select(F.explode("entries").alias(key_name, value_name))
 
