@@ -26,6 +26,21 @@ def text_codes(column: pa.Array, alphabet: Alphabet) -> tuple[np.ndarray, np.nda
     return table[text], bounds
 
 
+def framed_codes(column: pa.Array, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids with cls before and eos after each row, the row starts and the row lengths."""
+    codes, bounds = text_codes(column, alphabet)
+    lengths = np.diff(bounds)
+    starts = bounds[:-1] + 2 * np.arange(len(lengths))
+    ends = starts + lengths + 1
+    framed = np.empty(len(codes) + 2 * len(lengths), np.int32)
+    body = np.ones(len(framed), bool)
+    body[starts] = body[ends] = False
+    framed[body] = codes
+    framed[starts] = alphabet.cls_id
+    framed[ends] = alphabet.eos_id
+    return framed, starts, lengths + 2
+
+
 def list_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of an integer list column, and the row boundaries among them."""
     bounds = column.offsets.to_numpy().astype(np.int64)
@@ -43,7 +58,7 @@ def pad_rows(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width:
 
 
 def list_column(rows: np.ndarray) -> pa.Array:
-    """A float matrix as a column of lists."""
+    """A matrix as a column of lists."""
     count, width = rows.shape
     bounds = pa.array(np.arange(count + 1, dtype=np.int32) * width)
     return pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(rows).ravel()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,26 +50,18 @@ def map_batches(df: DataFrame, factory: Callable[[], Callable[[Columns], Columns
     return df.mapInArrow(run, schema, profile=profile)
 
 
+@dataclass(frozen=True)
 class Doubler:
-    """Factory for the smoke job: doubles `value` and names the process that did it."""
+    """Factory for the smoke job: doubles `value` and names the device it ran on."""
 
-    def __init__(self, device: str = "cpu"):
-        self.device = device
+    device: str = "cpu"
 
     def __call__(self):
-        device = self.device
-
         def double(columns: Columns) -> Columns:
             return {
                 "id": columns["id"],
                 "doubled": columns["value"] * 2,
-                "device": np.full(len(columns["id"]), device, dtype=object),
+                "device": np.full(len(columns["id"]), self.device, dtype=object),
             }
 
         return double
-
-    def __hash__(self):
-        return hash(self.device)
-
-    def __eq__(self, other):
-        return isinstance(other, Doubler) and self.device == other.device

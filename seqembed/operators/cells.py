@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stage
 from .lookup import lookup_join
 from .rank import row_numbers, top_per_group
 from .rows import limit_rows
@@ -58,13 +59,11 @@ def log1p(df: DataFrame) -> DataFrame:
 
 def gene_medians(df: DataFrame) -> DataFrame:
     """Median of the non-zero values of each gene; the mean of the middle two for even counts."""
-    ranked = row_numbers(df.select("gene_id", "cell_id", "value").filter(F.col("value") > 0),
-                         ["value", "cell_id"], ["gene_id"], name="rank")
-    counts = ranked.groupBy("gene_id").agg(F.max("rank").alias("n"))
+    present = stage(df.select("gene_id", "cell_id", "value").filter(F.col("value") > 0), "present")
+    ranked = row_numbers(present, ["value", "cell_id"], ["gene_id"], name="rank", size="n")
     middle = (F.col("rank") == F.floor((F.col("n") + 1) / 2)) | (
         F.col("rank") == F.floor(F.col("n") / 2) + 1)
-    return (ranked.join(counts, "gene_id").filter(middle)
-            .groupBy("gene_id").agg(F.avg("value").alias("median")))
+    return ranked.filter(middle).groupBy("gene_id").agg(F.avg("value").alias("median"))
 
 
 def scale_by_median(df: DataFrame, medians: DataFrame) -> DataFrame:
@@ -112,14 +111,14 @@ def rank_genes(df: DataFrame, top: int) -> DataFrame:
 
 
 def _all_ranks(df: DataFrame, order: list) -> DataFrame:
-    ranked = row_numbers(df, order, ["cell_id"], name="rank")
-    sizes = ranked.groupBy("cell_id").agg(F.max("rank").alias("n"))
-    return ranked.join(sizes, "cell_id")
+    """Add the `rank` of each non-zero gene of a cell and their number `n`."""
+    present = stage(df.filter(F.col("value") > 0), "present")
+    return row_numbers(present, order, ["cell_id"], name="rank", size="n")
 
 
 def continuous_rank(df: DataFrame) -> DataFrame:
     """Add `rank_value` = (n - rank + 1) / n over the non-zero genes of a cell: the largest gets 1."""
-    ranked = _all_ranks(df.filter(F.col("value") > 0), [F.desc("value"), "gene_id"])
+    ranked = _all_ranks(df, [F.desc("value"), "gene_id"])
     return ranked.withColumn(
         "rank_value", (F.col("n") - F.col("rank") + 1) / F.col("n")).drop("n", "rank")
 
@@ -129,7 +128,7 @@ def bin_values(df: DataFrame, bins: int) -> DataFrame:
 
     When the sizes cannot be equal the first bins have one gene more.
     """
-    ranked = _all_ranks(df.filter(F.col("value") > 0), ["value", "gene_id"])
+    ranked = _all_ranks(df, ["value", "gene_id"])
     size = F.floor(F.col("n") / bins)
     longer = F.pmod(F.col("n"), F.lit(bins))
     in_longer = longer * (size + 1)

@@ -25,6 +25,7 @@ from .rank import row_numbers, top_per_group
 
 MAX_PIVOTS = 256
 MAX_BLOCKS = 200_000
+QUERY_ROWS = 1024
 SIM_DIGITS = 12
 # Allowance for rounding: similarities are good to 1e-12, chords near 0 to about 1e-6.
 SLACK = 1e-5
@@ -56,11 +57,15 @@ def knn_cosine(df: DataFrame, k: int = 15, id_column: str = "vec_id", vector: st
     total = placed.select("rep").distinct().count()
     size = max(block_rows, math.ceil(total / MAX_BLOCKS))
     ranked = row_numbers(distinct, ["dist", "rep"], ["pivot"], name="place")
-    blocked = stage(ranked.select(
+    # At most MAX_PIVOTS rows. A pivot's slices are of equal size, none is a short rest.
+    of_pivot = distinct.groupBy("pivot").agg(F.count("*").alias("n"))
+    slices = F.ceil(F.col("n") / size)
+    blocked = stage(ranked.join(F.broadcast(of_pivot), "pivot").select(
         "rep", "pivot", "vector", "dist",
-        F.floor((F.col("place") - 1) / size).cast("int").alias("slice")), "knn-blocks")
+        F.floor((F.col("place") - 1) * slices / F.col("n")).cast("int").alias("slice")), "knn-blocks")
     # At most MAX_BLOCKS + MAX_PIVOTS rows.
-    bounds = (blocked.groupBy("pivot", "slice").agg(F.min("dist").alias("low"), F.max("dist").alias("high"))
+    bounds = (blocked.groupBy("pivot", "slice")
+              .agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n"))
               .orderBy("pivot", "slice").toPandas())
     blocks = spark.createDataFrame(
         bounds[["pivot", "slice"]].assign(block=range(len(bounds))), "pivot int, slice int, block int")
@@ -113,7 +118,7 @@ def _pivots(rows: DataFrame, block_rows: int) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _chord(sims: np.ndarray) -> np.ndarray:
+def _chord(sims):
     """Straight-line distance of unit vectors with these cosines."""
     return np.sqrt(np.maximum(2 - 2 * sims, 0))
 
@@ -165,26 +170,34 @@ class _HomeSearch:
     def __call__(self, frame: pd.DataFrame) -> pd.DataFrame:
         vectors, names = _matrix(frame["vector"]), frame["rep"].to_numpy()
         home = int(frame["block"].iloc[0])
-        sims = np.round(vectors @ vectors.T, SIM_DIGITS)
-        np.fill_diagonal(sims, -np.inf)
-        least = _best(sims, self.k)
         found, near, visits = [], [], []
-        for row, cut in enumerate(least):
-            hits = np.flatnonzero((sims[row] >= cut) & (sims[row] > -np.inf))
-            found.append(names[hits].tolist())
-            near.append(sims[row, hits].tolist())
-        for row, blocks in enumerate(self._reachable(vectors, home, least)):
-            visits.append(blocks[blocks != home].tolist())
+        for start in range(0, len(vectors), QUERY_ROWS):
+            part = vectors[start:start + QUERY_ROWS]
+            sims = np.round(part @ vectors.T, SIM_DIGITS)
+            sims[np.arange(len(part)), start + np.arange(len(part))] = -np.inf
+            least = _best(sims, self.k)
+            for row, cut in zip(sims, least):
+                hits = np.flatnonzero((row >= cut) & (row > -np.inf))
+                found.append(names[hits].tolist())
+                near.append(row[hits].tolist())
+            for blocks in self._reachable(part, home, least):
+                visits.append(blocks[blocks != home].tolist())
         return pd.DataFrame({"rep": names, "block": home, "found": found, "sims": near, "visits": visits})
 
     def _reachable(self, vectors, home, least) -> Iterator[np.ndarray]:
+        """Blocks that may hold a row within the distance of the k-th neighbour, per query."""
         pivots, bounds = self.pivots.value, self.bounds.value
         of_block = bounds["pivot"].to_numpy()
         low, high = bounds["low"].to_numpy(), bounds["high"].to_numpy()
+        sizes = bounds["n"].to_numpy().copy()
+        sizes[home] -= 1
         centre = of_block[home]
         apart = _chord(pivots @ pivots[centre])
-        limits = np.where(np.isfinite(least), _chord(np.where(np.isfinite(least), least, 1)), np.inf)
-        for row, reach in zip(_chord(vectors @ pivots.T), limits):
+        for row, cut in zip(_chord(vectors @ pivots.T), least):
+            if np.isfinite(cut):
+                reach = _chord(cut)
+            else:
+                reach = _k_within(row[of_block] + high, sizes, self.k)
             # Rows of another pivot lie beyond the plane halfway between it and ours.
             beyond = (row ** 2 - row[centre] ** 2) / np.maximum(2 * apart, SLACK)
             beyond[apart < SLACK] = 0
@@ -192,6 +205,13 @@ class _HomeSearch:
             yield np.flatnonzero(gap <= reach + SLACK)
 
 
+def _k_within(farthest: np.ndarray, sizes: np.ndarray, k: int) -> float:
+    """A distance within which the blocks of these sizes and farthest rows hold `k` rows."""
+    order = np.argsort(farthest)
+    enough = np.cumsum(sizes[order]) >= k
+    return farthest[order[np.argmax(enough)]] if enough.any() else np.inf
+
+
 class _PairSearch:
     """The nearest rows of one block for the visiting rows of another."""
 
@@ -199,10 +219,14 @@ class _PairSearch:
         self.k = k
 
     def __call__(self, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        sims = np.round(_matrix(queries["q_vector"]) @ _matrix(candidates["vector"]).T, SIM_DIGITS)
-        row, column = np.nonzero(sims >= _best(sims, self.k)[:, None])
-        return pd.DataFrame({
-            "rep": queries["q_rep"].to_numpy()[row],
-            "other": candidates["rep"].to_numpy()[column],
-            "sim": sims[row, column],
-        })
+        vectors, others = _matrix(queries["q_vector"]), _matrix(candidates["vector"])
+        parts = []
+        for start in range(0, len(vectors), QUERY_ROWS):
+            sims = np.round(vectors[start:start + QUERY_ROWS] @ others.T, SIM_DIGITS)
+            row, column = np.nonzero(sims >= _best(sims, self.k)[:, None])
+            parts.append(pd.DataFrame({
+                "rep": queries["q_rep"].to_numpy()[start + row],
+                "other": candidates["rep"].to_numpy()[column],
+                "sim": sims[row, column],
+            }))
+        return pd.concat(parts)

@@ -11,19 +11,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import ship_package, stage
 
+# A key of up to this many rows is sorted by one task.
+WINDOW_ROWS = 2_000_000
+MAX_SALTS = 4096
 _WITHIN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
 def row_numbers(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] = (),
-                name: str = "row_number") -> DataFrame:
+                name: str = "row_number", size: str | None = None) -> DataFrame:
     """Number the rows of each key 1, 2, ... in `order`; with no keys, number the whole table.
 
-    `order` must not leave ties. Rows are range-partitioned on (keys, order), so a hot key is
-    cut into as many pieces as its size asks for. Each partition counts its own rows, and
-    the counts of the earlier partitions are added on. The numbered partitions are staged, as
-    counts and rows have to come from the same split.
+    `order` must not leave ties. `size` names a further column with the rows of the key.
+
+    Keys are counted first, so `df` is best a scan or a staged table. While the largest key is
+    small, a window does. Otherwise, and for a whole table, rows are range-partitioned on (keys,
+    order), so a hot key is cut into as many pieces as its size asks for. Each partition counts its
+    own rows, and the counts of the earlier partitions are added on. The numbered partitions are
+    staged, as counts and rows have to come from the same split.
     """
     columns = df.columns
+    if keys and largest_group(df, keys) <= WINDOW_ROWS:
+        whole = Window.partitionBy(*keys)
+        numbered = df.select("*", F.row_number().over(whole.orderBy(*order)).cast("long").alias(name))
+        return numbered.withColumn(size, F.count("*").over(whole)) if size else numbered
+
     ordering = [*keys, *order]
     ranged = (df.repartitionByRange(*ordering).sortWithinPartitions(*ordering)
               .withColumn("_part", F.spark_partition_id()))
@@ -36,14 +47,26 @@ def row_numbers(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str
         numbered = ranged.withColumn("_pos", position)
     staged = stage(numbered, "row-numbers")
 
-    sizes = staged.groupBy(*keys, "_part").agg(F.max("_pos").alias("_size"))
+    counts = staged.groupBy(*keys, "_part").agg(F.max("_pos").alias("_count"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition at most: only the first key of a partition can begin in an earlier one.
-    offsets = (sizes.select(*keys, "_part", F.sum("_size").over(earlier).alias("_before"))
+    offsets = (counts.select(*keys, "_part", F.sum("_count").over(earlier).alias("_before"))
                .filter(F.col("_before") > 0))
     joined = staged.join(F.broadcast(offsets), [*keys, "_part"], "left")
     number = F.col("_pos") + F.coalesce("_before", F.lit(0))
-    return joined.select(*columns, number.alias(name))
+    numbered = joined.select(*columns, number.alias(name))
+    if size:
+        totals = counts.groupBy(*keys).agg(F.sum("_count").alias(size))
+        numbered = numbered.join(totals, list(keys)) if keys else numbered.withColumn(
+            size, totals.scalar())
+        numbered = numbered.select(*columns, name, size)
+    return numbered
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the most frequent key, 0 for an empty table."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
 class _RunCounter:
@@ -80,14 +103,17 @@ def _differs(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int,
-                  spread: Sequence[str], name: str = "rank", salts: int = 32) -> DataFrame:
+                  spread: Sequence[str], name: str = "rank") -> DataFrame:
     """The first `k` rows of each key in `order`, with their rank.
 
-    A key is cut into `salts` slices on the hash of the `spread` columns. A row outside the
-    first `k` of its slice cannot be among the first `k` of the key, so the second step sees
-    at most `salts * k` rows per key.
+    A key is cut into as many slices as a shuffle has partitions, on the hash of the `spread`
+    columns, so even one key that fills the table is spread over all tasks. A row outside the first
+    `k` of its slice cannot be among the first `k` of the key, so the second step sees at most
+    slices times `k` rows per key.
     """
     columns = df.columns
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = min(partitions, MAX_SALTS)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     slice_order = Window.partitionBy(*keys, "_salt").orderBy(*order)
     key_order = Window.partitionBy(*keys).orderBy(*order)

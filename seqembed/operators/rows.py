@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .rank import row_numbers
 
-DRIVER_LIMIT = 10_000
+# A longer limit would gather too much in its last task.
+TOP_ROWS = 1_000
 
 
 def limit_rows(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
@@ -19,7 +20,7 @@ def limit_rows(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFram
     """
     if n <= 0:
         return df
-    if n <= DRIVER_LIMIT:
+    if n <= TOP_ROWS:
         return df.orderBy(*order).limit(n)
     return row_numbers(df, order, name="_row").filter(F.col("_row") <= n).drop("_row")
 
@@ -45,6 +46,16 @@ def drop_values(df: DataFrame, column: str, values: Sequence | DataFrame) -> Dat
     return df.filter(F.col(column).isNull() | ~F.col(column).isin(list(values)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a file scan with fewer splits than there are task slots over all slots.
+
+    Meant for costly work on a small input. A scan that fills the slots stays as it is, so what is
+    shuffled is less than one split per slot.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def hash_split(df: DataFrame, n: int, key: str, name: str = "node") -> DataFrame:
     """Assign each row to one of `n` groups of nearly equal size, without a shuffle."""
     return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))

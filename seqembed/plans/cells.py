@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import cells as ops
 from ..operators.rows import cap_keys, drop_values
+from ..session import stage
 from ..sources.cells import read_cells
 
 
@@ -42,7 +43,8 @@ def preprocess(counts: DataFrame, medians: DataFrame | None = None,
         pairs = pairs.join(ops.hvg(pairs, settings.hvg).select("gene_id"), "gene_id", "left_semi")
     values = ops.normalize_total(pairs, settings.normalized_total)
     if settings.compute_medians:
-        medians = ops.gene_medians(values)
+        values = stage(values, "values")
+        medians = stage(ops.gene_medians(values), "medians")
     if medians is not None:
         values = ops.scale_by_median(values, medians)
     return ops.log1p(values) if settings.log1p else values

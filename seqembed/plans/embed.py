@@ -10,7 +10,7 @@ from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.alphabet import PROTEIN, Alphabet
-from ..functions.arrays import list_codes, list_column, pad_rows, text_codes
+from ..functions.arrays import framed_codes, list_codes, list_column, pad_rows
 from ..functions.models import StandIn, resident
 from ..functions.pooling import POOLS
 from ..session import ship_package
@@ -64,16 +64,7 @@ class _SequenceReader:
         self.alphabet = alphabet
 
     def __call__(self, batch: pa.RecordBatch):
-        codes, bounds = text_codes(batch.column("sequence"), self.alphabet)
-        lengths = np.diff(bounds)
-        framed = np.empty(len(codes) + 2 * len(lengths), np.int32)
-        starts = bounds[:-1] + 2 * np.arange(len(lengths))
-        body = np.ones(len(framed), bool)
-        body[starts] = body[starts + lengths + 1] = False
-        framed[body] = codes
-        framed[starts] = self.alphabet.cls_id
-        framed[starts + lengths + 1] = self.alphabet.eos_id
-        return framed, starts, lengths + 2, None
+        return *framed_codes(batch.column("sequence"), self.alphabet), None
 
 
 def _read_tokens(batch: pa.RecordBatch):

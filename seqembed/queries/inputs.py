@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.rows import spread
 from ..sources.cells import read_cells
 from ..sources.tables import read_stage
 
@@ -19,7 +20,7 @@ def letters(text: str = "text") -> Column:
 
 def sequences(spark: SparkSession, folder: str) -> DataFrame:
     """`(seq_id, sequence)`: the letters of each document."""
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("doc_"), F.col("doc_id")).alias("seq_id"), letters().alias("sequence"))
 
 
@@ -29,7 +30,8 @@ SEQUENCES_SQL = f"sequences AS (SELECT 'doc_' || doc_id AS seq_id, {LETTERS_SQL}
 
 def raw_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Counts per line item: the supplier is the cell, the part the gene, the quantity the count."""
-    return table(spark, folder, "lineitem").select(
+    lines = spread(table(spark, folder, "lineitem").select("l_suppkey", "l_partkey", "l_quantity"))
+    return lines.select(
         F.col("l_suppkey").cast("string").alias("cell_id"),
         F.col("l_partkey").cast("string").alias("gene_id"), F.col("l_quantity").alias("count"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.lookup import lookup_join
 from ..operators.rank import row_numbers
 from ..session import stage
 from .corpus import numbered_id
@@ -36,12 +37,11 @@ def read_fasta(spark: SparkSession, path: str, n: int = 0, max_len: int = 1024,
     ), "fasta")
 
     # Only the first row of a file keeps its marker; where that row has none, it is no record.
-    firsts = (records.filter(F.col("block") == 0).groupBy("file")
-              .agg(F.min("row").alias("row"), F.min_by("marked", "row").alias("opens")))
-    leading = firsts.select("file", "row", "opens")
-    records = records.join(leading, ["file", "row"], "left")
-    records = records.filter(F.coalesce("opens", F.lit(True)) & (F.length("body") > 0))
-    title = F.when(F.col("opens").isNotNull(), F.expr("substr(header, 2)")).otherwise(F.col("header"))
+    firsts = records.filter(F.col("block") == 0).groupBy("file").agg(F.min("row").alias("first"))
+    records = lookup_join(records, firsts, "file")
+    leads = F.coalesce(F.col("row") == F.col("first"), F.lit(False))
+    records = records.filter((F.length("body") > 0) & (~leads | F.col("marked")))
+    title = F.when(leads, F.expr("substr(header, 2)")).otherwise(F.col("header"))
     named = records.select(
         "file", "block", "row", F.get(F.split(title, r"\|"), F.lit(1)).alias("seq_id"),
         F.substring("body", 1, max_len).alias("sequence"))
