@@ -50,17 +50,23 @@ def row_numbers(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str
     counts = staged.groupBy(*keys, "_part").agg(F.max("_pos").alias("_count"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition at most: only the first key of a partition can begin in an earlier one.
-    offsets = (counts.select(*keys, "_part", F.sum("_count").over(earlier).alias("_before"))
+    offsets = (counts.select(*[F.col(key).alias(f"_first_{key}") for key in keys], "_part",
+                             F.sum("_count").over(earlier).alias("_before"))
                .filter(F.col("_before") > 0))
-    joined = staged.join(F.broadcast(offsets), [*keys, "_part"], "left")
-    number = F.col("_pos") + F.coalesce("_before", F.lit(0))
-    numbered = joined.select(*columns, number.alias(name))
-    if size:
-        totals = counts.groupBy(*keys).agg(F.sum("_count").alias(size))
-        numbered = numbered.join(totals, list(keys)) if keys else numbered.withColumn(
-            size, totals.scalar())
-        numbered = numbered.select(*columns, name, size)
-    return numbered
+    joined = staged.join(F.broadcast(offsets), "_part", "left")
+    continued = F.lit(True)
+    for key in keys:
+        continued &= F.col(key).eqNullSafe(F.col(f"_first_{key}"))
+    before = F.when(continued, F.coalesce("_before", F.lit(0))).otherwise(0)
+    numbered = joined.select(*columns, (F.col("_pos") + before).alias(name))
+    if size is None:
+        return numbered
+    if not keys:
+        return numbered.withColumn(size, counts.agg(F.sum("_count")).scalar())
+    totals = counts.groupBy(*[F.col(key).alias(f"_of_{key}") for key in keys]).agg(
+        F.sum("_count").alias(size))
+    same = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys]
+    return numbered.join(totals, same).select(*columns, name, size)
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
