@@ -79,7 +79,8 @@ def hvg(df: DataFrame, k: int) -> DataFrame:
     Cells without the gene count as zeros; they enter through the number of cells and are not
     materialised.
     """
-    cells = df.select(F.count_distinct("cell_id")).scalar()
+    # Counted from the totals, which can share the shuffle of the pairs.
+    cells = cell_totals(df).select(F.count("total")).scalar()
     sums = df.groupBy("gene_id").agg(
         F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("ss"),
     ).withColumn("n", cells)

@@ -78,17 +78,21 @@ def knn_cosine(df: DataFrame, k: int = 15, id_column: str = "vec_id", vector: st
         "rep string, block int, found array<string>, sims array<double>, visits array<int>",
     ), "knn-home")
 
-    visits = home.select("rep", F.col("block").alias("home"), F.explode("visits").alias("block"))
-    queries = visits.join(blocked.select("rep", "vector"), "rep").toDF("q_rep", "q_home", "q_block", "q_vector")
-    pairs = visits.select("home", "block").distinct()
-    candidates = blocked.join(pairs, "block")
-    away = (queries.groupBy("q_home", "q_block").cogroup(candidates.groupBy("home", "block"))
-            .applyInPandas(lambda left, right: search_pair(left, right), "rep string, other string, sim double"))
-
-    own = home.select("rep", F.explode(F.arrays_zip("found", "sims")).alias("hit")).select(
+    hits = home.select("rep", F.explode(F.arrays_zip("found", "sims")).alias("hit")).select(
         "rep", F.col("hit.found").alias("other"), F.col("hit.sims").alias("sim"))
+    if len(bounds) > 1:
+        visits = home.select("rep", F.col("block").alias("home"), F.explode("visits").alias("block"))
+        queries = visits.join(blocked.select("rep", "vector"), "rep").toDF(
+            "q_rep", "q_home", "q_block", "q_vector")
+        pairs = visits.select("home", "block").distinct()
+        candidates = blocked.join(pairs, "block")
+        away = (queries.groupBy("q_home", "q_block").cogroup(candidates.groupBy("home", "block"))
+                .applyInPandas(lambda left, right: search_pair(left, right),
+                               "rep string, other string, sim double"))
+        hits = hits.unionByName(away)
+
     firsts = placed.groupBy("rep").agg(F.min("id").alias("first"))
-    hits = own.unionByName(away).join(firsts.withColumnRenamed("rep", "other"), "other")
+    hits = hits.join(firsts.withColumnRenamed("rep", "other"), "other")
     best = top_per_group(hits, ["rep"], [F.desc("sim"), F.col("first")], k, spread=["other"])
 
     # A row needs at most k + 1 copies of any vector, its own included: it may be one of them.

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.tokenize import mask_from_ids, pad_right, token_ids, tokenize
 from ..operators.lengths import length_stats
-from ..operators.rows import drop_empty, equal_split, limit_rows, shard_plan, truncate_seq
+from ..operators.rows import drop_empty, equal_split, limit_rows, shard_plan, spread, truncate_seq
 from ..schemas import SEQUENCES
 from ..session import scratch_path
 from ..sinks.files import describe_output, promote, write_partitioned, write_shards, write_stage
 from ..sources.corpus import read_corpus
 from ..sources.fasta import read_fasta
 from ..sources.synth import RESIDUES, SHARES, synth_for
-from ..sources.tables import read_lookup, read_stage, read_table, sql_over_path, with_metadata
+from ..sources.tables import read_first, read_lookup, read_stage, read_table, sql_over_path, with_metadata
 from .inputs import LETTERS_SQL, SEQUENCES_SQL, joined, letters, sequences, table
 
 
@@ -51,7 +51,7 @@ def fasta_parse(spark, folder):
 
 
 def corpus_coalesce(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"))
     fields = docs.select(
         "doc_id",
         F.when(F.col("lang") != "de", F.concat(F.lit("doc_"), F.col("doc_id"))).alias("id"),
@@ -61,7 +61,7 @@ def corpus_coalesce(spark, folder):
 
 
 def synth_sequences(spark, folder):
-    return synth_for(table(spark, folder, "documents").select("doc_id"), "doc_id")
+    return synth_for(spread(table(spark, folder, "documents").select("doc_id")), "doc_id")
 
 
 _WHEEL = "".join(r * n for r, n in zip(RESIDUES, SHARES))
@@ -126,6 +126,11 @@ def first_rows(spark, folder):
     return limit_rows(sequences(spark, folder), 100, ["seq_id"])
 
 
+def first_of_files(spark, folder):
+    """The first 100 rows of the documents as they lie in the file."""
+    return read_first(spark, f"{folder}/documents.parquet", 100).select("doc_id", "lang", "source", "n_chars")
+
+
 def cut(spark, folder):
     return truncate_seq(sequences(spark, folder), 1024)
 
@@ -197,6 +202,7 @@ QUERIES = {
     "output_files": output_files,
     "node_split": node_split,
     "limit_rows": first_rows,
+    "limit_scan": first_of_files,
     "truncate_seq": cut,
     "length_stats": lengths,
     "length_stats_whole": lengths_whole,
@@ -244,6 +250,7 @@ SQL = {
         WITH {SEQUENCES_SQL} SELECT seq_id, CAST(length(sequence) AS INT) AS length,
             CAST((row_number() OVER (ORDER BY seq_id) - 1) % 3 AS INT) AS node FROM sequences""",
     "limit_rows": f"{_ALL} ORDER BY seq_id LIMIT 100",
+    "limit_scan": "SELECT doc_id, lang, source, n_chars FROM documents LIMIT 100",
     "truncate_seq": f"WITH {SEQUENCES_SQL} SELECT seq_id, substr(sequence, 1, 1024) AS sequence FROM sequences",
     "length_stats": f"""
         WITH {SEQUENCES_SQL}, lengths AS (SELECT CAST(least(length(sequence), 1024) AS INT) AS length FROM sequences),

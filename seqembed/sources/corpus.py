@@ -10,7 +10,7 @@ from ..operators.rank import row_numbers
 from ..operators.rows import limit_rows
 
 
-def read_corpus(df: DataFrame, order: Sequence[Column | str], n: int = 0, max_len: int = 1024,
+def read_corpus(df: DataFrame, order: Sequence[str], n: int = 0, max_len: int = 1024,
                 prefix: str = "uniref50_") -> DataFrame:
     """`(id, text, sequence)` rows to `(seq_id, sequence)`.
 
@@ -18,15 +18,15 @@ def read_corpus(df: DataFrame, order: Sequence[Column | str], n: int = 0, max_le
     counts raw rows in `order`, so fewer may come out. A row without an id is named after its raw
     position, counted from 0.
     """
-    raw = limit_rows(df, n, order)
-    if raw.filter(F.col("id").isNull()).isEmpty():
-        name = F.col("id").cast("string")
-    else:
-        raw = row_numbers(raw, order, name="_row")
-        name = F.coalesce(F.col("id").cast("string"), numbered_id(F.col("_row") - 1, prefix))
     body = F.coalesce(F.nullif("text", F.lit("")), F.nullif("sequence", F.lit("")))
-    return (raw.select(name.alias("seq_id"), F.substring(body, 1, max_len).alias("sequence"))
-            .filter(F.col("sequence").isNotNull()))
+    raw = limit_rows(df, n, order).select(
+        *order, F.col("id").cast("string").alias("_id"), F.substring(body, 1, max_len).alias("_body"))
+    name = F.col("_id")
+    if not df.filter(F.col("id").isNull()).isEmpty():
+        raw = row_numbers(raw, order, name="_row")
+        name = F.coalesce("_id", numbered_id(F.col("_row") - 1, prefix))
+    return raw.filter(F.col("_body").isNotNull()).select(
+        name.alias("seq_id"), F.col("_body").alias("sequence"))
 
 
 def numbered_id(number: Column, prefix: str, width: int = 6) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 
 def read_stage(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -11,6 +11,28 @@ def read_stage(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def read_first(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first `n` rows of a parquet folder in file order, 0 for all.
+
+    Rows are counted per file first, which reads no column. Only the files that hold the rows are
+    then opened, so nothing is sorted, shuffled or gathered in one task.
+    """
+    df = spark.read.parquet(path)
+    if n <= 0:
+        return df
+    sizes = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_rows"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per file; what comes to the driver are the files that are read.
+    wanted = (sizes.withColumn("before", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)))
+              .filter(F.col("before") < n).orderBy("file").collect())
+    if not wanted or wanted[-1].before + wanted[-1].n_rows <= n and len(wanted) == len(df.inputFiles()):
+        return df
+    last = wanted[-1]
+    first = spark.read.schema(df.schema).option("basePath", path).parquet(*[row.file for row in wanted])
+    return first.filter((F.col("_metadata.file_path") != last.file)
+                        | (F.col("_metadata.row_index") < n - last.before))
+
+
 def read_table(spark: SparkSession, name: str, *columns: str) -> DataFrame:
     df = spark.table(name)
     return df.select(*columns) if columns else df
@@ -34,7 +56,7 @@ def read_lookup(spark: SparkSession, path: str, value: str = "double", key_name:
     return parsed.select(F.explode("entries").alias(key_name, value_name))
 
 
-def file_stem(path: F.Column) -> F.Column:
+def file_stem(path: Column) -> Column:
     """Name of a file without its folder and last suffix."""
     return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]*$", "")
 
