@@ -25,6 +25,7 @@ def main(argv: list[str] | None = None) -> None:
     stage.add_argument("--mean-len", type=int, default=200)
     stage.add_argument("--seed", type=int, default=42)
     stage.add_argument("--shard-rows", type=int, default=500)
+    stage.add_argument("--exact-shards", action="store_true")
 
     tokens = commands.add_parser("pretokenize", help="write token parquet")
     tokens.add_argument("--input", required=True)
@@ -53,7 +54,7 @@ def main(argv: list[str] | None = None) -> None:
 
     if args.command == "stage":
         stats = jobs.stage_job(spark, args.source, args.output, args.input, args.n, args.max_len, args.min_len,
-                               args.mean_len, args.seed, args.shard_rows, mode)
+                               args.mean_len, args.seed, args.shard_rows, args.exact_shards, mode)
         print(json.dumps(stats.first().asDict()))
     elif args.command == "pretokenize":
         jobs.pretokenize_job(spark, args.input, args.output, args.n, args.max_length, args.shard_rows, mode)

@@ -43,9 +43,12 @@ class RunReport:
 
 def stage_job(spark: SparkSession, source: str, output: str, path: str | None = None, n: int = 1000,
               max_len: int = 1024, min_len: int = 50, mean_len: int = 200, seed: int = 42,
-              shard_rows: int = 500, mode: str = "errorifexists") -> DataFrame:
+              shard_rows: int = 500, exact_shards: bool = False, mode: str = "errorifexists") -> DataFrame:
     """Stage sequences as parquet shards; returns their count and lengths.
 
+    Shards have `shard_rows` rows at most; `exact_shards` makes all but one have exactly as many, for
+    the price of a sort.
+
     `source` is "corpus" (parquet with `id`, `text`, `sequence`), "fasta" or "synthetic".
     """
     if source == "corpus":
@@ -62,7 +65,7 @@ def stage_job(spark: SparkSession, source: str, output: str, path: str | None =
         df = synth_sequences(spark, n, min_len=min_len, max_len=max_len, mean_len=mean_len, seed=seed)
     else:
         raise ValueError(f"unknown source {source!r}")
-    write_shards(df, output, shard_rows, mode)
+    write_shards(df, output, shard_rows, ["seq_id"] if exact_shards else (), mode)
     return length_stats(spark.read.parquet(output))
 
 
@@ -70,7 +73,7 @@ def pretokenize_job(spark: SparkSession, path: str, output: str, n: int = 0, max
                     shard_rows: int = 0, mode: str = "errorifexists") -> None:
     """Tokenize staged sequences to fixed-width token parquet."""
     tokens = tokenize(read_first(spark, path, n), max_length)
-    write_shards(tokens, output, shard_rows, mode)
+    write_shards(tokens, output, shard_rows, mode=mode)
 
 
 def embed_job(spark: SparkSession, path: str, output: str, model: Callable = StandIn(), limit: int = 0,

@@ -109,11 +109,10 @@ def shards(spark, folder):
 
 
 def output_files(spark, folder):
-    """Row counts of the files of a sharded write, added up, and the longest file."""
+    """How many files of which length a sharded write leaves."""
     path = scratch_path(spark, "shards")
-    write_shards(sequences(spark, folder), path, rows=500)
-    return describe_output(spark, path).agg(
-        F.sum("n_rows").alias("n_rows"), F.max("n_rows").alias("longest"))
+    write_shards(sequences(spark, folder), path, rows=300, order=["seq_id"])
+    return describe_output(spark, path).groupBy("n_rows").agg(F.count("*").alias("n_files"))
 
 
 def node_split(spark, folder):
@@ -245,7 +244,10 @@ SQL = {
             SELECT (row_number() OVER (ORDER BY seq_id) - 1) // 500 AS shard FROM sequences)
         SELECT shard, count(*) AS n_rows FROM numbered GROUP BY shard""",
     "output_files": """
-        SELECT count(*) AS n_rows, least(count(*), 500) AS longest FROM documents""",
+        WITH shards AS (
+            SELECT count(*) AS n_rows FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
+            GROUP BY i // 300)
+        SELECT n_rows, count(*) AS n_files FROM shards GROUP BY n_rows""",
     "node_split": f"""
         WITH {SEQUENCES_SQL} SELECT seq_id, CAST(length(sequence) AS INT) AS length,
             CAST((row_number() OVER (ORDER BY seq_id) - 1) % 3 AS INT) AS node FROM sequences""",

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from ..operators.rows import batch_ids
+
 
 def write_stage(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
     """Write parquet, every task its own files; returns the rows written, counted on the way."""
@@ -12,8 +16,17 @@ def write_stage(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
     return written.get["rows"]
 
 
-def write_shards(df: DataFrame, path: str, rows: int = 500, mode: str = "errorifexists") -> None:
-    """Write parquet files of at most `rows` rows."""
+def write_shards(df: DataFrame, path: str, rows: int = 500, order: Sequence[str] = (),
+                 mode: str = "errorifexists") -> None:
+    """Write parquet files of at most `rows` rows, 0 for no bound.
+
+    With `order` every file but one has exactly `rows` rows: rows are numbered in that order and
+    whole shards go to a task, which cuts its sorted shards apart again. Without it tasks write what
+    they hold, which needs no shuffle.
+    """
+    if order and rows:
+        shards = batch_ids(df, rows, order, name="_shard")
+        df = shards.repartition("_shard").sortWithinPartitions("_shard", *order).drop("_shard")
     df.write.mode(mode).option("maxRecordsPerFile", rows).parquet(path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 
@@ -25,12 +27,14 @@ def read_first(spark: SparkSession, path: str, n: int) -> DataFrame:
     # One row per file; what comes to the driver are the files that are read.
     wanted = (sizes.withColumn("before", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)))
               .filter(F.col("before") < n).orderBy("file").collect())
-    if not wanted or wanted[-1].before + wanted[-1].n_rows <= n and len(wanted) == len(df.inputFiles()):
+    if not wanted:
         return df
+    if len(wanted) < len(df.inputFiles()):
+        files = [unquote(row.file) for row in wanted]  # the metadata column has them URL-encoded
+        df = spark.read.schema(df.schema).option("basePath", path).parquet(*files)
     last = wanted[-1]
-    first = spark.read.schema(df.schema).option("basePath", path).parquet(*[row.file for row in wanted])
-    return first.filter((F.col("_metadata.file_path") != last.file)
-                        | (F.col("_metadata.row_index") < n - last.before))
+    return df.filter((F.col("_metadata.file_path") != last.file)
+                     | (F.col("_metadata.row_index") < n - last.before))
 
 
 def read_table(spark: SparkSession, name: str, *columns: str) -> DataFrame:

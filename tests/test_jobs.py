@@ -85,6 +85,9 @@ def test_shards_and_parts(spark, sequences, tmp_path):
     shards, parts = str(tmp_path / "shards"), str(tmp_path / "parts")
     files.write_shards(sequences.coalesce(1), shards)
     assert sorted(r.n_rows for r in files.describe_output(spark, shards).collect()) == [200, 500, 500]
+    exact = str(tmp_path / "exact")
+    files.write_shards(sequences.repartition(3), exact, rows=250, order=["seq_id"])
+    assert sorted(r.n_rows for r in files.describe_output(spark, exact).collect()) == [200, 250, 250, 250, 250]
     files.write_partitioned(sequences.withColumn("node", F.length("sequence") % 3), parts)
     assert len(glob.glob(f"{parts}/node=*")) == 3
     assert read_stage(spark, parts).count() == 1200

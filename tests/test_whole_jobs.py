@@ -14,7 +14,7 @@ from seqembed.sources.tables import read_first
 
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("jobs") / "staged")
+    path = str(tmp_path_factory.mktemp("jobs") / "staged rows")
     synth_sequences(spark, 230).repartitionByRange(5, "seq_id").sortWithinPartitions("seq_id").write.parquet(path)
     return path
 
