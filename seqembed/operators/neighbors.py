@@ -26,6 +26,7 @@ from .rank import row_numbers, top_per_group
 MAX_PIVOTS = 256
 MAX_BLOCKS = 200_000
 QUERY_ROWS = 1024
+FAN_OUT = 256
 SIM_DIGITS = 12
 # Allowance for rounding: similarities are good to 1e-12, chords near 0 to about 1e-6.
 SLACK = 1e-5
@@ -84,8 +85,10 @@ def knn_cosine(df: DataFrame, k: int = 15, id_column: str = "vec_id", vector: st
         visits = home.select("rep", F.col("block").alias("home"), F.explode("visits").alias("block"))
         queries = visits.join(blocked.select("rep", "vector"), "rep").toDF(
             "q_rep", "q_home", "q_block", "q_vector")
-        pairs = visits.select("home", "block").distinct()
-        candidates = blocked.join(pairs, "block")
+        # A block that many others visit is copied in two steps, so no task makes all its copies.
+        pairs = visits.select("home", "block", F.pmod("home", F.lit(FAN_OUT)).alias("fan")).distinct()
+        fanned = blocked.join(pairs.select("block", "fan").distinct(), "block")
+        candidates = fanned.join(pairs, ["block", "fan"]).drop("fan")
         away = (queries.groupBy("q_home", "q_block").cogroup(candidates.groupBy("home", "block"))
                 .applyInPandas(lambda left, right: search_pair(left, right),
                                "rep string, other string, sim double"))
