@@ -39,6 +39,7 @@ def main(argv: list[str] | None = None) -> None:
     embed.add_argument("--batch-size", type=int, default=32)
     embed.add_argument("--max-length", type=int, default=1024)
     embed.add_argument("--nodes", type=int, default=1)
+    embed.add_argument("--workers", type=int)
     embed.add_argument("--pretokenized", action="store_true")
     embed.add_argument("--model", help="module:name of a model factory; the stand-in when left out")
 
@@ -64,7 +65,7 @@ def main(argv: list[str] | None = None) -> None:
             module, name = args.model.split(":")
             model = getattr(importlib.import_module(module), name)
         report = jobs.embed_job(spark, args.input, args.output, model, args.limit, args.batch_size, args.max_length,
-                                args.pretokenized, args.nodes, mode)
+                                args.pretokenized, args.nodes, args.workers, mode)
         print(json.dumps(report.as_dict()))
     else:
         jobs.smoke_job(spark, args.output, args.workers, mode).show(truncate=False)

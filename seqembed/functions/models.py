@@ -34,7 +34,20 @@ class StandIn:
         return forward
 
 
-@lru_cache(maxsize=4)
 def resident(factory):
-    """What `factory` builds, kept for later tasks of this worker process."""
+    """What `factory` builds, kept for later tasks of this worker process.
+
+    Only the latest is kept, so a worker never holds more than one model for long. A factory that
+    can be imported is recognised from task to task; a local function is built anew by each task.
+    """
+    try:
+        return _build(factory)
+    except TypeError as error:
+        if "unhashable" not in str(error):
+            raise
+        return factory()
+
+
+@lru_cache(maxsize=1)
+def _build(factory):
     return factory()

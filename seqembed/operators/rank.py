@@ -112,14 +112,20 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
                   spread: Sequence[str], name: str = "rank") -> DataFrame:
     """The first `k` rows of each key in `order`, with their rank.
 
-    A key is cut into as many slices as a shuffle has partitions, on the hash of the `spread`
+    Up to `spark.sql.optimizer.windowGroupLimitThreshold` (1,000 by default) Spark keeps the first
+    `k` of each key in every task before the shuffle, and one window is enough for any skew.
+
+    Above, a key is cut into as many slices as a shuffle has partitions, on the hash of the `spread`
     columns, so even one key that fills the table is spread over all tasks. A row outside the first
     `k` of its slice cannot be among the first `k` of the key, so the second step sees at most
     slices times `k` rows per key.
     """
     columns = df.columns
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = min(partitions, MAX_SALTS)
+    conf = df.sparkSession.conf
+    if k <= int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(whole)).filter(F.col(name) <= k)
+    salts = min(int(conf.get("spark.sql.shuffle.partitions")), MAX_SALTS)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     slice_order = Window.partitionBy(*keys, "_salt").orderBy(*order)
     key_order = Window.partitionBy(*keys).orderBy(*order)

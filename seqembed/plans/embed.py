@@ -17,13 +17,16 @@ from ..session import ship_package
 
 
 def embed(df: DataFrame, model: Callable = StandIn(), max_length: int = 1024, batch_size: int = 32,
-          pretokenized: bool = False, alphabet: Alphabet = PROTEIN,
+          pretokenized: bool = False, alphabet: Alphabet = PROTEIN, workers: int | None = None,
           profile: ResourceProfile | None = None) -> DataFrame:
     """`(seq_id, sequence)`, or tokens when `pretokenized`, to `(seq_id, embedding)`.
 
     Raw sequences cross to Python as text and become ids there, a byte lookup on the Arrow buffer,
     which moves about a tenth of the bytes of the token arrays. Only what `max_length` can use is
-    sent. The mean is taken over unmasked positions, special tokens included. No shuffle.
+    sent. The mean is taken over unmasked positions, special tokens included.
+
+    Nothing is shuffled unless `workers` asks for that many partitions, which suits a small input and
+    a slow model.
     """
     if pretokenized:
         inputs = df.select("seq_id", "input_ids", "attention_mask")
@@ -32,11 +35,12 @@ def embed(df: DataFrame, model: Callable = StandIn(), max_length: int = 1024, ba
         body = F.substring("sequence", 1, max_length - 2)
         inputs = df.select("seq_id", body.alias("sequence"))
         reader = _SequenceReader(alphabet)
-    return _run(inputs, "seq_id", reader, model, "masked", batch_size, alphabet.pad_id, 0, profile)
+    return _run(inputs, "seq_id", reader, model, "masked", batch_size, alphabet.pad_id, 0,
+                workers, profile)
 
 
 def embed_cells(df: DataFrame, model: Callable = StandIn(), seq_len: int = 2048,
-                batch_size: int = 4, pad_id: int = 0,
+                batch_size: int = 4, pad_id: int = 0, workers: int | None = None,
                 profile: ResourceProfile | None = None) -> DataFrame:
     """`(cell_id, gene_ids)` to `(cell_id, embedding)`.
 
@@ -44,10 +48,13 @@ def embed_cells(df: DataFrame, model: Callable = StandIn(), seq_len: int = 2048,
     """
     inputs = df.select("cell_id", "gene_ids")
     reader = _GeneReader(seq_len)
-    return _run(inputs, "cell_id", reader, model, "all", batch_size, pad_id, seq_len, profile)
+    return _run(inputs, "cell_id", reader, model, "all", batch_size, pad_id, seq_len, workers,
+                profile)
 
 
-def _run(inputs, id_column, reader, model, pool, batch_size, pad_id, width, profile):
+def _run(inputs, id_column, reader, model, pool, batch_size, pad_id, width, workers, profile):
+    if workers:
+        inputs = inputs.repartition(workers)
     ship_package(inputs.sparkSession)
     schema = T.StructType([
         T.StructField(id_column, inputs.schema[id_column].dataType),

@@ -78,7 +78,7 @@ def pretokenize_job(spark: SparkSession, path: str, output: str, n: int = 0, max
 
 def embed_job(spark: SparkSession, path: str, output: str, model: Callable = StandIn(), limit: int = 0,
               batch_size: int = 32, max_length: int = 1024, pretokenized: bool = False, nodes: int = 1,
-              mode: str = "errorifexists") -> RunReport:
+              workers: int | None = None, mode: str = "errorifexists") -> RunReport:
     """Embed staged sequences or tokens, with checks before and after.
 
     With `nodes` above 1 the output has one subfolder per node; read `output` for all of them. The
@@ -87,14 +87,15 @@ def embed_job(spark: SparkSession, path: str, output: str, model: Callable = Sta
     total = preflight(spark, path).count()
     expected = min(limit, total) if limit > 0 else total
     started = time.perf_counter()
-    vectors = embed(read_first(spark, path, limit), model, max_length, batch_size, pretokenized)
+    vectors = embed(read_first(spark, path, limit), model, max_length, batch_size, pretokenized,
+                    workers=workers)
     if nodes > 1:
         write_partitioned(hash_split(vectors, nodes, "seq_id"), output, mode=mode)
     else:
         write_stage(vectors, output, mode)
     wall = time.perf_counter() - started
     rows = postflight(spark, output, expected)
-    return RunReport(expected, rows, wall, spark.sparkContext.defaultParallelism)
+    return RunReport(expected, rows, wall, workers or spark.sparkContext.defaultParallelism)
 
 
 def embed_table_job(spark: SparkSession, source: str, target: str, dims: int, model: Callable = StandIn(),

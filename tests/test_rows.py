@@ -62,8 +62,13 @@ def test_row_numbers_of_nothing(spark):
     assert row_numbers(empty, ["id"], ["key"]).count() == 0
 
 
-def test_top_per_group(skewed):
-    got = top_per_group(skewed, ["key"], [F.desc("value"), F.col("id")], 5, spread=["id"]).collect()
+@pytest.mark.parametrize("threshold", ["1000", "1"])
+def test_top_per_group(spark, skewed, threshold):
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
+    try:
+        got = top_per_group(skewed, ["key"], [F.desc("value"), F.col("id")], 5, spread=["id"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
     data = skewed.collect()
     for key in (None, "a", "b", "hot"):
         want = sorted((r for r in data if r.key == key), key=lambda r: (-r.value, r.id))[:5]
