@@ -15,7 +15,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -25,6 +24,7 @@ from .rank import row_numbers, top_per_group
 
 MAX_PIVOTS = 256
 MAX_BLOCKS = 200_000
+PIVOTS_PER_BLOCK = 4
 QUERY_ROWS = 1024
 FAN_OUT = 256
 SIM_DIGITS = 12
@@ -45,6 +45,10 @@ def knn_cosine(df: DataFrame, k: int = 15, id_column: str = "vec_id", vector: st
 
     rows = df.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     pivots = _pivots(rows, block_rows)
+    if not len(pivots):
+        return spark.createDataFrame([], T.StructType([
+            T.StructField(id_column, id_type), T.StructField("rank", T.IntegerType()),
+            T.StructField("neighbor", id_type), T.StructField("cosine", T.DoubleType())]))
     shared = spark.sparkContext.broadcast(pivots)
     placed = stage(rows.mapInArrow(_Placer(shared), T.StructType([
         T.StructField("id", id_type),
@@ -58,13 +62,13 @@ def knn_cosine(df: DataFrame, k: int = 15, id_column: str = "vec_id", vector: st
     total = placed.select("rep").distinct().count()
     size = max(block_rows, math.ceil(total / MAX_BLOCKS))
     ranked = row_numbers(distinct, ["dist", "rep"], ["pivot"], name="place")
-    # At most MAX_PIVOTS rows. A pivot's slices are of equal size, none is a short rest.
+    # At most MAX_PIVOTS + 1 rows. A pivot's slices are of equal size, none is a short rest.
     of_pivot = distinct.groupBy("pivot").agg(F.count("*").alias("n"))
     slices = F.ceil(F.col("n") / size)
     blocked = stage(ranked.join(F.broadcast(of_pivot), "pivot").select(
         "rep", "pivot", "vector", "dist",
         F.floor((F.col("place") - 1) * slices / F.col("n")).cast("int").alias("slice")), "knn-blocks")
-    # At most MAX_BLOCKS + MAX_PIVOTS rows.
+    # At most MAX_BLOCKS + MAX_PIVOTS + 1 rows.
     bounds = (blocked.groupBy("pivot", "slice")
               .agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n"))
               .orderBy("pivot", "slice").toPandas())
@@ -74,8 +78,8 @@ def knn_cosine(df: DataFrame, k: int = 15, id_column: str = "vec_id", vector: st
 
     search_home = _HomeSearch(k, shared, spark.sparkContext.broadcast(bounds))
     search_pair = _PairSearch(k)
-    home = stage(blocked.groupBy("block").applyInPandas(
-        lambda frame: search_home(frame),
+    home = stage(blocked.groupBy("block").applyInArrow(
+        lambda table: search_home(table),
         "rep string, block int, found array<string>, sims array<double>, visits array<int>",
     ), "knn-home")
 
@@ -90,7 +94,7 @@ def knn_cosine(df: DataFrame, k: int = 15, id_column: str = "vec_id", vector: st
         fanned = blocked.join(pairs.select("block", "fan").distinct(), "block")
         candidates = fanned.join(pairs, ["block", "fan"]).drop("fan")
         away = (queries.groupBy("q_home", "q_block").cogroup(candidates.groupBy("home", "block"))
-                .applyInPandas(lambda left, right: search_pair(left, right),
+                .applyInArrow(lambda left, right: search_pair(left, right),
                                "rep string, other string, sim double"))
         hits = hits.unionByName(away)
 
@@ -116,13 +120,18 @@ def knn_cosine(df: DataFrame, k: int = 15, id_column: str = "vec_id", vector: st
 
 
 def _pivots(rows: DataFrame, block_rows: int) -> np.ndarray:
-    """Unit vectors of up to `MAX_PIVOTS` rows, picked by a hash of the id."""
-    usable = rows.filter(F.exists("vector", lambda x: x != 0))
-    wanted = min(MAX_PIVOTS, math.ceil(usable.count() / block_rows))
-    picked = usable.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").toPandas()
-    vectors = np.array(picked["vector"].tolist(), dtype=np.float64).reshape(len(picked), -1)
-    vectors = np.unique(vectors, axis=0)
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Up to `MAX_PIVOTS` different unit vectors, picked by a hash, so that copies count once."""
+    wanted = min(MAX_PIVOTS, math.ceil(PIVOTS_PER_BLOCK * rows.count() / block_rows))
+    hashed = rows.select("vector", F.xxhash64("vector").alias("hash"))
+    # One more than wanted: the vector of length 0 is no pivot.
+    picked = hashed.select("hash").distinct().orderBy("hash").limit(wanted + 1)
+    found = (hashed.join(F.broadcast(picked), "hash", "left_semi")
+             .groupBy("hash").agg(F.first("vector").alias("vector")).toPandas())
+    if found.empty:
+        return np.empty((0, 0))
+    vectors = np.array(found["vector"].tolist(), dtype=np.float64)
+    lengths = np.linalg.norm(vectors, axis=1)
+    return vectors[lengths > 0] / lengths[lengths > 0, None]
 
 
 def _chord(sims):
@@ -148,15 +157,16 @@ class _Placer:
             units = vectors[usable] / lengths[usable, None]
             chords = _chord(units @ pivots.T)
             nearest = chords.argmin(axis=1).astype(np.int32)
-            names = [hashlib.sha256(unit.tobytes()).hexdigest() for unit in units]
+            names = [hashlib.blake2b(unit.tobytes(), digest_size=16).hexdigest() for unit in units]
             yield pa.RecordBatch.from_arrays([
                 batch.column("id").filter(pa.array(usable)), pa.array(names, pa.string()),
                 pa.array(nearest), pa.array(chords[np.arange(len(units)), nearest]), list_column(units),
             ], names=["id", "rep", "pivot", "dist", "vector"])
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()) if len(vectors) else np.empty((0, 0))
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    values, bounds = list_codes(vectors.combine_chunks())
+    return values.reshape(len(bounds) - 1, -1) if len(values) else np.empty((0, 0))
 
 
 def _best(sims: np.ndarray, k: int) -> np.ndarray:
@@ -174,9 +184,9 @@ class _HomeSearch:
         self.pivots = pivots
         self.bounds = bounds
 
-    def __call__(self, frame: pd.DataFrame) -> pd.DataFrame:
-        vectors, names = _matrix(frame["vector"]), frame["rep"].to_numpy()
-        home = int(frame["block"].iloc[0])
+    def __call__(self, table: pa.Table) -> pa.Table:
+        vectors, names = _matrix(table["vector"]), table["rep"].to_numpy()
+        home = table["block"][0].as_py()
         found, near, visits = [], [], []
         for start in range(0, len(vectors), QUERY_ROWS):
             part = vectors[start:start + QUERY_ROWS]
@@ -189,7 +199,11 @@ class _HomeSearch:
                 near.append(row[hits].tolist())
             for blocks in self._reachable(part, home, least):
                 visits.append(blocks[blocks != home].tolist())
-        return pd.DataFrame({"rep": names, "block": home, "found": found, "sims": near, "visits": visits})
+        return pa.table({
+            "rep": names, "block": pa.array([home] * len(names), pa.int32()),
+            "found": pa.array(found, pa.list_(pa.string())), "sims": pa.array(near, pa.list_(pa.float64())),
+            "visits": pa.array(visits, pa.list_(pa.int32())),
+        })
 
     def _reachable(self, vectors, home, least) -> Iterator[np.ndarray]:
         """Blocks that may hold a row within the distance of the k-th neighbour, per query."""
@@ -225,15 +239,17 @@ class _PairSearch:
     def __init__(self, k):
         self.k = k
 
-    def __call__(self, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    def __call__(self, queries: pa.Table, candidates: pa.Table) -> pa.Table:
         vectors, others = _matrix(queries["q_vector"]), _matrix(candidates["vector"])
-        parts = []
+        names, found = queries["q_rep"].to_numpy(), candidates["rep"].to_numpy()
+        reps, hits, near = [], [], []
         for start in range(0, len(vectors), QUERY_ROWS):
             sims = np.round(vectors[start:start + QUERY_ROWS] @ others.T, SIM_DIGITS)
             row, column = np.nonzero(sims >= _best(sims, self.k)[:, None])
-            parts.append(pd.DataFrame({
-                "rep": queries["q_rep"].to_numpy()[start + row],
-                "other": candidates["rep"].to_numpy()[column],
-                "sim": sims[row, column],
-            }))
-        return pd.concat(parts)
+            reps.append(names[start + row])
+            hits.append(found[column])
+            near.append(sims[row, column])
+        return pa.table({
+            "rep": pa.array(np.concatenate(reps), pa.string()),
+            "other": pa.array(np.concatenate(hits), pa.string()), "sim": np.concatenate(near),
+        })

@@ -57,6 +57,11 @@ def test_fewer_rows_than_neighbours(spark):
     assert found(knn_cosine(frame(spark, matrix), 15)) == brute_force(matrix, 15)
 
 
+def test_no_usable_rows(spark):
+    assert knn_cosine(frame(spark, np.zeros((3, 2), np.float32)), 2).count() == 0
+    assert knn_cosine(frame(spark, np.zeros((3, 2), np.float32)).limit(0), 2).count() == 0
+
+
 def test_far_blocks_are_not_visited(spark, clustered, monkeypatch):
     from seqembed.operators import neighbors
     staged = {}
