@@ -21,13 +21,13 @@ def row_numbers(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str
                 name: str = "row_number", size: str | None = None) -> DataFrame:
     """Number the rows of each key 1, 2, ... in `order`; with no keys, number the whole table.
 
-    `order` must not leave ties. `size` names a further column with the rows of the key.
+    Ties are numbered in any order. `size` names a further column with the rows of the key.
 
     Keys are counted first, so `df` is best a scan or a staged table. While the largest key is
     small, a window does. Otherwise, and for a whole table, rows are range-partitioned on (keys,
-    order), so a hot key is cut into as many pieces as its size asks for. Each partition counts its
-    own rows, and the counts of the earlier partitions are added on. The numbered partitions are
-    staged, as counts and rows have to come from the same split.
+    order), so a hot key is cut into as many pieces as its size asks for, and so are ties. Each
+    partition counts its own rows, and the counts of the earlier partitions are added on. The
+    numbered partitions are staged, as counts and rows have to come from the same split.
     """
     columns = df.columns
     if keys and largest_group(df, keys) <= WINDOW_ROWS:
@@ -35,8 +35,9 @@ def row_numbers(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str
         numbered = df.select("*", F.row_number().over(whole.orderBy(*order)).cast("long").alias(name))
         return numbered.withColumn(size, F.count("*").over(whole)) if size else numbered
 
-    ordering = [*keys, *order]
-    ranged = (df.repartitionByRange(*ordering).sortWithinPartitions(*ordering)
+    ordering = [*keys, *order, "_tie"]
+    ranged = (df.withColumn("_tie", F.monotonically_increasing_id())
+              .repartitionByRange(*ordering).sortWithinPartitions(*ordering).drop("_tie")
               .withColumn("_part", F.spark_partition_id()))
     if keys:
         ship_package(df.sparkSession)
@@ -69,6 +70,17 @@ def row_numbers(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str
     return numbered.join(totals, same).select(*columns, name, size)
 
 
+def number_rows(df: DataFrame, position: Sequence[str], name: str = "row_number") -> DataFrame:
+    """Number wide rows by the columns of `position`, which no two rows may share.
+
+    Only these columns are sorted and staged; the rows get their numbers in a join.
+    """
+    numbers = row_numbers(df.select(*position), position, name=name).toDF(
+        *[f"_of_{column}" for column in position], name)
+    same = [F.col(column).eqNullSafe(F.col(f"_of_{column}")) for column in position]
+    return df.join(numbers, same).select(*df.columns, name)
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the most frequent key, 0 for an empty table."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.lookup import lookup_join
-from ..operators.rank import row_numbers
+from ..operators.rank import number_rows
 from ..session import stage
 from .corpus import numbered_id
 
@@ -48,7 +48,7 @@ def read_fasta(spark: SparkSession, path: str, n: int = 0, max_len: int = 1024,
 
     order = ["file", "block", "row"]
     if n > 0 or not named.filter(F.col("seq_id").isNull()).isEmpty():
-        named = row_numbers(named, order, name="number")
+        named = number_rows(named, order, name="number")
         if n > 0:
             named = named.filter(F.col("number") <= n)
         fallback = numbered_id(F.col("number") - 1, prefix)

@@ -56,6 +56,13 @@ def test_longest_in_batch(cases):
         assert {r.batch_id for r in pair} == {i // 2}
 
 
+def test_repeated_ids_stay_apart(spark):
+    df = spark.createDataFrame([("a", "LA"), ("a", "LAGV"), ("a", "LA"), ("b", "L")], SEQUENCES)
+    longest = tokenize(df, 8, padding="longest", batch_size=4).collect()
+    assert sorted(sum(r.attention_mask) for r in longest) == [3, 4, 4, 6]
+    assert embed(df).count() == 4
+
+
 def test_batching_and_partitions_do_not_matter(spark):
     df = synth_sequences(spark, 120)
     want = vectors(embed(df, batch_size=32))

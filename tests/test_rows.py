@@ -56,6 +56,17 @@ def test_row_numbers_of_a_table(skewed, many_parts):
     assert {r.n for r in got} == {3000}
 
 
+def test_ties_are_split_and_kept(spark, many_parts, monkeypatch):
+    copies = spark.range(4000).select(F.lit("same").alias("seq_id"), (F.col("id") % 3).alias("x"))
+    staged = []
+    plain = rank.stage
+    monkeypatch.setattr(rank, "stage", lambda df, label: staged.append(plain(df, label)) or staged[-1])
+    split = rows.equal_split(copies, 4, ["seq_id"])
+    assert [r["count"] for r in split.groupBy("node").count().collect()] == [1000] * 4
+    assert staged[0].select("_part").distinct().count() > 1
+    assert rows.batch_ids(copies, 300, ["seq_id"]).groupBy("batch_id").count().count() == 14
+
+
 def test_row_numbers_of_nothing(spark):
     empty = spark.createDataFrame([], "key string, id int")
     assert row_numbers(empty, ["id"]).count() == 0
