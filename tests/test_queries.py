@@ -4,12 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from seqembed.queries import all_queries, all_sql
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = all_queries()
+SQL = all_sql()
 
 
 @pytest.fixture(scope="module")
