@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, decontaminate, simhash
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -16,6 +16,12 @@ def registered(query):
     return query
 
 
+@registered
+def op3_suffix_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document against the windows of ten words of every benchmark item."""
+    return decontaminate.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 @registered
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded by the multilingual byte vocabulary and decoded again."""
@@ -23,3 +29,9 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     encoded = bpe.encode(read(spark, folder, "documents"), vocabulary)
     return bpe.digest(bpe.decode(encoded, vocabulary))
+
+
+@registered
+def op8_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.report(read(spark, folder, "documents"))
