@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, simhash, toxicity
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -35,3 +35,9 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op8_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return simhash.report(read(spark, folder, "documents"))
+
+
+@registered
+def op5_toxicity_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the training part of the labels."""
+    return toxicity.report(read(spark, folder, "documents"), read(spark, folder, "labels"))
