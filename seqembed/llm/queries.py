@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, simhash, toxicity
+from . import bpe, decontaminate, secrets, simhash, toxicity
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -41,3 +41,10 @@ def op8_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
 def op5_toxicity_trees(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from the training part of the labels."""
     return toxicity.report(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@registered
+def op9_secret_guess_cost(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document."""
+    words = secrets.shared(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return secrets.report(read(spark, folder, "documents"), words)
