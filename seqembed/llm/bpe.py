@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import pieces, sha256_hex, ship_package, texts
+from .common import fresh, pieces, sha256_hex, ship_package
 
 NONE = np.int32(2**31 - 1)  # the rank of a pair that never merges
 LONG = 512
@@ -184,10 +184,10 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class _Encode:
-    """Arrow batches of (doc_id, text) to (doc_id, ids)."""
+    """Puts the ids, as the last column, in place of the text in Arrow batches."""
 
-    def __init__(self, vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary, text: int):
+        self.vocabulary, self.text = vocabulary, text
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = self.vocabulary.value
@@ -195,7 +195,7 @@ class _Encode:
         known: dict[str, int] = {}
         flat, starts, counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in pieces(batches):
-            parts = [split(text) for text in batch.column(1).to_pylist()]
+            parts = [split(text or "") for text in batch.column(self.text).to_pylist()]
             if len(known) > CACHED_PIECES:
                 known, flat, starts, counts = {}, flat[:0], starts[:0], counts[:0]
             new = list(set().union(*parts).difference(known))
@@ -209,7 +209,8 @@ class _Encode:
             ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, parts)])]
             values = pa.array(flat[spans(starts[index], lengths)], pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
+            columns = [*batch.columns[:self.text], *batch.columns[self.text + 1:], lists]
+            yield pa.RecordBatch.from_arrays(columns, names=[str(i) for i in range(len(columns))])
 
 
 class _Decode:
@@ -231,7 +232,7 @@ class _Decode:
             ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
             decoded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [
                 None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[str(i) for i in range(batch.num_columns + 1)])
 
 
 def shared(spark: SparkSession, path: str, pattern: str):
@@ -240,22 +241,30 @@ def shared(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast(Vocabulary.load(path, pattern))
 
 
-def encode(docs: DataFrame, vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(doc_id, ids)` for every row of `docs`; `vocabulary` comes from `shared`."""
-    source = texts(docs, id_col, text_col)
-    return source.mapInArrow(_Encode(vocabulary), T.StructType([
-        source.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+def encode(docs: DataFrame, vocabulary, text_col: str = "text") -> tuple[DataFrame, str]:
+    """`docs` with the ids in place of the text, and the name of that last column; `vocabulary` comes from `shared`."""
+    (name,) = fresh(docs, "ids")
+    at = docs.columns.index(text_col)
+    rest = [field for i, field in enumerate(docs.schema.fields) if i != at]
+    schema = T.StructType([*rest, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    return docs.mapInArrow(_Encode(vocabulary, at), schema), name
 
 
-def decode(encoded: DataFrame, vocabulary, ids_col: str = "ids") -> DataFrame:
-    """`encoded` with `decoded`, the bytes of its ids; missing ids count as none, unknown ids raise."""
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
-    return encoded.mapInArrow(_Decode(vocabulary, encoded.columns.index(ids_col)), schema)
+def decode(encoded: DataFrame, vocabulary, ids_col: str = "ids") -> tuple[DataFrame, str]:
+    """`encoded` with the bytes of the ids in a last column, whose name is returned.
 
+    Missing ids count as none; ids that are not in the vocabulary raise.
+    """
+    (name,) = fresh(encoded, "decoded")
+    schema = T.StructType([*encoded.schema.fields, T.StructField(name, T.BinaryType())])
+    return encoded.mapInArrow(_Decode(vocabulary, encoded.columns.index(ids_col)), schema), name
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """Counts and digests of encoded and decoded rows."""
-    return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        sha256_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
-        sha256_hex("decoded").alias("decoded_sha256"))
+
+def report(docs: DataFrame, vocabulary) -> DataFrame:
+    """Counts and digests of every row of `docs`, encoded and decoded."""
+    encoded, ids = encode(docs.select("doc_id", "text"), vocabulary)
+    decoded, data = decode(encoded, vocabulary, ids)
+    return decoded.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"),
+        sha256_hex(F.array_join(F.col(ids).cast("array<string>"), ",")).alias("ids_sha256"),
+        sha256_hex(data).alias("decoded_sha256"))

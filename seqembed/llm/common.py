@@ -9,18 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path, ship_package, stage
 
-__all__ = ["read", "scratch_path", "ship_package", "stage", "texts", "remainder", "pieces", "fresh", "sha256_hex"]
+__all__ = ["read", "scratch_path", "ship_package", "stage", "remainder", "pieces", "fresh", "sha256_hex"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(doc_id, text)` of every row, a missing text as the empty one; other columns are dropped."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo `modulus`; a missing id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus

@@ -27,8 +27,7 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded by the multilingual byte vocabulary and decoded again."""
     vocabulary = bpe.shared(
         spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    encoded = bpe.encode(read(spark, folder, "documents"), vocabulary)
-    return bpe.digest(bpe.decode(encoded, vocabulary))
+    return bpe.report(read(spark, folder, "documents"), vocabulary)
 
 
 @registered

@@ -6,6 +6,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from seqembed.llm import bpe
 from seqembed.llm.queries import op7_byte_bpe
@@ -28,7 +29,10 @@ def test_same_ids_as_the_library(spark, library):
     texts += ["".join(draw.choice("aeinrst") for _ in range(draw.randint(500, 900))) for _ in range(20)]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
     vocabulary = bpe.shared(spark, PATH, public_tokenizers.PATTERN)
-    rows = bpe.decode(bpe.encode(docs, vocabulary), vocabulary).collect()
+    encoded, ids = bpe.encode(docs, vocabulary)
+    decoded, data = bpe.decode(encoded, vocabulary, ids)
+    assert decoded.columns == ["doc_id", "ids", "_ids", "decoded"]
+    rows = decoded.select("doc_id", F.col("_ids").alias("ids"), "decoded").collect()
     assert len(rows) == len(texts)
     for row in rows:
         text = texts[row.doc_id] or ""
@@ -52,9 +56,9 @@ def test_documents(spark, library):
 def test_nothing_and_nulls(spark):
     vocabulary = bpe.shared(spark, PATH, public_tokenizers.PATTERN)
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert bpe.digest(bpe.decode(bpe.encode(empty, vocabulary), vocabulary)).count() == 0
+    assert bpe.report(empty, vocabulary).count() == 0
     nulls = spark.createDataFrame([(None, None), (None, None)], "doc_id long, text string")
-    rows = bpe.digest(bpe.decode(bpe.encode(nulls, vocabulary), vocabulary)).collect()
+    rows = bpe.report(nulls, vocabulary).collect()
     assert [r.n_tokens for r in rows] == [0, 0]
 
 
@@ -62,4 +66,4 @@ def test_unknown_id_raises(spark):
     vocabulary = bpe.shared(spark, PATH, public_tokenizers.PATTERN)
     bad = spark.createDataFrame([([10**9],)], "ids array<int>")
     with pytest.raises(Exception, match="not in the vocabulary"):
-        bpe.decode(bad, vocabulary).collect()
+        bpe.decode(bad, vocabulary)[0].collect()

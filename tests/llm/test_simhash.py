@@ -62,7 +62,7 @@ def close_prints(seed, centres, each, flips):
 def check_groups(spark, values, budget, **options):
     label = brute(values, budget)
     frame = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in values], "v long")
-    found = components(simhash.links(frame, "v", budget, **options), "a", "b")
+    found = components(simhash.links(frame.selectExpr("v", "v AS n"), ["v"], "n", budget, **options), "a", "b")
     at = {int(np.uint64(v).astype(np.int64)): i for i, v in enumerate(values)}
     got = {}
     for row in found.collect():
@@ -103,6 +103,45 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 6, 8]
 
 
+def test_wide_bits_and_equal_values(spark):
+    draw = random.Random(8)
+    rows = [(draw.randrange(4), draw.getrandbits(3), draw.getrandbits(2)) for _ in range(300)]
+    rows = [(i, *r) for i, r in enumerate(sorted(set(rows)))]
+    frame = spark.createDataFrame(rows, "n long, v long, w long, x long")
+    found = components(simhash.links(frame, ["v", "w", "x"], "n", 1, 2, cell=40), "a", "b")
+    label = {r[0]: r[0] for r in rows}
+    for _ in rows:
+        for a, *p in rows:
+            for b, *q in rows:
+                if min((x ^ y).bit_count() for x, y in zip(p, q)) <= 1 and sum((x ^ y).bit_count() for x, y in zip(p, q)) <= 2:
+                    label[a] = label[b] = min(label[a], label[b])
+        if len(set(label.values())) == 1:
+            break
+    assert {r.node: r.component for r in found.collect()} == label
+
+
+def test_near_copies_go(spark):
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    docs, origin = [], {}
+    for i in range(120):
+        text = [word() for _ in range(draw.randint(100, 400))]
+        docs.append((i * 10, " ".join(text)))
+        origin[i * 10] = i * 10
+        for j in range(1, draw.randint(1, 5)):
+            copy = list(text)
+            for _ in range(len(text) // 80):  # each change touches five shingles: similarity about 0.88
+                copy[draw.randrange(len(copy))] = word()
+            docs.append((i * 10 + j, " ".join(copy).upper()))
+            origin[i * 10 + j] = i * 10
+        half = text[:len(text) // 2] + [word() for _ in range(len(text) // 2)]
+        docs.append((i * 10 + 9, " ".join(half)))
+        origin[i * 10 + 9] = i * 10 + 9
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    wanted = set(origin.values())
+    assert wanted <= kept and len(kept - wanted) <= 0.02 * (len(docs) - len(wanted))
+
+
 def test_components(spark):
     draw = random.Random(9)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(draw.randrange(90), draw.randrange(90)) for _ in range(60)]
