@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, secrets, simhash, toxicity
+from . import bpe, decontaminate, secrets, simhash, substrings, toxicity
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -47,3 +47,9 @@ def op9_secret_guess_cost(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document."""
     words = secrets.shared(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return secrets.report(read(spark, folder, "documents"), words)
+
+
+@registered
+def op4_count_min_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its repeated windows of 35 words."""
+    return substrings.report(read(spark, folder, "documents"))
