@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, secrets, simhash, substrings, toxicity
+from . import bpe, decontaminate, secrets, shards, simhash, substrings, toxicity
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -53,3 +53,12 @@ def op9_secret_guess_cost(spark: SparkSession, folder: str) -> DataFrame:
 def op4_count_min_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without its repeated windows of 35 words."""
     return substrings.report(read(spark, folder, "documents"))
+
+
+@registered
+def op6_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return shards.report(read(spark, folder, "documents"))
+
+
+SQL["op6_feistel_shards"] = shards.report_sql()
