@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, secrets, shards, simhash, substrings, toxicity
+from . import bpe, decontaminate, itq, secrets, shards, simhash, substrings, toxicity
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -62,3 +62,9 @@ def op6_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op6_feistel_shards"] = shards.report_sql()
+
+
+@registered
+def op1_itq_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of every embedding."""
+    return itq.report(read(spark, folder, "embeddings"))
