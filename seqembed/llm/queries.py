@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, itq, secrets, shards, simhash, substrings, toxicity
+from . import bpe, decontaminate, itq, pii, secrets, shards, simhash, substrings, toxicity
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -68,3 +68,9 @@ SQL["op6_feistel_shards"] = shards.report_sql()
 def op1_itq_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of every embedding."""
     return itq.report(read(spark, folder, "embeddings"))
+
+
+@registered
+def op10_disclosure_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document and the terms that give it away."""
+    return pii.report(read(spark, folder, "documents"))
