@@ -38,6 +38,7 @@ BLOCK = 1 << 16
 ROWS = 2
 KNOWN_KEYS = 200_000
 PART_ROWS = 1_000_000
+PACK_BITS = 6
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -89,10 +90,11 @@ class Words:
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
         offsets = offsets - offsets[0]
-        # A space before each text keeps words of different texts apart.
+        # A space before each text and after the last keeps words of different texts apart.
         padded = np.full(len(data) + len(column) + 1, 32, np.uint8)
         places = np.arange(len(data)) + np.repeat(np.arange(1, len(column) + 1), np.diff(offsets))
         padded[places] = data
+        self.edges = offsets + np.arange(len(column) + 1)  # those spaces
         space = _SPACE[padded]
         change = np.flatnonzero(space[1:] != space[:-1]) + 1
         starts, ends = change[::2], change[1::2]
@@ -100,7 +102,7 @@ class Words:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(_LETTERS[padded] * up[:-1])])
         self.hashes = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         self.data, self.starts, self.ends = padded, starts, ends
-        self.first = np.searchsorted(starts, offsets + np.arange(len(column) + 1))  # first word of each text
+        self.first = np.searchsorted(starts, self.edges)  # first word of each text
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places at which a window begins, the place of its minimiser, and the hash of the latter."""
@@ -249,7 +251,10 @@ class _Windows:
 
 
 class _Judge:
-    """All windows of some keys to (row, places): repeated ones, as packed 32-bit places."""
+    """All windows of some keys to (pack, places): repeated ones, as numbers made of row within the pack and place.
+
+    The windows of a document lie in all partitions, so what a partition returns is packed by many documents.
+    """
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
@@ -265,12 +270,33 @@ class _Judge:
         hit = (state == 1) | ((state == 0) & (weight[group] >= 2))
         row, at = row[hit], at[hit]
         order = np.lexsort((at, row))
-        row, at = row[order], at[order].astype(np.int32)
-        edges = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else []
-        for first in range(0, len(edges) - 1, 4096):
-            parts = list(zip(edges[first:first + 4096], edges[first + 1:first + 4097]))
-            yield pa.RecordBatch.from_arrays([pa.array([int(row[a]) for a, _ in parts], pa.int64()),
-                                              pa.array([at[a:b].tobytes() for a, b in parts], pa.binary())], names=["row", "places"])
+        row, at = row[order], at[order].astype(np.int64)
+        pack, places = row >> PACK_BITS, (row & (1 << PACK_BITS) - 1) << 32 | at
+        for first, end in _stretches(pack, 1024):
+            yield pa.RecordBatch.from_arrays([pa.array([int(pack[a]) for a in first], pa.int64()),
+                                              pa.array([places[a:b].tobytes() for a, b in zip(first, end)], pa.binary())],
+                                             names=["pack", "places"])
+
+
+def _stretches(keys: np.ndarray, at_once: int) -> Iterator[tuple[list[int], list[int]]]:
+    """Where runs of equal keys begin and end, some runs at a time."""
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist() if len(keys) else []
+    for i in range(0, len(edges) - 1, at_once):
+        yield edges[i:i + at_once][:len(edges) - 1 - i], edges[i + 1:i + 1 + at_once]
+
+
+class _Unpack:
+    """(pack, parts) to (row, places): the places of each document, as packed 32-bit numbers."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack, parts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                places = np.sort(np.frombuffer(b"".join(parts.as_py()), np.int64))
+                row, at = places >> 32, (places & 0xFFFFFFFF).astype(np.int32)
+                for first, end in _stretches(row, 1024):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(row[a]) + (pack << PACK_BITS) for a in first], pa.int64()),
+                         pa.array([at[a:b].tobytes() for a, b in zip(first, end)], pa.binary())], names=["row", "places"])
 
 
 class _Remove:
@@ -282,13 +308,12 @@ class _Remove:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             removed, out = [], []
-            for text, parts in zip(batch.column(3).cast(pa.binary()).to_pylist(), batch.column(4).to_pylist()):
+            for text, places in zip(batch.column(3).cast(pa.binary()).to_pylist(), batch.column(4).to_pylist()):
                 words = (text or b"").split()
                 cover = np.zeros(len(words) + 1, np.int64)
-                for part in parts or []:
-                    at = np.frombuffer(part, np.int32)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + self.size, -1)
+                at = np.frombuffer(places or b"", np.int32)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + self.size, -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 removed.append(int(gone.sum()))
                 out.append(b" ".join(words[i] for i in np.flatnonzero(~gone).tolist()) if removed[-1] else b" ".join(words))
@@ -302,9 +327,9 @@ class _Remove:
 
 
 def repeated(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """What the passes find: documents `(row, doc_id, n_words, digest, text)` and places `(row, parts)`.
+    """What the passes find: documents `(row, doc_id, n_words, digest, text)` and `(row, places)`.
 
-    A document without a candidate has the digest of its words and no text. `parts` are packed 32-bit
+    A document without a candidate has the digest of its words and no text. `places` are packed 32-bit
     numbers of the words at which repeated windows begin.
     """
     spark = docs.sparkSession
@@ -324,15 +349,16 @@ def repeated(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // PART_ROWS))
     windows = left.select("row", "text").mapInArrow(
         _Windows(bits, size, cells), "key long, check int, row long, at int, state byte")
-    places = (windows.repartition(parts, "key").mapInArrow(_Judge(), "row long, places binary")
-              .groupBy("row").agg(F.collect_list("places").alias("parts")))
+    places = (windows.repartition(parts, "key").mapInArrow(_Judge(), "pack long, places binary")
+              .groupBy("pack").agg(F.collect_list("places").alias("parts"))
+              .mapInArrow(_Unpack(), "row long, places binary"))
     return found, places
 
 
 def _outcome(docs: DataFrame, size: int, whole: bool) -> DataFrame:
     found, places = repeated(docs, size)
     done = found.filter("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept"))
-    judged = found.filter("text IS NOT NULL").join(places, "row", "left").select("doc_id", "n_words", "digest", "text", "parts")
+    judged = found.filter("text IS NOT NULL").join(places, "row", "left").select("doc_id", "n_words", "digest", "text", "places")
     schema = T.StructType([found.schema["doc_id"], T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return done.unionByName(judged.mapInArrow(_Remove(size, whole), schema))
