@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, itq, pii, secrets, shards, simhash, substrings, toxicity
+from . import bpe, decontaminate, itq, mixing, pii, secrets, shards, simhash, substrings, toxicity
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -74,3 +74,9 @@ def op1_itq_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_disclosure_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of every document and the terms that give it away."""
     return pii.report(read(spark, folder, "documents"))
+
+
+@registered
+def op2_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Word and mixing scores of every document."""
+    return mixing.report(read(spark, folder, "documents"))
