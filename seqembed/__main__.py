@@ -19,12 +19,12 @@ def main(argv: list[str] | None = None) -> None:
     stage = commands.add_parser("stage", help="write sequences as parquet shards")
     stage.add_argument("--source", choices=["corpus", "fasta", "synthetic"], default="corpus")
     stage.add_argument("--input")
-    stage.add_argument("--n", type=int, default=1000)
-    stage.add_argument("--max-len", type=int, default=1024)
+    stage.add_argument("--n", type=int, help="rows; all when left out, 1,000 synthetic ones")
+    stage.add_argument("--max-len", type=int, default=1024, help="0: whole sequences")
     stage.add_argument("--min-len", type=int, default=50)
     stage.add_argument("--mean-len", type=int, default=200)
     stage.add_argument("--seed", type=int, default=42)
-    stage.add_argument("--shard-rows", type=int, default=500)
+    stage.add_argument("--shard-rows", type=int, default=0)
     stage.add_argument("--exact-shards", action="store_true")
 
     tokens = commands.add_parser("pretokenize", help="write token parquet")
@@ -41,7 +41,8 @@ def main(argv: list[str] | None = None) -> None:
     embed.add_argument("--nodes", type=int, default=1)
     embed.add_argument("--workers", type=int)
     embed.add_argument("--pretokenized", action="store_true")
-    embed.add_argument("--model", help="module:name of a model factory; the stand-in when left out")
+    embed.add_argument("--model", required=True,
+                       help="module:name of a model factory, or stand-in")
 
     smoke = commands.add_parser("smoke", help="check that batches reach the workers and come back")
     smoke.add_argument("--workers", type=int, default=2)
@@ -54,14 +55,14 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"seqembed {args.command}").getOrCreate()
 
     if args.command == "stage":
-        stats = jobs.stage_job(spark, args.source, args.output, args.input, args.n, args.max_len, args.min_len,
+        stats = jobs.stage_job(spark, args.source, args.output, args.input, args.n, args.max_len or None, args.min_len,
                                args.mean_len, args.seed, args.shard_rows, args.exact_shards, mode)
         print(json.dumps(stats.first().asDict()))
     elif args.command == "pretokenize":
         jobs.pretokenize_job(spark, args.input, args.output, args.n, args.max_length, args.shard_rows, mode)
     elif args.command == "embed":
         model = StandIn()
-        if args.model:
+        if args.model != "stand-in":
             module, name = args.model.split(":")
             model = getattr(importlib.import_module(module), name)
         report = jobs.embed_job(spark, args.input, args.output, model, args.limit, args.batch_size, args.max_length,

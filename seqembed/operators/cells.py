@@ -82,10 +82,11 @@ def hvg(df: DataFrame, k: int) -> DataFrame:
     # Counted from the totals, which can share the shuffle of the pairs.
     cells = cell_totals(df).select(F.count("total")).scalar()
     sums = df.groupBy("gene_id").agg(
-        F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("ss"),
+        F.sum("count").alias("s"), F.count("count").alias("k"), F.var_pop("count").alias("spread"),
     ).withColumn("n", cells)
-    s, ss, n = F.col("s"), F.col("ss"), F.col("n")
-    variance = (ss - s * s / n) / (n - 1)
+    s, present, n = F.col("s"), F.col("k"), F.col("n")
+    # The squares around the mean of the cells that have the gene, and what the others add: no large sums cancel.
+    variance = (F.col("spread") * present + (s / present) * s * (n - present) / n) / (n - 1)
     stats = sums.filter((s > 0) & (n > 1)).select(
         "gene_id", (s / n).alias("mean"), variance.alias("variance"),
         (variance / (s / n)).alias("dispersion"))

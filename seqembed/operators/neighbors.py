@@ -151,7 +151,10 @@ class _Placer:
             values, starts = list_codes(batch.column("vector"))
             if not len(values):
                 continue
-            vectors = values.reshape(len(starts) - 1, -1)
+            sizes = np.diff(starts)
+            if (sizes != pivots.shape[1]).any():
+                raise ValueError("vectors have different lengths")
+            vectors = values.reshape(len(sizes), -1)
             lengths = np.linalg.norm(vectors, axis=1)
             usable = lengths > 0
             units = vectors[usable] / lengths[usable, None]

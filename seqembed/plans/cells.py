@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import cells as ops
 from ..operators.rows import cap_keys, drop_values
@@ -28,17 +28,27 @@ class CellSettings:
     max_cells: int = 0
 
 
-def preprocess(counts: DataFrame, medians: DataFrame | None = None,
-               settings: CellSettings = CellSettings()) -> DataFrame:
-    """Raw counts to scaled values `(cell_id, gene_id, count, value)`."""
+def filtered(counts: DataFrame, settings: CellSettings = CellSettings()) -> DataFrame:
+    """Raw counts to summed counts `(cell_id, gene_id, count)` of the cells that pass the filters."""
+    if settings.max_mitochondrial_prop is not None and settings.mito_genes is None:
+        raise ValueError("max_mitochondrial_prop needs mito_genes")
     for column, values in settings.remove.items():
         counts = drop_values(counts, column, values)
-    pairs = read_cells(counts)
-    if settings.max_cells:
-        pairs = cap_keys(pairs, "cell_id", settings.max_cells)
-    pairs = ops.min_genes(pairs, settings.min_gene_counts)
+    pairs = ops.min_genes(read_cells(counts), settings.min_gene_counts)
     if settings.mito_genes is not None:
         pairs = ops.max_mito(pairs, settings.mito_genes, settings.max_mitochondrial_prop)
+    return pairs
+
+
+def preprocess(counts: DataFrame, medians: DataFrame | None = None,
+               settings: CellSettings = CellSettings()) -> DataFrame:
+    """Raw counts to scaled values `(cell_id, gene_id, count, value)`."""
+    return preprocess_pairs(filtered(counts, settings), medians, settings)
+
+
+def preprocess_pairs(pairs: DataFrame, medians: DataFrame | None = None,
+                     settings: CellSettings = CellSettings()) -> DataFrame:
+    """`preprocess` from what `filtered` returns."""
     if settings.hvg:
         pairs = pairs.join(ops.hvg(pairs, settings.hvg).select("gene_id"), "gene_id", "left_semi")
     values = ops.normalize_total(pairs, settings.normalized_total)
@@ -50,6 +60,17 @@ def preprocess(counts: DataFrame, medians: DataFrame | None = None,
     return ops.log1p(values) if settings.log1p else values
 
 
+def all_cells(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Token lists of all cells of `pairs`; a cell without a token gets an empty list."""
+    ids = F.coalesce("gene_ids", F.array().cast(lists.schema["gene_ids"].dataType))
+    return pairs.select("cell_id").distinct().join(lists, "cell_id", "left").withColumn("gene_ids", ids)
+
+
+def cap_cells(lists: DataFrame, settings: CellSettings) -> DataFrame:
+    """The first `max_cells` cells of the token lists, so filters, medians and variable genes see all cells."""
+    return cap_keys(lists, "cell_id", settings.max_cells) if settings.max_cells else lists
+
+
 def token_lists(values: DataFrame, vocab: DataFrame, max_seq_len: int = 2048) -> DataFrame:
     """Scaled values to `(cell_id, gene_ids)`."""
     return ops.cell_tokens(ops.rank_genes(ops.map_tokens(values, vocab), max_seq_len))

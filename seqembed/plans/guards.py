@@ -34,14 +34,17 @@ def reconcile(source: DataFrame, output: DataFrame) -> DataFrame:
         "matches", F.col("input_rows") == F.col("output_rows"))
 
 
-def postflight(spark: SparkSession, path: str, expected_rows: int) -> int:
-    """Rows at `path`; raises when there is no output, warns when the count differs."""
+def postflight(spark: SparkSession, path: str, expected_rows: int, strict: bool = False) -> int:
+    """Rows at `path`; raises when there is no output, and warns, or if `strict` raises, when the count differs."""
     try:
         rows = spark.read.parquet(path).count()
     except AnalysisException as error:
         raise FileNotFoundError(f"no output at {path}") from error
     if rows != expected_rows:
-        warnings.warn(f"{path} has {rows} rows, expected {expected_rows}", stacklevel=2)
+        message = f"{path} has {rows} rows, expected {expected_rows}"
+        if strict:
+            raise ValueError(message)
+        warnings.warn(message, stacklevel=2)
     return rows
 
 

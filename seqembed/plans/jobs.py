@@ -14,14 +14,15 @@ from ..functions.tokenize import tokenize
 from ..operators.lengths import length_stats
 from ..operators.rows import hash_split, limit_rows
 from ..schemas import SMOKE_OUT
+from ..session import stage
 from ..sinks.files import describe_output, export_csv, write_partitioned, write_shards, write_stage
 from ..sources.corpus import read_corpus
 from ..sources.fasta import read_fasta
 from ..sources.synth import synth_sequences
 from ..sources.tables import read_first, smoke_input
-from .cells import CellSettings, preprocess, token_lists
+from .cells import CellSettings, all_cells, cap_cells, filtered, preprocess_pairs, token_lists
 from .embed import embed, embed_cells
-from .guards import already_done, check_dim, postflight, preflight
+from .guards import check_dim, postflight, preflight
 
 
 @dataclass
@@ -41,28 +42,29 @@ class RunReport:
         return {**asdict(self), "rate": self.rate, "rate_per_worker": self.rate / self.workers}
 
 
-def stage_job(spark: SparkSession, source: str, output: str, path: str | None = None, n: int = 1000,
-              max_len: int = 1024, min_len: int = 50, mean_len: int = 200, seed: int = 42,
-              shard_rows: int = 500, exact_shards: bool = False, mode: str = "errorifexists") -> DataFrame:
+def stage_job(spark: SparkSession, source: str, output: str, path: str | None = None, n: int | None = None,
+              max_len: int | None = 1024, min_len: int = 50, mean_len: int = 200, seed: int = 42,
+              shard_rows: int = 0, exact_shards: bool = False, mode: str = "errorifexists") -> DataFrame:
     """Stage sequences as parquet shards; returns their count and lengths.
 
-    Shards have `shard_rows` rows at most; `exact_shards` makes all but one have exactly as many, for
-    the price of a sort.
+    `n` is the number of rows, all when left out; synthetic sequences are 1,000 then. `max_len` cuts
+    sequences; with None they stay whole. Shards have `shard_rows` rows at most, 0 leaves that to Spark;
+    `exact_shards` makes all but one have exactly as many, for the price of a sort.
 
     `source` is "corpus" (parquet with `id`, `text`, `sequence`), "fasta" or "synthetic".
     """
     if source == "corpus":
         # File order: the rows are those the first `n` of the files hold.
-        raw = read_first(spark, path, n)
+        raw = read_first(spark, path, n or 0)
         position = raw.select("*", F.col("_metadata.file_path").alias("_file"),
                               F.col("_metadata.row_index").alias("_index"))
         for field in {"id", "text", "sequence"} - set(raw.columns):
             position = position.withColumn(field, F.lit(None).cast("string"))
         df = read_corpus(position, ["_file", "_index"], max_len=max_len)
     elif source == "fasta":
-        df = read_fasta(spark, path, n=n, max_len=max_len)
+        df = read_fasta(spark, path, n=n or 0, max_len=max_len)
     elif source == "synthetic":
-        df = synth_sequences(spark, n, min_len=min_len, max_len=max_len, mean_len=mean_len, seed=seed)
+        df = synth_sequences(spark, 1000 if n is None else n, min_len=min_len, max_len=max_len or 1024, mean_len=mean_len, seed=seed)
     else:
         raise ValueError(f"unknown source {source!r}")
     write_shards(df, output, shard_rows, ["seq_id"] if exact_shards else (), mode)
@@ -94,27 +96,37 @@ def embed_job(spark: SparkSession, path: str, output: str, model: Callable = Sta
     else:
         write_stage(vectors, output, mode)
     wall = time.perf_counter() - started
-    rows = postflight(spark, output, expected)
+    rows = postflight(spark, output, expected, strict=True)
     return RunReport(expected, rows, wall, workers or spark.sparkContext.defaultParallelism)
 
 
 def embed_table_job(spark: SparkSession, source: str, target: str, dims: int, model: Callable = StandIn(),
                     limit: int = 0, batch_size: int = 32, max_length: int = 1024, fmt: str = "parquet",
                     location: str | None = None) -> bool:
-    """Embed a catalog table into another, unless that is already filled; False when skipped.
+    """Embed the rows of a catalog table that another one lacks; False when there are none.
 
-    One plan from table to table. Raises when an embedding does not have `dims` elements.
+    Done is what has an embedding of `dims` elements in the target; rows with others are replaced. New
+    embeddings are staged and checked before they are added, so a run with wrong `dims` raises and leaves
+    the target as it was. Rows without an id are embedded once, in the run that makes the table.
     """
-    if already_done(spark, target):
-        return False
     rows = limit_rows(spark.table(source).select("seq_id", "sequence"), limit, ["seq_id"])
-    writer = embed(rows, model, max_length, batch_size).write.mode("overwrite").format(fmt)
-    if location is not None:
+    exists, wrong = spark.catalog.tableExists(target), False
+    if exists:
+        done = spark.table(target)
+        good = done.filter(F.size("embedding") == dims)
+        wrong = not done.filter(F.coalesce(F.size("embedding"), F.lit(-1)) != dims).isEmpty()
+        rows = rows.filter("seq_id IS NOT NULL").join(good.select("seq_id"), "seq_id", "left_anti")
+        if rows.isEmpty() and not wrong:
+            return False
+    vectors = stage(embed(rows, model, max_length, batch_size), "vectors")
+    if check_dim(vectors, dims).filter(~F.col("as_expected")).count():
+        raise ValueError(f"the model's embeddings do not have {dims} elements")
+    if wrong:
+        vectors = stage(good, "kept").unionByName(vectors)
+    writer = vectors.write.mode("append" if exists and not wrong else "overwrite").format(fmt)
+    if location is not None and (wrong or not exists):
         writer = writer.option("path", location)
     writer.saveAsTable(target)
-    wrong = check_dim(spark.table(target), dims).filter(~F.col("as_expected")).count()
-    if wrong:
-        raise ValueError(f"{target} has embeddings that do not have {dims} elements")
     return True
 
 
@@ -122,11 +134,17 @@ def cell_job(spark: SparkSession, counts: DataFrame, vocab: DataFrame, output: s
              medians: DataFrame | None = None, settings: CellSettings = CellSettings(),
              model: Callable = StandIn(), dims: int | None = None, batch_size: int = 4,
              mode: str = "errorifexists") -> DataFrame:
-    """Embed cells from raw counts; parquet at `output`, and CSV beside it when `dims` is given."""
-    values = preprocess(counts, medians, settings)
-    lists = token_lists(values, vocab, settings.max_seq_len)
+    """Embed cells from raw counts; parquet at `output`, and CSV beside it when `dims` is given.
+
+    Every cell that passes the filters is embedded; one without a token is all padding. Raises when the
+    output does not have them all.
+    """
+    pairs = stage(filtered(counts, settings), "pairs")
+    lists = token_lists(preprocess_pairs(pairs, medians, settings), vocab, settings.max_seq_len)
+    lists = stage(cap_cells(all_cells(lists, pairs), settings), "token-lists")
     vectors = embed_cells(lists, model, settings.max_seq_len, batch_size)
     write_stage(vectors, output, mode)
+    postflight(spark, output, lists.count(), strict=True)
     written = spark.read.parquet(output)
     if dims is not None:
         export_csv(written, f"{output}.csv", dims, mode)

@@ -10,17 +10,17 @@ from ..operators.rank import row_numbers
 from ..operators.rows import limit_rows
 
 
-def read_corpus(df: DataFrame, order: Sequence[str], n: int = 0, max_len: int = 1024,
+def read_corpus(df: DataFrame, order: Sequence[str], n: int = 0, max_len: int | None = 1024,
                 prefix: str = "uniref50_") -> DataFrame:
     """`(id, text, sequence)` rows to `(seq_id, sequence)`.
 
     The sequence is `text`, or `sequence` where that is empty; rows with neither are dropped. `n`
     counts raw rows in `order`, so fewer may come out. A row without an id is named after its raw
-    position, counted from 0.
+    position, counted from 0. Sequences are cut at `max_len`; None leaves them whole.
     """
     body = F.coalesce(F.nullif("text", F.lit("")), F.nullif("sequence", F.lit("")))
     raw = limit_rows(df, n, order).select(
-        *order, F.col("id").cast("string").alias("_id"), F.substring(body, 1, max_len).alias("_body"))
+        *order, F.col("id").cast("string").alias("_id"), (F.substring(body, 1, max_len) if max_len else body).alias("_body"))
     name = F.col("_id")
     if not df.filter(F.col("id").isNull()).isEmpty():
         raw = row_numbers(raw, order, name="_row")

@@ -10,12 +10,12 @@ from ..session import stage
 from .corpus import numbered_id
 
 
-def read_fasta(spark: SparkSession, path: str, n: int = 0, max_len: int = 1024,
+def read_fasta(spark: SparkSession, path: str, n: int = 0, max_len: int | None = 1024,
                prefix: str = "sp_") -> DataFrame:
     """FASTA files, plain or gzip, to `(seq_id, sequence)`.
 
     A line that starts with `>` opens a record; the lines after it, right-stripped and joined, are
-    the sequence, cut at `max_len`. The id is the second `|` field of the header. A header without
+    the sequence, cut at `max_len`, or whole when that is None. The id is the second `|` field of the header. A header without
     one is named after the number of records before it, in file order. Text before the first header
     of a file and records without a body are dropped. `n` keeps the first `n` records, 0 all.
 
@@ -44,7 +44,7 @@ def read_fasta(spark: SparkSession, path: str, n: int = 0, max_len: int = 1024,
     title = F.when(leads, F.expr("substr(header, 2)")).otherwise(F.col("header"))
     named = records.select(
         "file", "block", "row", F.get(F.split(title, r"\|"), F.lit(1)).alias("seq_id"),
-        F.substring("body", 1, max_len).alias("sequence"))
+        (F.substring("body", 1, max_len) if max_len else F.col("body")).alias("sequence"))
 
     order = ["file", "block", "row"]
     if n > 0 or not named.filter(F.col("seq_id").isNull()).isEmpty():

@@ -81,6 +81,12 @@ def test_hvg_counts_absent_cells(counts):
     assert [r.gene_id for r in ops.hvg(read_cells(counts), 1).collect()] == ["c"]
 
 
+def test_variance_of_large_counts(spark):
+    rows = [(f"c{i}", "g", 1e9 + i % 3) for i in range(90)]
+    pairs = spark.createDataFrame(rows, "cell_id string, gene_id string, count double")
+    assert ops.hvg(pairs, 1).first().variance == pytest.approx(60 / 89)
+
+
 def test_annotate_leaves_unmapped_null(spark):
     cells = spark.createDataFrame([("c1", "lung", "f"), ("c2", "other", None)], "cell_id string, tissue string, sex string")
     maps = {"tissue": spark.createDataFrame([("lung", "L")], "label string, mapped string"),

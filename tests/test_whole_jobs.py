@@ -58,7 +58,14 @@ def test_table_job(spark, staged, tmp_path):
     where = str(tmp_path / "dst")
     assert jobs.embed_table_job(spark, "job_src", "job_dst", 64, limit=120, location=where)
     assert ids(spark.table("job_dst")) == [f"synth_{i:06d}" for i in range(120)]
+    with pytest.raises(ValueError):
+        jobs.embed_table_job(spark, "job_src", "job_dst", 1280, location=where)
+    assert spark.table("job_dst").count() == 120
+    assert jobs.embed_table_job(spark, "job_src", "job_dst", 64, location=where)  # the rest
+    assert ids(spark.table("job_dst")) == [f"synth_{i:06d}" for i in range(230)]
     assert not jobs.embed_table_job(spark, "job_src", "job_dst", 64, location=where)
+    assert jobs.embed_table_job(spark, "job_src", "job_dst", 8, model=StandIn(8))  # other embeddings replace these
+    assert spark.table("job_dst").filter("size(embedding) = 8").count() == spark.table("job_dst").count() == 230
     with pytest.raises(ValueError):
         jobs.embed_table_job(spark, "job_src", "job_other", 1280, location=str(tmp_path / "other"))
 
@@ -92,13 +99,35 @@ def test_cell_job(spark, tmp_path):
     assert spark.read.csv(f"{out}.csv", header=True).columns == ["0", "1", "2", "3"]
 
 
+def test_no_cell_vanishes(spark, tmp_path):
+    rows = [("a", "g1", 5.0), ("a", "g2", 1.0), ("b", "g1", 0.0), ("c", "other", 3.0), ("d", "g2", 2.0), ("d", "g1", 1.0)]
+    counts = spark.createDataFrame(rows, "cell_id string, gene_id string, count double")
+    vocab = spark.createDataFrame([("g1", 3), ("g2", 4)], "gene_id string, token_id int")
+    out = [str(tmp_path / f"cells{i}") for i in range(3)]
+    run = lambda i, **s: sorted(r.cell_id for r in jobs.cell_job(
+        spark, counts, vocab, out[i], settings=CellSettings(max_seq_len=4, **s), model=StandIn(4)).collect())
+    assert run(0) == ["a", "b", "c", "d"]
+    assert run(1, min_gene_counts=2, max_cells=1) == ["a"]  # the cap comes after the filter
+    with pytest.raises(ValueError):
+        run(2, max_mitochondrial_prop=0.1)
+
+
+def test_staging_takes_all_and_whole(spark, tmp_path):
+    spark.createDataFrame([("A" * 3000,)] * 1500, "text string").write.parquet(str(tmp_path / "in"))
+    stats = jobs.stage_job(spark, "corpus", str(tmp_path / "out"), str(tmp_path / "in"), max_len=None).first()
+    assert (stats.n_rows, stats.min_len) == (1500, 3000)
+    (tmp_path / "x.fasta").write_text(">a|B|c\n" + "MK" * 900 + "\n")
+    stats = jobs.stage_job(spark, "fasta", str(tmp_path / "f"), str(tmp_path / "x.fasta"), max_len=None).first()
+    assert (stats.n_rows, stats.max_len) == (1, 1800)
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "x.fasta").write_text(">db|P1|n\nMKV\n>db|P2|n\nAC\n")
     staged, tokens, out = (str(tmp_path / name) for name in ("staged", "tokens", "out"))
     main(["stage", "--source", "fasta", "--input", str(tmp_path / "x.fasta"), "--output", staged])
     assert json.loads(capsys.readouterr().out) == {"n_rows": 2, "min_len": 2, "median_len": 3, "max_len": 3}
     main(["pretokenize", "--input", staged, "--output", tokens, "--max-length", "16"])
-    main(["embed", "--input", tokens, "--output", out, "--pretokenized"])
+    main(["embed", "--input", tokens, "--output", out, "--pretokenized", "--model", "stand-in"])
     assert json.loads(capsys.readouterr().out)["output_rows"] == 2
     main(["smoke", "--output", str(tmp_path / "smoke")])
     assert "n_rows" in capsys.readouterr().out
