@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cells as ops
 from ..operators.rows import cap_keys, drop_values
-from ..plans.cells import preprocess, token_lists
+from ..plans.cells import all_cells, filtered, preprocess, preprocess_pairs, token_lists
 from ..plans.embed import embed_cells
 from .embedding import DIMS, per_dim
 from .inputs import (COUNTS_SQL, NORMALIZED_SQL, SCALED_SQL, cell_counts, gene_medians, joined, raw_counts,
@@ -89,6 +89,21 @@ def cell_rank_tokens(spark, folder):
     return lists.select("cell_id", joined("gene_ids"))
 
 
+def cell_rank_tokens_long(spark, folder):
+    """A cut above the group limit of the optimizer: cells are ranked in slices first."""
+    lists = token_lists(scaled(spark, folder), vocabulary(spark, folder), 2048)
+    return lists.select("cell_id", joined("gene_ids"))
+
+
+def cells_all_kept(spark, folder):
+    """Cells without a count above zero, and a vocabulary of half the genes: every cell stays."""
+    counts = raw_counts(spark, folder)
+    pairs = filtered(counts.withColumn("count", F.when(F.col("cell_id").cast("long") % 5 == 0, 0.0).otherwise(F.col("count"))))
+    values = preprocess_pairs(pairs, gene_medians(spark, folder))
+    lists = token_lists(values, vocabulary(spark, folder).filter("gene_id % 2 = 0"), TOP)
+    return all_cells(lists, pairs).select("cell_id", joined("gene_ids"))
+
+
 def cell_continuous_rank(spark, folder):
     ranked = ops.continuous_rank(scaled(spark, folder))
     return ranked.select("cell_id", "gene_id", F.round("rank_value", 12).alias("rank_value"))
@@ -116,6 +131,8 @@ QUERIES = {
     "cell_annotate": cell_annotate,
     "cell_log1p": cell_log1p,
     "cell_rank_tokens": cell_rank_tokens,
+    "cell_rank_tokens_long": cell_rank_tokens_long,
+    "cells_all_kept": cells_all_kept,
     "cell_continuous_rank": cell_continuous_rank,
     "cell_bins": cell_bins,
     "embed_cells": cell_embeddings,
@@ -130,6 +147,9 @@ _TOKEN_SQL = f"""{SCALED_SQL}, ranked AS (
     SELECT cell_id, p_partkey + 3 AS token,
            row_number() OVER (PARTITION BY cell_id ORDER BY value DESC, gene_id) AS rank
     FROM scaled JOIN part ON gene_id = CAST(p_partkey AS VARCHAR) WHERE value > 0)"""
+_SPARSE_SQL = _TOKEN_SQL.replace(
+    "sum(l_quantity)", "sum(CASE WHEN l_suppkey % 5 = 0 THEN 0 ELSE l_quantity END)").replace(
+    "WHERE value > 0", "WHERE value > 0 AND p_partkey % 2 = 0")
 
 SQL = {
     "cell_counts": f"WITH {COUNTS_SQL} SELECT * FROM counts",
@@ -179,6 +199,13 @@ SQL = {
     "cell_rank_tokens": f"""
         WITH {_TOKEN_SQL} SELECT cell_id, string_agg(token, ',' ORDER BY rank) AS gene_ids
         FROM ranked WHERE rank <= {TOP} GROUP BY cell_id""",
+    "cell_rank_tokens_long": f"""
+        WITH {_TOKEN_SQL} SELECT cell_id, string_agg(token, ',' ORDER BY rank) AS gene_ids
+        FROM ranked WHERE rank <= 2048 GROUP BY cell_id""",
+    "cells_all_kept": f"""
+        WITH {_SPARSE_SQL} SELECT c.cell_id, coalesce(string_agg(token, ',' ORDER BY rank), '') AS gene_ids
+        FROM (SELECT DISTINCT cell_id FROM counts) c LEFT JOIN ranked r ON r.cell_id = c.cell_id AND rank <= {TOP}
+        GROUP BY c.cell_id""",
     "cell_continuous_rank": f"""
         WITH {_RANKED_SQL} SELECT cell_id, gene_id, round((n - rank + 1) / n, 12) AS rank_value FROM ranked""",
     "cell_bins": f"""

@@ -91,6 +91,12 @@ def neighbours(spark, folder):
     return near.withColumn("cosine", F.round("cosine", 6))
 
 
+def neighbours_blocks(spark, folder):
+    """Small blocks, so rows visit other blocks as they do on large data."""
+    near = knn_cosine(table(spark, folder, "embeddings"), k=15, block_rows=64)
+    return near.withColumn("cosine", F.round("cosine", 6))
+
+
 def projection(spark, folder):
     return pca_2d(table(spark, folder, "embeddings"))
 
@@ -103,6 +109,7 @@ QUERIES = {
     "pool_unmasked": pool_unmasked,
     "csv_wide": csv_wide,
     "knn_cosine": neighbours,
+    "knn_cosine_blocks": neighbours_blocks,
     "pca_2d": projection,
 }
 
@@ -124,3 +131,4 @@ SQL = {
             FROM pairs)
         SELECT vec_id, rank, neighbor, round(sim, 6) AS cosine FROM ranked WHERE rank <= 15""",
 }
+SQL["knn_cosine_blocks"] = SQL["knn_cosine"]

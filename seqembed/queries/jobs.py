@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..plans.embed import embed
 from ..plans.guards import already_done, check_dim, postflight, preflight, reconcile
+from ..plans.jobs import embed_table_job, stage_job
 from ..plans.reports import eta_minutes, speedup, throughput, util_overall, util_summary
 from ..session import scratch_path
 from ..sinks.files import promote, write_stage
-from .inputs import RUNS_SQL, UTIL_SQL, runs, sequences, table, util_samples
+from .inputs import RUNS_SQL, SEQUENCES_SQL, UTIL_SQL, runs, sequences, table, util_samples
 
 
 def preflight_count(spark, folder):
@@ -27,6 +28,27 @@ def skip_guard(spark, folder):
         F.lit(missing).alias("before"), F.lit(done).alias("after"), F.count("*").alias("n_rows"))
 
 
+def stage_all(spark, folder):
+    """The staging job without a limit or a cut."""
+    path, out = scratch_path(spark, "corpus"), scratch_path(spark, "staged")
+    write_stage(sequences(spark, folder).selectExpr("seq_id AS id", "sequence AS text", "'' AS sequence"), path)
+    stage_job(spark, "corpus", out, path, max_len=None)
+    return spark.read.parquet(out)
+
+
+def table_resume(spark, folder):
+    """A limited table job and a full one after it; the tables' entries are dropped, their files stay staged."""
+    place = scratch_path(spark, "resumed")
+    source, target = (scratch_path(spark, name).rsplit("/", 1)[1].replace("-", "_") for name in ("from", "to"))
+    sequences(spark, folder).write.option("path", scratch_path(spark, "source")).saveAsTable(source)
+    again = [embed_table_job(spark, source, target, 64, limit=limit, location=place) for limit in (120, 0, 0)]
+    spark.sql(f"DROP TABLE {source}")
+    spark.sql(f"DROP TABLE {target}")
+    return spark.read.parquet(place).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("seq_id").alias("n_ids"), F.min(F.size("embedding")).alias("dim"),
+        F.lit(again[1]).alias("resumed"), F.lit(again[2]).alias("again"))
+
+
 def count_reconcile(spark, folder):
     source = sequences(spark, folder)
     path = scratch_path(spark, "embedded")
@@ -63,6 +85,8 @@ def eta(spark, folder):
 QUERIES = {
     "preflight_count": preflight_count,
     "skip_guard": skip_guard,
+    "stage_all": stage_all,
+    "table_resume": table_resume,
     "count_reconcile": count_reconcile,
     "dim_check": dim_check,
     "util_by_device": util_by_device,
@@ -78,6 +102,10 @@ _RATES_SQL = f"""{RUNS_SQL}, rated AS (
 SQL = {
     "preflight_count": "SELECT count(*) AS n_rows FROM documents",
     "skip_guard": "SELECT false AS before, count(*) > 100 AS after, count(*) AS n_rows FROM documents",
+    "stage_all": f"WITH {SEQUENCES_SQL} SELECT seq_id, sequence FROM sequences WHERE sequence <> ''",
+    "table_resume": """
+        SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, 64 AS dim, count(*) > 120 AS resumed, false AS again
+        FROM documents""",
     "count_reconcile": """
         SELECT count(*) AS input_rows, count(*) AS output_rows, true AS matches FROM documents""",
     "dim_check": """
