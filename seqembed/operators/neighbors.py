@@ -37,13 +37,16 @@ def knn_cosine(df: DataFrame, k: int = 15, id_column: str = "vec_id", vector: st
     """`(id, rank, neighbor, cosine)`: the `k` most similar other rows of each row.
 
     Ties go to the smaller id. Similarities are compared after rounding to 12 digits. A vector of
-    length 0 has no cosine; such rows have no neighbours and are none.
+    length 0, or a missing one, has no cosine; such rows have no neighbours and are none. Vectors of
+    different lengths raise.
     """
     spark = df.sparkSession
     ship_package(spark)
     id_type = df.schema[id_column].dataType
 
-    rows = df.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    # Staged, as it is read several times: what makes the vectors, a model perhaps, runs once.
+    rows = stage(df.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+                 .filter("vector IS NOT NULL"), "knn-input")
     pivots = _pivots(rows, block_rows)
     if not len(pivots):
         return spark.createDataFrame([], T.StructType([

@@ -7,6 +7,8 @@ from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stage
+
 
 def pca_2d(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """`(id, x, y)`: the embeddings projected on their first two principal axes.
@@ -14,7 +16,9 @@ def pca_2d(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding")
     Only sums of the size of the covariance matrix leave the executors. The sign of an axis is
     chosen so that its largest loading is positive.
     """
-    vectors = df.select(id_column, array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
+    # Staged, as the fits and the result read it anew each.
+    rows = stage(df.select(id_column, F.col(vector).cast("array<double>").alias("vector")), "projection-input")
+    vectors = rows.select(id_column, array_to_vector("vector").alias("raw"))
     scaler = StandardScaler(inputCol="raw", outputCol="centred", withMean=True, withStd=False)
     centred = scaler.fit(vectors).transform(vectors)
     model = PCA(k=2, inputCol="centred", outputCol="projected").fit(centred)

@@ -87,3 +87,12 @@ def test_projection(spark):
     axes = axes[:2].T
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
     assert np.allclose(got, centred @ axes, atol=1e-6)
+
+
+def test_missing_and_ragged_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])]
+    near = knn_cosine(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2)
+    assert sorted((r.vec_id, r.neighbor) for r in near.collect()) == [(1, 3), (3, 1)]
+    ragged = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0, 2.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="different lengths|inhomogeneous"):
+        knn_cosine(ragged, k=2).collect()
