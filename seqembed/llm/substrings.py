@@ -10,7 +10,7 @@ anywhere else is removed; windows are judged on the input.
 2. Prefilter. A window whose minimiser has a clear bit in either row of the sketch starts once. Estimates are
    never too low, so no repeated window is lost. Documents without a candidate are finished here.
 3. Exact pass. The windows left are grouped by 96 bits of hash over all of their words, and those that start
-   twice go back to their documents.
+   twice go back to their documents, packed for 64 documents at a time.
 
 The sketch grows with the text up to `MAX_CELLS` cells, 32 MB of bits. Beyond that it is loaded more, lets more
 windows through, and the exact pass has more to shuffle; results stay the same.
