@@ -142,6 +142,34 @@ def test_near_copies_go(spark):
     assert wanted <= kept and len(kept - wanted) <= 0.02 * (len(docs) - len(wanted))
 
 
+def test_similarity_is_exact(spark):
+    """Pairs planted just above the threshold link, those below do not, and one chain of links is one group."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    docs, want = [], set()
+    for similarity, keep in ((0.80, False), (0.85, False), (0.75, True)):
+        for i in range(60):
+            at = len(docs)
+            size = draw.randint(300, 500)
+            text = [word() for _ in range(size)]
+            # One run at the end is new: of n shingles n - k are shared, a similarity of (n - k) / (n + k).
+            n = size - 4
+            k = n - -int(-2 * n * similarity // (1 + similarity))  # shared ones, rounded up
+            k = k if not keep else n - int(2 * n * similarity / (1 + similarity))
+            other = text[:size - k] + [word() for _ in range(k)]
+            assert ((n - k) / (n + k) >= 0.8) != keep
+            docs += [(at, " ".join(text)), (at + 1, " ".join(other))]
+            want |= {at, at + 1} if keep else {at}
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert not want - kept  # nothing below the threshold goes
+    assert len(kept - want) <= 1  # of 120 pairs above it
+
+    chain = [word() for _ in range(400)]
+    rows = [(1000 + i, " ".join(chain[i * 10:i * 10 + 200])) for i in range(20)]  # neighbours 0.9, ends 0
+    rows = rows[::3][::-1] + rows[1::3] + rows[2::3]
+    assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [1000]
+
+
 def test_components(spark):
     draw = random.Random(9)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(draw.randrange(90), draw.randrange(90)) for _ in range(60)]
