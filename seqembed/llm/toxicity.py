@@ -11,7 +11,8 @@
    that were grown on one half of these rows give for the other half.
 
 The trees are fitted on at most about `SAMPLE` labelled rows of each class, drawn by the hash of the
-id; every row is scored. Ids, labels and all columns but the text are never inputs of a score.
+id; trees, calibration and prior weigh each row by what its class was thinned by, so scores follow the real
+rate at any size. The lexicon compares rates within the classes, which thinning leaves alone. Every row is scored. Ids, labels and all columns but the text are never inputs of a score.
 
 Missing and empty texts have features of zero and get the score of such a text. Repeated rows are scored
 each on its own; a document with several labels counts with each. Rows with a missing label are left
@@ -201,13 +202,16 @@ def learn_lexicon(labelled: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
-    """About `per_class` training rows of each class, or all if there are fewer: `(doc_id, text, toxic)`."""
+    """About `per_class` training rows of each class, or all if there are fewer: `(doc_id, text, toxic, weight)`.
+
+    The weight is the inverse of the share of the class that is drawn.
+    """
     rows = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic").distinct()
     rows = rows.filter(remainder("doc_id", 3) != 1)
     sizes = rows.groupBy("toxic").agg(F.count("*").alias("n"))  # two rows
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 20))
     picked = (rows.join(F.broadcast(sizes), "toxic").filter(draw * F.col("n") < F.lit(per_class).cast("long") * (1 << 20))
-              .select("doc_id", "toxic"))
+              .select("doc_id", "toxic", F.greatest(F.lit(1.0), F.col("n") / per_class).alias("weight")))
     # Bounded by the sample size, so it can be broadcast.
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
 
@@ -245,24 +249,24 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
     """Learn lexicon, trees and calibration from the training rows of `labels`."""
     rows = stage(sample(docs, labels, per_class), "labelled")
-    counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     prior = (toxic + 1) / (toxic + clean + 2)
     lexicon = learn_lexicon(rows) if toxic and clean else (WORDS, frozenset())
     if not toxic or not clean:
         return Model(lexicon, None, [], [], prior)
     half = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(2))
-    table = features(rows.select("doc_id", "text", "toxic"), lexicon, "text", "features", drop=True)
+    table = features(rows.select("doc_id", "text", "toxic", "weight"), lexicon, "text", "features", drop=True)
     table = stage(table.withColumn("half", half), "features").select(
-        "half", F.col("toxic").cast("double").alias("label"), array_to_vector("features").alias("features"))
-    learner = GBTClassifier(maxDepth=3, maxIter=20, stepSize=0.2, maxBins=64, minInstancesPerNode=5, seed=7)
+        "half", "weight", F.col("toxic").cast("double").alias("label"), array_to_vector("features").alias("features"))
+    learner = GBTClassifier(maxDepth=3, maxIter=20, stepSize=0.2, maxBins=64, minInstancesPerNode=5, seed=7, weightCol="weight")
     trees = learner.fit(table)
     both = {r.half for r in table.groupBy("half").agg(F.count_distinct("label").alias("n")).filter("n = 2").collect()}
     # A half without one of the classes can't be learned from; what trees of all rows give then stands in.
     judged = [(learner.fit(table.filter(F.col("half") == 1 - h)) if 1 - h in both else trees)
               .transform(table.filter(F.col("half") == h)) for h in (0, 1)]
-    scored = judged[0].unionByName(judged[1]).select("label", vector_to_array("probability")[1].alias("p"))
-    steps = IsotonicRegression(featuresCol="p", labelCol="label").fit(scored)
+    scored = judged[0].unionByName(judged[1]).select("label", "weight", vector_to_array("probability")[1].alias("p"))
+    steps = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(scored)
     return Model(lexicon, trees, list(steps.boundaries), list(steps.predictions), prior)
 
 

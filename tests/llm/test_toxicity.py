@@ -1,5 +1,6 @@
 """Toxicity on held-out labels, and what it does with odd input."""
 
+import random
 import zlib
 
 import pytest
@@ -51,3 +52,22 @@ def test_odd_rows(spark, tables):
     assert kept.columns == ["doc_id", "text", "score", "_score"] and kept.count() == 6  # no labels: 1/2 for all
     assert toxicity.report(odd.limit(0), labels.limit(0)).count() == 0
     assert toxicity.report(odd, labels.filter("toxic = 0")).filter("score > 0.6").count() == 0
+
+
+def test_thinned_classes_keep_the_rate(spark):
+    """A fit on few rows of each class gives scores at the rate of all labels, not of the thinned ones."""
+    draw = random.Random(5)
+    rows = []
+    for i in range(1500):
+        toxic = int(i % 8 == 0)
+        words = [draw.choice(("river", "stone", "cloud", "house", "table", "paper")) for _ in range(30)]
+        if draw.random() < (0.8 if toxic else 0.15):
+            words.insert(draw.randrange(30), "idiot")
+        rows.append((i, " ".join(words), toxic))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").coalesce(1).cache()
+    model = toxicity.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), 120)
+    assert abs(model.prior - 1 / 8) < 0.03
+    scored, name = model.score(frame)
+    mean, sure = scored.selectExpr(f"avg({name})", f"count_if({name} >= 0.7)").first()
+    assert abs(mean - 1 / 8) < 0.04
+    assert sure == 0  # of the texts with the word less than half are toxic
