@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, itq, mixing, pii, secrets, shards, simhash, substrings, toxicity
+from . import bpe, decontaminate, itq, mixing, pii, secrets, sentencepieces, shards, simhash, substrings, toxicity
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -80,3 +80,10 @@ def op10_disclosure_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op2_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Word and mixing scores of every document."""
     return mixing.report(read(spark, folder, "documents"))
+
+
+@registered
+def op11_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded by the piece model and decoded again."""
+    model = sentencepieces.shared(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepieces.report(read(spark, folder, "documents"), model)
