@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, itq, mixing, pii, secrets, sentencepieces, shards, simhash, substrings, toxicity
+from . import bpe, centroids, decontaminate, itq, mixing, pii, secrets, sentencepieces, shards, simhash, substrings, toxicity
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -87,3 +87,12 @@ def op11_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded by the piece model and decoded again."""
     model = sentencepieces.shared(spark, public_tokenizers.path("piece_bpe_32k.model"))
     return sentencepieces.report(read(spark, folder, "documents"), model)
+
+
+@registered
+def op12_rotated_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every embedding of 64 components."""
+    return centroids.report(read(spark, folder, "embeddings"))
+
+
+SQL["op12_rotated_centroids"] = centroids.report_sql()
