@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, centroids, decontaminate, itq, mixing, pii, secrets, sentencepieces, shards, simhash, substrings, toxicity
+from . import alignment, bpe, centroids, decontaminate, itq, mixing, pii, secrets, sentencepieces, shards, simhash, substrings, toxicity
 from .common import read
 
 QUERIES, SQL = {}, {}
@@ -96,3 +96,11 @@ def op12_rotated_centroids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op12_rotated_centroids"] = centroids.report_sql()
+
+
+@registered
+def op13_merge_path_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document under two tokenizers, cut into groups at common ends."""
+    tokenizers = alignment.shared(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+                                  public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.report(read(spark, folder, "documents"), tokenizers)
