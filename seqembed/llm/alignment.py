@@ -83,9 +83,13 @@ class Tokenizers:
         if len(self.a.lengths) * len(self.b.lengths) > 1 << 31:
             raise ValueError("pairs of ids do not fit in 31 bits")
 
+    a_table: ChunkTable | None = None
+
     def tables(self) -> tuple[ChunkTable, ChunkTable]:
-        a = ChunkTable(regex.compile(self.a.pattern), lambda chunks: self.a.merge([c.encode() for c in chunks]))
-        return a, piece_table(self.b)
+        """Tables of chunks, kept from task to task of a worker process."""
+        if self.a_table is None:
+            self.a_table = ChunkTable(regex.compile(self.a.pattern), lambda chunks: self.a.merge([c.encode() for c in chunks]))
+        return self.a_table, piece_table(self.b)
 
 
 def diagonals(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:

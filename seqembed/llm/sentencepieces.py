@@ -6,12 +6,13 @@ part of no longer piece. A worker cuts texts into such chunks, numbers the disti
 those that are new, and joins ids back to the texts by the positions of their chunks in one gather. A model
 whose pieces do go on into a marker is handled too: then a whole text is one chunk.
 
-A chunk is merged by score, best first and leftmost among equals, with a heap: a chunk of n characters costs
-n log n, so one very long word does no harm. Characters outside the vocabulary become the bytes of their UTF-8.
+A chunk is merged by score, best first and leftmost among equals: up to `SHORT` characters in a list, longer ones
+with a heap, so that one very long word of n characters costs n log n. Both give the same ids. Characters outside
+the vocabulary become the bytes of their UTF-8.
 
-The table is started anew when it holds `TABLE_CHUNKS` chunks or `TABLE_CHARS` characters, and a long text is
-taken in runs of `RUN` chunks, so a worker holds its batch, one table and one run; results do not depend on
-either bound. Missing and empty texts give no ids and decode to the empty text. Repeated rows are encoded each on
+A worker process keeps its table from task to task. Beyond `TABLE_CHUNKS` chunks or `TABLE_CHARS` characters the
+chunks that were met least go, and a long text is taken in runs of `RUN` chunks, so a worker holds its batch, one
+table and one run; results do not depend on these bounds. Missing and empty texts give no ids and decode to the empty text. Repeated rows are encoded each on
 its own row. Other columns pass through, and helper columns get names that no column has.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from .bpe import spans
 from .common import fresh, pieces, sha256_hex, ship_package
 
 MARK = "▁"
-TABLE_CHUNKS = 300_000
-TABLE_CHARS = 8_000_000
+SHORT = 64
+TABLE_CHUNKS = 500_000
+TABLE_CHARS = 16_000_000
 RUN = 1 << 18
 LONG_TEXT = 1 << 20
 UNKNOWN, CONTROL, BYTE = 2, 3, 6  # fixed values: the types of pieces in a model file
@@ -40,6 +42,8 @@ UNKNOWN, CONTROL, BYTE = 2, 3, 6  # fixed values: the types of pieces in a model
 class PieceModel:
     """Ranks, ids and bytes of the pieces of a model file; a few MB, built once on the driver."""
 
+    table: ChunkTable | None = None
+
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
 
@@ -56,6 +60,7 @@ class PieceModel:
         order = {score: n for n, score in enumerate(sorted({proto.pieces[i].score for i in normal.values()}, reverse=True))}
         self.ids = normal
         self.rank = {piece: order[proto.pieces[i].score] for piece, i in normal.items()}
+        self.none = len(order)  # the rank of what is no piece
         self.longest = max(map(len, normal))
         self.byte_ids = [0] * 256
         data = []
@@ -83,6 +88,28 @@ class PieceModel:
 
     def segment(self, chunk: str) -> list[int]:
         """Ids of one chunk."""
+        ids, known = [], self.ids
+        for piece in (self._short if len(chunk) <= SHORT else self._long)(chunk):
+            if piece in known:
+                ids.append(known[piece])
+            else:
+                ids.extend(self.byte_ids[b] for b in piece.encode())
+        return ids
+
+    def _short(self, chunk: str) -> list[str]:
+        parts, rank, none = list(chunk), self.rank.get, self.none
+        pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) != none:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            pairs.pop(i)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+        return parts
+
+    def _long(self, chunk: str) -> Iterator[str]:
         rank, size, longest = self.rank, len(chunk), self.longest
         end = list(range(1, size + 1))  # where the symbol that starts here ends; 0 once it is swallowed
         before = list(range(-1, size - 1))
@@ -102,22 +129,16 @@ class PieceModel:
                 last = end[stop]
                 if last - i <= longest and (found := rank.get(chunk[i:last])) is not None:
                     heapq.heappush(heap, (found, i, last))
-        ids, i = [], 0
+        i = 0
         while i < size:
-            piece = chunk[i:end[i]]
-            known = self.ids.get(piece)
-            if known is None:
-                ids.extend(self.byte_ids[b] for b in piece.encode())
-            else:
-                ids.append(known)
+            yield chunk[i:end[i]]
             i = end[i]
-        return ids
 
     def merge(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all `chunks`, one after the other, and how many ids each has."""
-        found = [self.segment(chunk) for chunk in chunks]
+        found = list(map(self.segment, chunks))
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum())), counts
+        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
 
     def marked(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
@@ -170,7 +191,20 @@ class ChunkTable:
         self.known: dict[str, int] = {}
         self.chars = 0
         self.flat = np.empty(0, np.int32)
-        self.starts = self.counts = np.empty(0, np.int64)
+        self.starts = self.counts = self.met = np.empty(0, np.int64)
+
+    def _thin(self) -> None:
+        """Keep the most frequent chunks, half of the table at most."""
+        order = np.argsort(-self.met, kind="stable")[:TABLE_CHUNKS // 2]
+        names = list(self.known)
+        chars = np.cumsum([len(names[i]) for i in order.tolist()])
+        kept = order[(self.met[order] > 1) & (chars <= TABLE_CHARS // 2)]
+        flat, starts, counts, met = self.flat, self.starts[kept], self.counts[kept], self.met[kept]
+        self._clear()
+        self.known = {names[i]: n for n, i in enumerate(kept.tolist())}
+        self.chars = sum(map(len, self.known))
+        self.flat, self.counts, self.met = flat[spans(starts, counts)], counts, met // 2
+        self.starts = np.cumsum(counts) - counts
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many ids each text has."""
@@ -191,7 +225,7 @@ class ChunkTable:
         if not held:
             return
         if len(self.known) > TABLE_CHUNKS or self.chars > TABLE_CHARS:
-            self._clear()
+            self._thin()
         known = self.known
         new = list(set().union(*(chunks for _, chunks in held)).difference(known))
         ids, counts = self.merge(new)
@@ -200,7 +234,8 @@ class ChunkTable:
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
         self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, ids])
         each = np.fromiter((len(chunks) for _, chunks in held), np.int64, len(held))
-        index = np.fromiter((n for _, chunks in held for n in map(known.__getitem__, chunks)), np.int64, int(each.sum()))
+        index = np.fromiter(map(known.__getitem__, chain.from_iterable(chunks for _, chunks in held)), np.int64, int(each.sum()))
+        self.met = np.append(self.met, np.zeros(len(new), np.int64)) + np.bincount(index, minlength=len(known))
         lengths = self.counts[index]
         out.append(self.flat[spans(self.starts[index], lengths)])
         total = np.concatenate([[0], np.cumsum(lengths)])
@@ -209,7 +244,10 @@ class ChunkTable:
 
 
 def piece_table(model: PieceModel) -> ChunkTable:
-    return ChunkTable(re.compile(model.pattern), model.merge)
+    """The table of a model, kept with it from task to task of a worker process."""
+    if model.table is None:
+        model.table = ChunkTable(re.compile(model.pattern), model.merge)
+    return model.table
 
 
 class _Encode:

@@ -44,6 +44,7 @@ def test_tables_and_runs_do_not_matter(library, monkeypatch):
     draw = random.Random(6)
     texts = ["".join(draw.choice("abc de\n1") for _ in range(draw.randint(0, 200))) for _ in range(60)]
     monkeypatch.setattr(sentencepieces, "TABLE_CHUNKS", 10)
+    monkeypatch.setattr(sentencepieces, "SHORT", 3)
     monkeypatch.setattr(sentencepieces, "LONG_TEXT", 50)
     monkeypatch.setattr(sentencepieces, "RUN", 7)
     model = sentencepieces.PieceModel(PATH)
