@@ -1,112 +1,116 @@
 """Exact k nearest neighbours by cosine, without comparing all pairs.
 
-Unit vectors are grouped around pivots and cut into blocks of similar distance to their pivot. A row
-first searches its own block, which bounds the distance of its k-th neighbour. By the triangle
-inequality most other blocks cannot hold anything nearer and are never visited. How many are left
-depends on how clustered the vectors are; the result does not.
+Unit vectors are grouped around pivots and cut into shells of similar distance to their pivot. A row first
+searches its own block, which bounds the distance of its k-th neighbour. By the triangle inequality most other
+shells cannot hold anything nearer and are never visited. How many are left depends on how clustered the vectors
+are; the result does not.
 
-Equal vectors are searched once, so a vector repeated a million times is one row of the search.
+The driver knows at most `MAX_SHELLS` shells. A shell with more than `block_rows` rows is cut once more, into blocks
+of that many rows by the distance to a second pivot of its own; rows that reach the shell are compared with its
+blocks' bounds in the cluster. So blocks have one size, whatever the number of rows.
+
+Every search of a block keeps the `k` best of it per row, ties by the smallest id, so ties make no more hits than
+rows, k and visited blocks allow. Equal vectors are searched once, so a vector repeated a million times is one row.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.arrays import list_codes, list_column
 from ..session import ship_package, stage
 from .rank import row_numbers, top_per_group
 
 MAX_PIVOTS = 256
-MAX_BLOCKS = 200_000
+MAX_SHELLS = 50_000
 PIVOTS_PER_BLOCK = 4
 QUERY_ROWS = 1024
 FAN_OUT = 256
+BOUND_CELLS = 4_000_000
 SIM_DIGITS = 12
 # Allowance for rounding: similarities are good to 1e-12, chords near 0 to about 1e-6.
 SLACK = 1e-5
 
 
 def knn_cosine(df: DataFrame, k: int = 15, id_column: str = "vec_id", vector: str = "embedding",
-               block_rows: int = 4096) -> DataFrame:
+               block_rows: int = 4096, max_shells: int = MAX_SHELLS) -> DataFrame:
     """`(id, rank, neighbor, cosine)`: the `k` most similar other rows of each row.
 
     Ties go to the smaller id. Similarities are compared after rounding to 12 digits. A vector of
-    length 0, or a missing one, has no cosine; such rows have no neighbours and are none. Vectors of
-    different lengths raise.
+    length 0, a missing one, or one with a null or non-finite component has no cosine; such rows have no
+    neighbours and are none. Vectors of different lengths raise.
     """
     spark = df.sparkSession
-    ship_package(spark)
-    id_type = df.schema[id_column].dataType
-
-    # Staged, as it is read several times: what makes the vectors, a model perhaps, runs once.
-    rows = stage(df.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-                 .filter("vector IS NOT NULL"), "knn-input")
-    pivots = _pivots(rows, block_rows)
+    rows, nodes, total = prepared(df, id_column, vector)
+    pivots = _pivots(nodes, total, block_rows)
     if not len(pivots):
-        return spark.createDataFrame([], T.StructType([
-            T.StructField(id_column, id_type), T.StructField("rank", T.IntegerType()),
-            T.StructField("neighbor", id_type), T.StructField("cosine", T.DoubleType())]))
+        return finished(rows, spark.createDataFrame([], _hits(rows.schema["id"].dataType)), k, id_column)
     shared = spark.sparkContext.broadcast(pivots)
-    placed = stage(rows.mapInArrow(_Placer(shared), T.StructType([
-        T.StructField("id", id_type),
-        T.StructField("rep", T.StringType()),
-        T.StructField("pivot", T.IntegerType()),
-        T.StructField("dist", T.DoubleType()),
-        T.StructField("vector", T.ArrayType(T.DoubleType())),
-    ])), "knn-placed")
-
-    distinct = placed.select("rep", "pivot", "dist", "vector").dropDuplicates(["rep"])
-    total = placed.select("rep").distinct().count()
-    size = max(block_rows, math.ceil(total / MAX_BLOCKS))
-    ranked = row_numbers(distinct, ["dist", "rep"], ["pivot"], name="place")
-    # At most MAX_PIVOTS + 1 rows. A pivot's slices are of equal size, none is a short rest.
-    of_pivot = distinct.groupBy("pivot").agg(F.count("*").alias("n"))
-    slices = F.ceil(F.col("n") / size)
-    blocked = stage(ranked.join(F.broadcast(of_pivot), "pivot").select(
-        "rep", "pivot", "vector", "dist",
-        F.floor((F.col("place") - 1) * slices / F.col("n")).cast("int").alias("slice")), "knn-blocks")
-    # At most MAX_BLOCKS + MAX_PIVOTS + 1 rows.
-    bounds = (blocked.groupBy("pivot", "slice")
+    id_type = rows.schema["id"].dataType
+    placed = stage(nodes.mapInArrow(_Placer(shared), T.StructType([
+        T.StructField("rep", T.StringType()), T.StructField("first", id_type), T.StructField("pivot", T.IntegerType()),
+        T.StructField("dist", T.DoubleType()), T.StructField("vector", T.ArrayType(T.DoubleType()))])), "knn-placed")
+
+    size = max(block_rows, math.ceil(total / max_shells))
+    shelled = stage(_slices(placed, ["pivot"], "dist", size, "slice"), "knn-shells")
+    # At most max_shells + MAX_PIVOTS rows.
+    bounds = (shelled.groupBy("pivot", "slice")
               .agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n"))
               .orderBy("pivot", "slice").toPandas())
-    blocks = spark.createDataFrame(
-        bounds[["pivot", "slice"]].assign(block=range(len(bounds))), "pivot int, slice int, block int")
-    blocked = blocked.join(F.broadcast(blocks), ["pivot", "slice"]).select("rep", "block", "vector")
-
-    search_home = _HomeSearch(k, shared, spark.sparkContext.broadcast(bounds))
-    search_pair = _PairSearch(k)
-    home = stage(blocked.groupBy("block").applyInArrow(
-        lambda table: search_home(table),
-        "rep string, block int, found array<string>, sims array<double>, visits array<int>",
-    ), "knn-home")
-
-    hits = home.select("rep", F.explode(F.arrays_zip("found", "sims")).alias("hit")).select(
-        "rep", F.col("hit.found").alias("other"), F.col("hit.sims").alias("sim"))
-    if len(bounds) > 1:
-        visits = home.select("rep", F.col("block").alias("home"), F.explode("visits").alias("block"))
-        queries = visits.join(blocked.select("rep", "vector"), "rep").toDF(
-            "q_rep", "q_home", "q_block", "q_vector")
-        # A block that many others visit is copied in two steps, so no task makes all its copies.
-        pairs = visits.select("home", "block", F.pmod("home", F.lit(FAN_OUT)).alias("fan")).distinct()
-        fanned = blocked.join(pairs.select("block", "fan").distinct(), "block")
-        candidates = fanned.join(pairs, ["block", "fan"]).drop("fan")
-        away = (queries.groupBy("q_home", "q_block").cogroup(candidates.groupBy("home", "block"))
-                .applyInArrow(lambda left, right: search_pair(left, right),
-                               "rep string, other string, sim double"))
-        hits = hits.unionByName(away)
-
-    firsts = placed.groupBy("rep").agg(F.min("id").alias("first"))
-    hits = hits.join(firsts.withColumnRenamed("rep", "other"), "other")
-    best = top_per_group(hits, ["rep"], [F.desc("sim"), F.col("first")], k, spread=["other"])
-
+    shells = spark.createDataFrame(bounds[["pivot", "slice"]].assign(shell=range(len(bounds))),
+                                   "pivot int, slice int, shell int")
+    shelled = shelled.join(F.broadcast(shells), ["pivot", "slice"]).select("rep", "first", "shell", "vector")
+    two_levels = size > block_rows
+    blocked = stage(_blocks(shelled, block_rows) if two_levels else shelled.withColumn("block", _block_of("shell", F.lit(0))),
+                    "knn-blocks")
+
+    home_search = _HomeSearch(k, shared, spark.sparkContext.broadcast(bounds))
+    home = stage(blocked.select("rep", "first", "shell", "block", "vector").groupBy("block").applyInArrow(
+        lambda table: home_search(table), T.StructType([
+            T.StructField("rep", T.StringType()), T.StructField("block", T.LongType()), T.StructField("reach", T.DoubleType()),
+            T.StructField("found", T.ArrayType(T.StringType())), T.StructField("firsts", T.ArrayType(id_type)),
+            T.StructField("sims", T.ArrayType(T.DoubleType())), T.StructField("visits", T.ArrayType(T.IntegerType()))])),
+        "knn-home")
+    hits = home.select("rep", F.explode(F.arrays_zip("found", "firsts", "sims")).alias("hit")).select(
+        "rep", F.col("hit.found").alias("other"), F.col("hit.firsts").alias("first"), F.col("hit.sims").alias("sim"))
+    if len(bounds) > 1 or two_levels:
+        visits = home.select("rep", F.col("block").alias("home"), "reach", F.explode("visits").alias("shell"))
+        if two_levels:
+            visits = _within(visits, blocked)
+        else:
+            visits = visits.withColumn("block", _block_of("shell", F.lit(0)))
+        visits = visits.filter("block <> home").select("rep", "block")
+        hits = hits.unionByName(_away(visits, blocked, k))
+    best = top_per_group(hits, ["rep"], [F.desc("sim"), F.asc_nulls_last("first")], k, spread=["other"])
+    return finished(rows, best, k, id_column)
+
+
+def prepared(df: DataFrame, id_column: str, vector: str) -> tuple[DataFrame, DataFrame, int]:
+    """Staged rows `(id, rep, vector)` that have a cosine, staged distinct vectors `(rep, first, vector)`, their number.
+
+    Equal vectors share `rep`, a hash of 128 bits; `first` is the smallest id among them.
+    """
+    ship_package(df.sparkSession)
+    # Staged, as it is read several times: what makes the vectors, a model perhaps, runs once.
+    source = df.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    usable = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    rep = F.concat(F.hex(F.xxhash64("vector")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "vector")))
+    rows = stage(source.filter(usable).select("id", rep.alias("rep"), "vector"), "knn-input")
+    firsts = rows.groupBy("rep").agg(F.min("id").alias("first"))
+    nodes = stage(rows.select("rep", "vector").dropDuplicates(["rep"]).join(firsts, "rep").select("rep", "first", "vector"),
+                  "knn-nodes")
+    return rows, nodes, nodes.count()
+
+
+def finished(rows: DataFrame, best: DataFrame, k: int, id_column: str) -> DataFrame:
+    """`(id, rank, neighbor, cosine)` from the `k` best other vectors `(rep, other, sim)` of each vector."""
     # A row needs at most k + 1 copies of any vector, its own included: it may be one of them.
-    copies = top_per_group(placed.select("rep", "id"), ["rep"], ["id"], k + 1, spread=["id"])
+    copies = top_per_group(rows.select("rep", "id"), ["rep"], ["id"], k + 1, spread=["id"])
     members = copies.groupBy("rep").agg(F.collect_list("id").alias("ids"))
     same = members.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("sim"))
     near = best.select("rep", "other", "sim").unionByName(same).join(
@@ -115,26 +119,82 @@ def knn_cosine(df: DataFrame, k: int = 15, id_column: str = "vec_id", vector: st
         (-F.col("sim")).alias("order"), i.alias("neighbor")))).alias("hit"))
     lists = lists.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("hit")), 1, k + 1).alias("hits"))
 
-    joined = placed.select("id", "rep").join(lists, "rep")
+    joined = rows.select("id", "rep").join(lists, "rep")
     others = F.slice(F.filter("hits", lambda h: h["neighbor"] != F.col("id")), 1, k)
     return joined.select("id", F.posexplode(others).alias("rank", "hit")).select(
         F.col("id").alias(id_column), (F.col("rank") + 1).alias("rank"),
         F.col("hit.neighbor").alias("neighbor"), (-F.col("hit.order")).alias("cosine"))
 
 
-def _pivots(rows: DataFrame, block_rows: int) -> np.ndarray:
-    """Up to `MAX_PIVOTS` different unit vectors, picked by a hash, so that copies count once."""
-    wanted = min(MAX_PIVOTS, math.ceil(PIVOTS_PER_BLOCK * rows.count() / block_rows))
-    hashed = rows.select("vector", F.xxhash64("vector").alias("hash"))
-    # One more than wanted: the vector of length 0 is no pivot.
-    picked = hashed.select("hash").distinct().orderBy("hash").limit(wanted + 1)
-    found = (hashed.join(F.broadcast(picked), "hash", "left_semi")
-             .groupBy("hash").agg(F.first("vector").alias("vector")).toPandas())
-    if found.empty:
-        return np.empty((0, 0))
-    vectors = np.array(found["vector"].tolist(), dtype=np.float64)
-    lengths = np.linalg.norm(vectors, axis=1)
-    return vectors[lengths > 0] / lengths[lengths > 0, None]
+def _hits(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("rep", T.StringType()), T.StructField("other", T.StringType()),
+                         T.StructField("first", id_type), T.StructField("sim", T.DoubleType())])
+
+
+def _block_of(shell: str, part: Column) -> Column:
+    return F.shiftleft(F.col(shell).cast("long"), 32) + part
+
+
+def _slices(rows: DataFrame, keys: list[str], order: str, size: int, name: str) -> DataFrame:
+    """`rows` with the number of their slice: each key is cut in `order` into equal slices of at most `size` rows."""
+    ranked = row_numbers(rows, [order, "rep"], keys, name="_place", size="_of")
+    slices = F.ceil(F.col("_of") / size)
+    part = F.floor((F.col("_place") - 1) * slices / F.col("_of")).cast("int")
+    return ranked.select(*rows.columns, part.alias(name))
+
+
+def _blocks(shelled: DataFrame, block_rows: int) -> DataFrame:
+    """Shells cut into blocks by the distance to a second pivot, the row of the smallest name."""
+    centres = shelled.groupBy("shell").agg(F.min_by("vector", "rep").alias("centre"))
+    schema = T.StructType([*shelled.schema.fields, T.StructField("centre", T.ArrayType(T.DoubleType())),
+                           T.StructField("apart", T.DoubleType())])
+    measured = stage(shelled.join(centres, "shell").select(*shelled.columns, "centre").mapInArrow(_Apart(), schema), "knn-apart")
+    cut = _slices(measured, ["shell"], "apart", block_rows, "part")
+    return cut.withColumn("block", _block_of("shell", F.col("part"))).drop("part")
+
+
+def _within(visits: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Of the shells that rows reach, `(rep, home, block)` of the blocks that they reach."""
+    bounds = blocked.groupBy("shell", "block").agg(F.min("apart").alias("low"), F.max("apart").alias("high"))
+    centres = blocked.groupBy("shell").agg(F.min_by("centre", "rep").alias("centre"))
+    inner = bounds.groupBy("shell").agg(F.sort_array(F.collect_list(F.struct("block", "low", "high"))).alias("inner"))
+    inner = inner.select("shell", F.col("inner.block").alias("blocks"), F.col("inner.low").alias("lows"),
+                         F.col("inner.high").alias("highs")).join(centres, "shell")
+    reaching = visits.join(blocked.select("rep", "vector"), "rep").join(inner, "shell").select(
+        "rep", "home", "reach", "vector", "centre", "blocks", "lows", "highs")
+    return stage(reaching.mapInArrow(_Refine(), "rep string, home long, block long"), "knn-reached")
+
+
+def _away(visits: DataFrame, blocked: DataFrame, k: int) -> DataFrame:
+    """Hits of visiting rows `(rep, block)`. A block is copied once per `QUERY_ROWS` visitors."""
+    chunks = visits.groupBy("block").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    queries = visits.join(chunks, "block").select("rep", "block", chunk.alias("chunk")).join(
+        blocked.select("rep", "vector"), "rep").toDF("q_rep", "q_block", "q_chunk", "q_vector")
+    # A block of many visitors is copied in two steps, so no task makes all its copies.
+    fans = chunks.select("block", "chunks", F.explode(F.sequence(F.lit(0), F.floor((F.col("chunks") - 1) / FAN_OUT).cast("int")))
+                         .alias("fan"))
+    fanned = blocked.select("block", "rep", "first", "vector").join(fans, "block").repartition("block", "fan")
+    last = F.least((F.col("fan") + 1) * FAN_OUT, F.col("chunks")) - 1
+    candidates = fanned.select("block", "rep", "first", "vector", F.explode(F.sequence(F.col("fan") * FAN_OUT, last)).alias("chunk"))
+    search = _PairSearch(k)
+    return (queries.groupBy("q_block", "q_chunk").cogroup(candidates.groupBy("block", "chunk"))
+            .applyInArrow(lambda left, right: search(left, right), _hits(blocked.schema["first"].dataType)))
+
+
+def _pivots(nodes: DataFrame, total: int, block_rows: int) -> np.ndarray:
+    """Up to `MAX_PIVOTS` different unit vectors, picked by their hash."""
+    wanted = min(MAX_PIVOTS, math.ceil(PIVOTS_PER_BLOCK * total / block_rows))
+    found = [row.vector for row in nodes.orderBy("rep").limit(wanted).collect()]
+    if len({len(vector) for vector in found}) > 1:
+        raise ValueError("vectors have different lengths")
+    return unit_rows(np.array(found, dtype=np.float64)) if found else np.empty((0, 0))
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; none is all zero."""
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def _chord(sims):
@@ -142,8 +202,18 @@ def _chord(sims):
     return np.sqrt(np.maximum(2 - 2 * sims, 0))
 
 
+def matrix(vectors: pa.Array | pa.ChunkedArray, width: int | None = None) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    values, bounds = list_codes(vectors)
+    sizes = np.diff(bounds)
+    if len(sizes) and (sizes != (sizes[0] if width is None else width)).any():
+        raise ValueError("vectors have different lengths")
+    return values.reshape(len(sizes), -1) if len(values) else np.empty((0, width or 0))
+
+
 class _Placer:
-    """Scale to unit length, name equal vectors alike, and find the nearest pivot."""
+    """Scale to unit length and find the nearest pivot."""
 
     def __init__(self, pivots):
         self.pivots = pivots
@@ -151,39 +221,61 @@ class _Placer:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = self.pivots.value
         for batch in batches:
-            values, starts = list_codes(batch.column("vector"))
-            if not len(values):
+            if not batch.num_rows:
                 continue
-            sizes = np.diff(starts)
-            if (sizes != pivots.shape[1]).any():
-                raise ValueError("vectors have different lengths")
-            vectors = values.reshape(len(sizes), -1)
-            lengths = np.linalg.norm(vectors, axis=1)
-            usable = lengths > 0
-            units = vectors[usable] / lengths[usable, None]
+            units = unit_rows(matrix(batch.column("vector"), pivots.shape[1]))
             chords = _chord(units @ pivots.T)
             nearest = chords.argmin(axis=1).astype(np.int32)
-            names = [hashlib.blake2b(unit.tobytes(), digest_size=16).hexdigest() for unit in units]
             yield pa.RecordBatch.from_arrays([
-                batch.column("id").filter(pa.array(usable)), pa.array(names, pa.string()),
-                pa.array(nearest), pa.array(chords[np.arange(len(units)), nearest]), list_column(units),
-            ], names=["id", "rep", "pivot", "dist", "vector"])
+                batch.column("rep"), batch.column("first"), pa.array(nearest),
+                pa.array(chords[np.arange(len(units)), nearest]), list_column(units),
+            ], names=["rep", "first", "pivot", "dist", "vector"])
+
+
+class _Apart:
+    """Arrow batches of (..., vector, centre) with the distance of the two in a last column."""
 
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sims = (matrix(batch.column("vector")) * matrix(batch.column("centre"))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_chord(sims))], names=[*batch.schema.names, "apart"])
 
-def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
-    values, bounds = list_codes(vectors.combine_chunks())
-    return values.reshape(len(bounds) - 1, -1) if len(values) else np.empty((0, 0))
 
+class _Refine:
+    """Rows with a shell that they reach, its second pivot and its blocks' bounds, to the blocks that they reach."""
 
-def _best(sims: np.ndarray, k: int) -> np.ndarray:
-    """Per row the smallest similarity that is still among its `k` largest."""
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            apart = _chord((matrix(batch.column("vector")) * matrix(batch.column("centre"))).sum(axis=1))
+            blocks, bounds = list_codes(batch.column("blocks"))
+            low, high = list_codes(batch.column("lows"))[0], list_codes(batch.column("highs"))[0]
+            row = np.repeat(np.arange(len(apart)), np.diff(bounds))
+            reach = batch.column("reach").to_numpy()[row] + SLACK
+            near = np.flatnonzero(np.maximum(apart[row] - high, low - apart[row]) <= reach)
+            of_row = pa.array(row[near])
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(of_row), batch.column("home").take(of_row),
+                                              pa.array(blocks[near])], names=["rep", "home", "block"])
+
+
+def best_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and columns of the `k` largest of each row above -inf, ties from the left, and each row's k-th largest."""
     if sims.shape[1] < k:
-        return np.full(len(sims), -np.inf)
-    return np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+        row, column = np.nonzero(sims > -np.inf)
+        return row, column, np.full(len(sims), -np.inf)
+    least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+    kept = sims >= least[:, None]
+    for tied in np.array_split(np.flatnonzero(kept.sum(axis=1) > k), max(1, kept.size // BOUND_CELLS)):
+        equal = sims[tied] == least[tied, None]
+        spare = k - (kept[tied] & ~equal).sum(axis=1)
+        kept[tied] &= ~equal | (np.cumsum(equal, axis=1) <= spare[:, None])
+    kept &= sims > -np.inf
+    return *np.nonzero(kept), least
 
 
 class _HomeSearch:
-    """Search a block for its own rows, and list the other blocks each row has to visit."""
+    """Search a block for its own rows, and list the shells each row has to visit."""
 
     def __init__(self, k, pivots, bounds):
         self.k = k
@@ -191,71 +283,88 @@ class _HomeSearch:
         self.bounds = bounds
 
     def __call__(self, table: pa.Table) -> pa.Table:
-        vectors, names = _matrix(table["vector"]), table["rep"].to_numpy()
-        home = table["block"][0].as_py()
-        found, near, visits = [], [], []
+        table = table.sort_by("first")  # so that ties, taken from the left, go to the smaller id
+        vectors, names, firsts = matrix(table["vector"]), table["rep"].combine_chunks(), table["first"].combine_chunks()
+        shell = table["shell"][0].as_py()
+        counts, columns, near, reaches, shells, visits = [], [], [], [], [], []
         for start in range(0, len(vectors), QUERY_ROWS):
             part = vectors[start:start + QUERY_ROWS]
+            own = np.arange(len(part))
             sims = np.round(part @ vectors.T, SIM_DIGITS)
-            sims[np.arange(len(part)), start + np.arange(len(part))] = -np.inf
-            least = _best(sims, self.k)
-            for row, cut in zip(sims, least):
-                hits = np.flatnonzero((row >= cut) & (row > -np.inf))
-                found.append(names[hits].tolist())
-                near.append(row[hits].tolist())
-            for blocks in self._reachable(part, home, least):
-                visits.append(blocks[blocks != home].tolist())
+            sims[own, start + own] = -np.inf
+            row, column, least = best_columns(sims, self.k)
+            counts.append(np.bincount(row, minlength=len(part)))
+            columns.append(column)
+            near.append(sims[row, column])
+            for reach, which, number in self._reachable(part, shell, least, len(vectors)):
+                reaches.append(reach)
+                shells.append(which)
+                visits.append(number)
+        columns = pa.array(np.concatenate(columns))
+        ends = pa.array(np.append(0, np.cumsum(np.concatenate(counts))), pa.int32())
+        visit_ends = pa.array(np.append(0, np.cumsum(np.concatenate(visits))), pa.int32())
         return pa.table({
-            "rep": names, "block": pa.array([home] * len(names), pa.int32()),
-            "found": pa.array(found, pa.list_(pa.string())), "sims": pa.array(near, pa.list_(pa.float64())),
-            "visits": pa.array(visits, pa.list_(pa.int32())),
+            "rep": names, "block": table["block"], "reach": np.concatenate(reaches),
+            "found": pa.ListArray.from_arrays(ends, names.take(columns)),
+            "firsts": pa.ListArray.from_arrays(ends, firsts.take(columns)),
+            "sims": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(near))),
+            "visits": pa.ListArray.from_arrays(visit_ends, pa.array(np.concatenate(shells), pa.int32())),
         })
 
-    def _reachable(self, vectors, home, least) -> Iterator[np.ndarray]:
-        """Blocks that may hold a row within the distance of the k-th neighbour, per query."""
+    def _reachable(self, vectors, home, least, held) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs of rows: how far each has to look, the shells within, and their number per row."""
         pivots, bounds = self.pivots.value, self.bounds.value
-        of_block = bounds["pivot"].to_numpy()
+        of_shell = bounds["pivot"].to_numpy()
         low, high = bounds["low"].to_numpy(), bounds["high"].to_numpy()
         sizes = bounds["n"].to_numpy().copy()
         sizes[home] -= 1
-        centre = of_block[home]
+        centre = of_shell[home]
         apart = _chord(pivots @ pivots[centre])
-        for row, cut in zip(_chord(vectors @ pivots.T), least):
-            if np.isfinite(cut):
-                reach = _chord(cut)
-            else:
-                reach = _k_within(row[of_block] + high, sizes, self.k)
+        step = max(1, BOUND_CELLS // len(bounds))
+        for start in range(0, len(vectors), step):
+            to_pivots = _chord(vectors[start:start + step] @ pivots.T)
+            cut = least[start:start + step]
+            reach = _chord(np.where(np.isfinite(cut), cut, 0))
+            short = np.flatnonzero(~np.isfinite(cut))
+            if len(short):
+                reach[short] = _k_within(to_pivots[short][:, of_shell] + high, sizes, self.k)
             # Rows of another pivot lie beyond the plane halfway between it and ours.
-            beyond = (row ** 2 - row[centre] ** 2) / np.maximum(2 * apart, SLACK)
-            beyond[apart < SLACK] = 0
-            gap = np.maximum.reduce([row[of_block] - high, low - row[of_block], beyond[of_block]])
-            yield np.flatnonzero(gap <= reach + SLACK)
+            beyond = (to_pivots ** 2 - to_pivots[:, centre, None] ** 2) / np.maximum(2 * apart, SLACK)
+            beyond[:, apart < SLACK] = 0
+            spread = to_pivots[:, of_shell]
+            gap = np.maximum(np.maximum(spread - high, low - spread), beyond[:, of_shell])
+            near = gap <= reach[:, None] + SLACK
+            if sizes[home] + 1 == held:  # the shell is this block
+                near[:, home] = False
+            row, which = np.nonzero(near)
+            yield reach, which, np.bincount(row, minlength=len(near))
 
 
-def _k_within(farthest: np.ndarray, sizes: np.ndarray, k: int) -> float:
-    """A distance within which the blocks of these sizes and farthest rows hold `k` rows."""
-    order = np.argsort(farthest)
-    enough = np.cumsum(sizes[order]) >= k
-    return farthest[order[np.argmax(enough)]] if enough.any() else np.inf
+def _k_within(farthest: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Per row a distance within which the shells of these sizes and farthest rows hold `k` rows."""
+    order = np.argsort(farthest, axis=1)
+    enough = np.cumsum(sizes[order], axis=1) >= k
+    at = order[np.arange(len(order)), enough.argmax(axis=1)]
+    return np.where(enough[:, -1], farthest[np.arange(len(order)), at], np.inf)
 
 
 class _PairSearch:
-    """The nearest rows of one block for the visiting rows of another."""
+    """The nearest rows of one block for a chunk of its visitors."""
 
     def __init__(self, k):
         self.k = k
 
     def __call__(self, queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        vectors, others = _matrix(queries["q_vector"]), _matrix(candidates["vector"])
-        names, found = queries["q_rep"].to_numpy(), candidates["rep"].to_numpy()
-        reps, hits, near = [], [], []
+        candidates = candidates.sort_by("first")
+        vectors, others = matrix(queries["q_vector"]), matrix(candidates["vector"])
+        rows, columns, near = [], [], []
         for start in range(0, len(vectors), QUERY_ROWS):
             sims = np.round(vectors[start:start + QUERY_ROWS] @ others.T, SIM_DIGITS)
-            row, column = np.nonzero(sims >= _best(sims, self.k)[:, None])
-            reps.append(names[start + row])
-            hits.append(found[column])
+            row, column, _ = best_columns(sims, self.k)
+            rows.append(start + row)
+            columns.append(column)
             near.append(sims[row, column])
-        return pa.table({
-            "rep": pa.array(np.concatenate(reps), pa.string()),
-            "other": pa.array(np.concatenate(hits), pa.string()), "sim": np.concatenate(near),
-        })
+        columns = pa.array(np.concatenate(columns))
+        return pa.table([queries["q_rep"].combine_chunks().take(pa.array(np.concatenate(rows))),
+                         candidates["rep"].combine_chunks().take(columns), candidates["first"].combine_chunks().take(columns),
+                         pa.array(np.concatenate(near))], names=["rep", "other", "first", "sim"])

@@ -41,15 +41,43 @@ def clustered():
     return draw.permutation(rows).astype(np.float32)
 
 
-@pytest.mark.parametrize("block_rows", [20, 4096])
-def test_exact(spark, clustered, block_rows):
-    got = knn_cosine(frame(spark, clustered), 10, block_rows=block_rows)
+@pytest.mark.parametrize("block_rows, max_shells", [(20, 50_000), (4096, 50_000), (20, 4), (25, 1)])
+def test_exact(spark, clustered, block_rows, max_shells):
+    got = knn_cosine(frame(spark, clustered), 10, block_rows=block_rows, max_shells=max_shells)
     assert found(got) == brute_force(clustered, 10)
 
 
-def test_orthogonal_rows_tie(spark):
-    matrix = np.eye(12, dtype=np.float32)
-    assert found(knn_cosine(frame(spark, matrix), 3, block_rows=3)) == brute_force(matrix, 3)
+@pytest.fixture
+def staged(monkeypatch):
+    from seqembed.operators import neighbors
+    tables = {}
+    plain = neighbors.stage
+
+    def keep(df, label):
+        tables[label] = plain(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(neighbors, "stage", keep)
+    return tables
+
+
+@pytest.mark.parametrize("max_shells", [50_000, 3])
+def test_orthogonal_rows_tie(spark, staged, max_shells):
+    """All similarities are equal: each search of a block gives k hits per row at most."""
+    matrix = np.eye(60, dtype=np.float32)
+    assert found(knn_cosine(frame(spark, matrix), 3, block_rows=12, max_shells=max_shells)) == brute_force(matrix, 3)
+    assert staged["knn-home"].selectExpr("max(size(found))").first()[0] <= 3
+    assert staged["knn-blocks"].groupBy("block").count().selectExpr("max(count)").first()[0] <= 12
+
+
+def test_ids_that_are_text(spark):
+    draw = np.random.default_rng(5)
+    matrix = np.round(draw.normal(size=(80, 2)))
+    rows = [(f"n{i}", [float(x) for x in v]) for i, v in enumerate(matrix)]
+    got = found(knn_cosine(spark.createDataFrame(rows, "vec_id string, embedding array<double>"), 4, block_rows=10))
+    order = sorted(range(80), key=lambda i: rows[i][0])
+    want = brute_force(matrix[order], 4)
+    assert got == {rows[order[i]][0]: [rows[order[j]][0] for j in near] for i, near in want.items()}
 
 
 def test_fewer_rows_than_neighbours(spark):
@@ -62,18 +90,9 @@ def test_no_usable_rows(spark):
     assert knn_cosine(frame(spark, np.zeros((3, 2), np.float32)).limit(0), 2).count() == 0
 
 
-def test_far_blocks_are_not_visited(spark, clustered, monkeypatch):
-    from seqembed.operators import neighbors
-    staged = {}
-    plain = neighbors.stage
-
-    def keep(df, label):
-        staged[label] = plain(df, label)
-        return staged[label]
-
-    monkeypatch.setattr(neighbors, "stage", keep)
+def test_far_blocks_are_not_visited(spark, clustered, staged):
     knn_cosine(frame(spark, clustered), 5, block_rows=20)
-    blocks = staged["knn-blocks"].select("pivot", "slice").distinct().count()
+    blocks = staged["knn-blocks"].select("block").distinct().count()
     visits = staged["knn-home"].selectExpr("avg(size(visits))").first()[0]
     assert blocks > 20 and visits < blocks / 2
 
@@ -90,7 +109,7 @@ def test_projection(spark):
 
 
 def test_missing_and_ragged_vectors(spark):
-    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])]
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, []), (7, [float("inf"), 0.0])]
     near = knn_cosine(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2)
     assert sorted((r.vec_id, r.neighbor) for r in near.collect()) == [(1, 3), (3, 1)]
     ragged = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0, 2.0])], "vec_id long, embedding array<float>")
