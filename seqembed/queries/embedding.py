@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.batches import Doubler, map_batches
 from ..functions.pooling import pool_column
 from ..functions.tokenize import tokenize
+from ..operators.lsh import knn_lsh_recall
 from ..operators.neighbors import knn_cosine
 from ..operators.projection import pca_2d
 from ..plans.embed import embed
@@ -97,6 +98,11 @@ def neighbours_blocks(spark, folder):
     return near.withColumn("cosine", F.round("cosine", 6))
 
 
+def lsh_recall(spark, folder):
+    """How many of the 15 exact neighbours the buckets bring together."""
+    return knn_lsh_recall(table(spark, folder, "embeddings"), k=15)
+
+
 def projection(spark, folder):
     return pca_2d(table(spark, folder, "embeddings"))
 
@@ -110,6 +116,7 @@ QUERIES = {
     "csv_wide": csv_wide,
     "knn_cosine": neighbours,
     "knn_cosine_blocks": neighbours_blocks,
+    "knn_lsh_recall": lsh_recall,
     "pca_2d": projection,
 }
 
