@@ -32,8 +32,8 @@ from .common import fresh, pieces, sha256_hex, ship_package
 
 MARK = "▁"
 SHORT = 64
-TABLE_CHUNKS = 500_000
-TABLE_CHARS = 16_000_000
+TABLE_CHUNKS = 250_000
+TABLE_CHARS = 8_000_000
 RUN = 1 << 18
 LONG_TEXT = 1 << 20
 UNKNOWN, CONTROL, BYTE = 2, 3, 6  # fixed values: the types of pieces in a model file
