@@ -19,15 +19,10 @@ each pair of slices is a task unit of its own, so none outgrows a task.
 Texts are fingerprinted once each, equal fingerprints are joined once, and each unit returns a spanning
 forest of its links, so a group of copies makes no pairs. All links found are exact.
 
-`keep_one` goes by similarity, and judges it exactly: texts link when the Jaccard similarity of their sets of
-shingles is at least what is asked. Texts with one and the same set are one node. Candidates are nodes that share
-one of `BANDS` keys, each of the smallest hashes of the set under `ROWS` permutations: at a similarity of 0.8 a pair
-shares one with a chance of 0.9996, at 0.85 with 0.99999. All candidate pairs are judged on their whole sets, but for
-those that are linked over others: each node with two of its bucket first, so a group of copies is one component
-before the pairs of buckets that still hold several components are listed. A bucket of very many texts that are
-alike, but not enough to link, costs its square.
-
-Missing and empty texts have fingerprint 0 and link like any other; repeated rows share a fingerprint.
+`keep_one` drops all but one document of each class by the same links.
+
+Missing and empty texts have fingerprint 0 and link like any other; repeated rows share a fingerprint. A worker
+holds some 20 bytes per byte of the longest text. An empty table gives no rows, and other columns pass through.
 """
 
 from __future__ import annotations
@@ -46,9 +41,6 @@ BITS = 64
 CELL = 50_000
 FRONTIER = 400_000
 SEED = 42
-BANDS, ROWS = 20, 5
-_PERMUTE = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
-_TURN, _TIMES = _PERMUTE[0], _PERMUTE[1] | np.uint64(1)
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -310,103 +302,18 @@ def classes(nodes: DataFrame, names: list[str], budget: int, all_budget: int | N
     return stage(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A key for each band, of the smallest hashes of a set under the band's permutations; none for the empty set."""
-    if not len(shingles):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for first in range(0, len(shingles), 1 << 12):
-        np.minimum(least, ((shingles[first:first + (1 << 12)] ^ _TURN) * _TIMES).min(axis=1), out=least)
-    return [xxhash.xxh64_intdigest(least[band * ROWS:(band + 1) * ROWS].tobytes(), band) for band in range(BANDS)]
-
-
-class _Sketch:
-    """Arrow batches of (row, id, text) to (row, id, two hashes of the set of shingles, its size, keys)."""
-
-    def __init__(self, size: int):
-        self.size = size
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            sets = [np.unique(shingle_hashes(text or b"", self.size)) for text in batch.column(2).cast(pa.binary()).to_pylist()]
-            whole = np.array([[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], np.uint64).view(np.int64)
-            keys = [np.array(band_keys(s), np.uint64).view(np.int64) for s in sets]
-            ends = np.cumsum([0, *map(len, keys)])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))],
-                names=["row", "id", "one", "two", "size", "keys"])
-
-
-class _Sets:
-    """Arrow batches of (node, text) to (node, set of shingles)."""
-
-    def __init__(self, size: int):
-        self.size = size
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            sets = [np.unique(shingle_hashes(text or b"", self.size)).view(np.int64)
-                    for text in batch.column(1).cast(pa.binary()).to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
-
-
-def similar(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """`(node, component)` of the nodes that link.
-
-    Staged `nodes` have (node, size, keys), `texts` has (row, text) with the row of each node.
-    """
-    buckets = nodes.select("node", "size", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    buckets = stage(buckets.join(shared, "key", "left_semi"), "buckets")
-    sets = buckets.select("node").distinct().join(texts.withColumnRenamed("row", "node"), "node").select("node", "text")
-    sets = stage(sets.mapInArrow(_Sets(shingle), "node long, shingles array<long>"), "sets")
-    alike = F.least("size", "other_size") >= similarity * F.greatest("size", "other_size")
-    pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        both = F.size(F.array_intersect("left", "right"))
-        return (pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("left")), "b")
-                .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("right")), "a")
-                .filter(both / (F.size("left") + F.size("right") - both) >= similarity).select("a", "b"))
-
-    # Two nodes of each bucket, the same ones in the buckets of a group where it can be.
-    order = F.struct(F.xxhash64("node"), F.col("node"), F.col("size"))
-    ends = buckets.groupBy("key").agg(F.array(F.min(order), F.max(order)).alias("ends"))
-    near = buckets.join(ends, "key").select("node", "size", F.explode("ends").alias("end")).select(
-        "node", "size", F.col("end.node").alias("other"), F.col("end.size").alias("other_size"))
-    first = stage(near.filter((F.col("node") != F.col("other")) & alike).select(*pair).distinct(), "pairs")
-    links = stage(judged(first), "near")
-    found = stage(components(links, "a", "b"), "found")
-    members = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = members.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).filter("several").select("key")
-    members = stage(members.join(mixed, "key", "left_semi"), "mixed")
-    others = members.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("component").alias("other_component"))
-    rest = (members.join(others, "key").filter((F.col("component") < F.col("other_component")) & alike).select(*pair).distinct()
-            .join(first, ["a", "b"], "left_anti"))
-    more = stage(judged(stage(rest, "rest")), "more")
-    return components(links.unionByName(more), "a", "b") if more.limit(1).count() else found
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` less all but one row of each component of near-duplicates, same columns.
+def keep_one(docs: DataFrame, shingle: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` less all but one row of each component of linked fingerprints, same columns.
 
     The row that stays has the smallest id of its component; of several such rows any one stays. Rows
     without an id stay only where no row of the component has one.
     """
-    ship_package(docs.sparkSession)
     (row,) = fresh(docs, "row")
     numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     source = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([source.schema["row"], source.schema["id"], *[T.StructField(n, T.LongType()) for n in ("one", "two", "size")],
-                           T.StructField("keys", T.ArrayType(T.LongType()))])
-    # Of equal sets the row that would stay: the smallest id first, missing ids last.
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    nodes = stage(source.mapInArrow(_Sketch(shingle), schema).groupBy("one", "two").agg(
-        first, F.first("size").alias("size"), F.first("keys").alias("keys")).withColumn("node", F.col("first.row")), "nodes")
-    found = similar(nodes.select("node", "size", "keys"), source.select("row", "text"), shingle, similarity)
-    each = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    prints, names = fingerprints(source, shingle)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")  # missing ids last
+    nodes = prints.groupBy(*names).agg(first).withColumn("node", F.col(names[0]))
+    each = classes(stage(nodes, "nodes"), names, budget)
     best = each.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return numbered.join(best, row, "left_semi").select(*docs.columns)

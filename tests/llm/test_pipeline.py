@@ -15,7 +15,7 @@ def made(spark, folder):
     insults = ["idiot", "moron", "scum", "worthless", "pathetic"]
     docs, toxic = {}, set()
     for i in range(240):
-        words = prose(draw.randint(60, 300)).split()
+        words = prose(draw.randint(60, 300) if i != 2 else 900).split()
         if i % 8 == 0:
             toxic.add(i)
             for _ in range(5):
@@ -24,7 +24,7 @@ def made(spark, folder):
     items = [prose(30) for _ in range(5)]
     changes = {}
     docs[1000] = docs[1]  # a copy
-    docs[1001] = " ".join([*docs[2].split()[:-2], "other", "end"])  # a near copy
+    docs[1001] = " ".join([*docs[2].split()[:-1], "end"])  # a near copy: one shingle differs
     docs[1002] = docs[3] + " "
     for i, n in ((1003, 100), (1004, 80)):
         before, after = prose(n), prose(n)
