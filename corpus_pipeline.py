@@ -31,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays: five words, similarity 0.8."""
-    return simhash.keep_one(docs, shingle=5, similarity=0.8)
+    """Of each class of near-duplicates the document with the smallest id stays: four words, four bits."""
+    return simhash.keep_one(docs, shingle=4, budget=4)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
