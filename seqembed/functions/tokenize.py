@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..operators.rows import batch_ids
+from ..operators.rank import row_numbers
 from ..schemas import TOKENS
-from ..session import ship_package
+from ..session import ship_package, stage
 from .alphabet import PROTEIN, Alphabet
 from .arrays import framed_codes, list_column, pad_rows
 
@@ -38,10 +38,6 @@ def mask_from_ids(ids: Column, pad: int) -> Column:
     return F.transform(ids, lambda x: (x != F.lit(pad)).cast("int"))
 
 
-def _mask(n_tokens: Column, length: Column) -> Column:
-    return pad_right(F.array_repeat(F.lit(1), n_tokens), length, 0)
-
-
 def tokenize(df: DataFrame, max_length: int = 1024, padding: str = "max_length",
              batch_size: int = 32, alphabet: Alphabet = PROTEIN) -> DataFrame:
     """`(seq_id, sequence)` to `(seq_id, input_ids, attention_mask)`.
@@ -57,15 +53,39 @@ def tokenize(df: DataFrame, max_length: int = 1024, padding: str = "max_length",
         return used.mapInArrow(_FixedWidth(max_length, alphabet), TOKENS)
     if padding != "longest":
         raise ValueError(f"unknown padding {padding!r}")
-    batches = batch_ids(used, batch_size, ["seq_id"])
-    tokens = batches.select(
-        "seq_id", "batch_id", token_ids(F.col("sequence"), max_length, alphabet).alias("ids"))
-    longest = F.max(F.size("ids")).over(Window.partitionBy("batch_id"))
-    return tokens.withColumn("width", longest).select(
-        "seq_id", "batch_id",
-        pad_right(F.col("ids"), F.col("width"), alphabet.pad_id).alias("input_ids"),
-        _mask(F.size("ids"), F.col("width")).alias("attention_mask"),
-    )
+    # Batches and widths are planned on handles and lengths; the text meets them in one join and ids come last.
+    ship_package(df.sparkSession)
+    staged = stage(used.withColumn("_row", F.monotonically_increasing_id()), "tokenize")
+    narrow = staged.select("_row", "seq_id", F.coalesce(F.length("sequence"), F.lit(0)).alias("_length"))
+    batches = row_numbers(narrow, ["seq_id"], name="_number").select(
+        "_row", "_length", F.floor((F.col("_number") - 1) / batch_size).cast("long").alias("batch_id"))
+    longest = (F.max("_length").over(Window.partitionBy("batch_id")) + 2).alias("width")
+    planned = staged.join(batches.select("_row", "batch_id", longest), "_row").select(
+        "seq_id", "batch_id", "sequence", "width")
+    schema = T.StructType([TOKENS[0], T.StructField("batch_id", T.LongType()), *TOKENS[1:]])
+    return planned.mapInArrow(_Widths(alphabet), schema)
+
+
+class _Widths:
+    """Arrow batches of sequences with a width each to token rows of that width."""
+
+    def __init__(self, alphabet: Alphabet):
+        self.alphabet = alphabet
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, starts, lengths = framed_codes(batch.column("sequence"), self.alphabet)
+            widths = batch.column("width").to_numpy().astype(np.int64)
+            ends = np.append(0, np.cumsum(widths))
+            place = np.arange(ends[-1]) - np.repeat(ends[:-1], widths)
+            held = place < np.repeat(lengths, widths)
+            ids = np.full(ends[-1], self.alphabet.pad_id, np.int32)
+            ids[held] = values  # rows are framed one after the other
+            ends = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("seq_id"), batch.column("batch_id"), pa.ListArray.from_arrays(ends, pa.array(ids)),
+                pa.ListArray.from_arrays(ends, pa.array(held.astype(np.int32)))],
+                names=["seq_id", "batch_id", "input_ids", "attention_mask"])
 
 
 class _FixedWidth:

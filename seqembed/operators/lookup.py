@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 500_000
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, on: str, how: str = "left",
+def lookup_join(df: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left",
                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join `df` to a narrow lookup table with one row per `on`.
 
@@ -17,4 +19,4 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on: str, how: str = "left",
     """
     if lookup.count() <= max_rows:
         lookup = F.broadcast(lookup)
-    return df.join(lookup, on, how)
+    return df.join(lookup, on if isinstance(on, str) else list(on), how)

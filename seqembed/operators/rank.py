@@ -70,15 +70,15 @@ def row_numbers(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str
     return numbered.join(totals, same).select(*columns, name, size)
 
 
-def number_rows(df: DataFrame, position: Sequence[str], name: str = "row_number") -> DataFrame:
-    """Number wide rows by the columns of `position`, which no two rows may share.
+def number_rows(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
+    """Number wide rows 1, 2, ... by the columns of `order`; ties are numbered in any order.
 
-    Only these columns are sorted and staged; the rows get their numbers in a join.
+    The rows are staged with a handle. Only handles and the columns of `order` are sorted; the rows get their
+    numbers in a join, and that is the one time that they move.
     """
-    numbers = row_numbers(df.select(*position), position, name=name).toDF(
-        *[f"_of_{column}" for column in position], name)
-    same = [F.col(column).eqNullSafe(F.col(f"_of_{column}")) for column in position]
-    return df.join(numbers, same).select(*df.columns, name)
+    staged = stage(df.withColumn("_handle", F.monotonically_increasing_id()), "rows")
+    numbers = row_numbers(staged.select("_handle", *order), order, name=name).select("_handle", name)
+    return staged.join(numbers, "_handle").select(*df.columns, name)
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:

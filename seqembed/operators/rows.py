@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .rank import row_numbers
+from .rank import number_rows, row_numbers
 
 # A longer limit would gather too much in its last task.
 TOP_ROWS = 1_000
@@ -64,22 +64,31 @@ def hash_split(df: DataFrame, n: int, key: str, name: str = "node") -> DataFrame
 def equal_split(df: DataFrame, n: int, order: Sequence[Column | str],
                 name: str = "node") -> DataFrame:
     """Assign each row to one of `n` groups whose sizes differ by one row at most."""
-    numbered = row_numbers(df, order, name="_row")
-    return numbered.select(*df.columns, F.pmod(F.col("_row") - 1, F.lit(n)).cast("int").alias(name))
+    numbered = _numbered(df, order)
+    return numbered.select(*df.columns, F.pmod(F.col("_number") - 1, F.lit(n)).cast("int").alias(name))
 
 
 def batch_ids(df: DataFrame, batch_size: int, order: Sequence[Column | str],
               name: str = "batch_id") -> DataFrame:
     """Assign consecutive rows in `order` to batches of `batch_size`, numbered from 0."""
-    numbered = row_numbers(df, order, name="_row")
+    numbered = _numbered(df, order)
     return numbered.select(
-        *df.columns, F.floor((F.col("_row") - 1) / batch_size).cast("long").alias(name))
+        *df.columns, F.floor((F.col("_number") - 1) / batch_size).cast("long").alias(name))
 
 
-def shard_plan(df: DataFrame, rows: int, order: Sequence[Column | str]) -> DataFrame:
-    """Rows per numbered shard of `rows` rows, the last one short."""
-    shards = batch_ids(df.select(*order), rows, order, name="shard")
-    return shards.groupBy("shard").agg(F.count("*").alias("n_rows"))
+def _numbered(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Plain columns are sorted without the rest of the rows."""
+    if all(isinstance(column, str) for column in order):
+        return number_rows(df, order, name="_number")
+    return row_numbers(df, order, name="_number")
+
+
+def shard_plan(df: DataFrame, rows: int) -> DataFrame:
+    """Rows per numbered shard of `rows` rows, the last one short: a count decides."""
+    total = df.select(F.count(F.lit(1)).alias("total"))
+    shards = total.filter("total > 0").select(
+        "total", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / rows))).alias("shard"))
+    return shards.select("shard", F.least(F.lit(rows), F.col("total") - F.col("shard") * rows).alias("n_rows"))
 
 
 def cap_keys(df: DataFrame, key: str, n: int) -> DataFrame:

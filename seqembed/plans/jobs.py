@@ -12,6 +12,7 @@ from ..functions.batches import Doubler, map_batches
 from ..functions.models import StandIn
 from ..functions.tokenize import tokenize
 from ..operators.lengths import length_stats
+from ..operators.positions import file_positions
 from ..operators.rows import hash_split, limit_rows
 from ..schemas import SMOKE_OUT
 from ..session import stage
@@ -49,25 +50,24 @@ def stage_job(spark: SparkSession, source: str, output: str, path: str | None =
 
     `n` is the number of rows, all when left out; synthetic sequences are 1,000 then. `max_len` cuts
     sequences; with None they stay whole. Shards have `shard_rows` rows at most, 0 leaves that to Spark;
-    `exact_shards` makes all but one have exactly as many, for the price of a sort.
+    `exact_shards` makes all but one have exactly as many, for the price of a shuffle.
 
     `source` is "corpus" (parquet with `id`, `text`, `sequence`), "fasta" or "synthetic".
     """
     if source == "corpus":
         # File order: the rows are those the first `n` of the files hold.
         raw = read_first(spark, path, n or 0)
-        position = raw.select("*", F.col("_metadata.file_path").alias("_file"),
-                              F.col("_metadata.row_index").alias("_index"))
+        rows = file_positions(raw)
         for field in {"id", "text", "sequence"} - set(raw.columns):
-            position = position.withColumn(field, F.lit(None).cast("string"))
-        df = read_corpus(position, ["_file", "_index"], max_len=max_len)
+            rows = rows.withColumn(field, F.lit(None).cast("string"))
+        df = read_corpus(rows, max_len=max_len, position="_position")
     elif source == "fasta":
         df = read_fasta(spark, path, n=n or 0, max_len=max_len)
     elif source == "synthetic":
         df = synth_sequences(spark, 1000 if n is None else n, min_len=min_len, max_len=max_len or 1024, mean_len=mean_len, seed=seed)
     else:
         raise ValueError(f"unknown source {source!r}")
-    write_shards(df, output, shard_rows, ["seq_id"] if exact_shards else (), mode)
+    write_shards(df, output, shard_rows, mode=mode, exact=exact_shards)
     return length_stats(spark.read.parquet(output))
 
 

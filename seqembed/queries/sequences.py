@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokenize import mask_from_ids, pad_right, token_ids, tokenize
 from ..operators.lengths import length_stats
+from ..operators.positions import file_positions
 from ..operators.rows import drop_empty, equal_split, limit_rows, shard_plan, spread, truncate_seq
 from ..schemas import SEQUENCES
 from ..session import scratch_path
@@ -39,25 +40,40 @@ def by_path(spark, folder):
     return sql_over_path(spark, f"{folder}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
 
 
-def fasta_parse(spark, folder):
-    """Documents written as FASTA, half of the languages with ids in the header, and parsed."""
+def _fasta_files(spark, folder):
+    """Documents written as FASTA, half of the languages with ids in the header."""
     docs = table(spark, folder, "documents").orderBy("doc_id")
     header = F.when(F.col("lang").isin("en", "fr"), F.concat(F.lit(">db|doc_"), F.col("doc_id"), F.lit("|name"))
                     ).otherwise(F.lit(">no separator"))
     lines = F.regexp_replace(letters(), "(.{60})", "$1 \r\n")
     path = scratch_path(spark, "fasta-files")
     docs.select(F.concat(header, F.lit("\n"), lines)).write.text(path)
-    return read_fasta(spark, path)
+    return path
 
 
-def corpus_coalesce(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"))
-    fields = docs.select(
-        "doc_id",
+def fasta_parse(spark, folder):
+    return read_fasta(spark, _fasta_files(spark, folder))
+
+
+def fasta_whole(spark, folder):
+    return read_fasta(spark, _fasta_files(spark, folder), max_len=None)
+
+
+def _corpus_fields(spark, folder):
+    docs = spread(file_positions(table(spark, folder, "documents").select("doc_id", "lang", "text"), "position"))
+    return docs.select(
+        "position",
         F.when(F.col("lang") != "de", F.concat(F.lit("doc_"), F.col("doc_id"))).alias("id"),
         F.when(F.col("lang") == "en", letters()).otherwise("").alias("text"),
         F.when(F.col("lang") != "es", letters()).alias("sequence"))
-    return read_corpus(fields, ["doc_id"])
+
+
+def corpus_coalesce(spark, folder):
+    return read_corpus(_corpus_fields(spark, folder), position="position")
+
+
+def corpus_whole(spark, folder):
+    return read_corpus(_corpus_fields(spark, folder), position="position", max_len=None)
 
 
 def synth_sequences(spark, folder):
@@ -105,13 +121,13 @@ def metadata_default(spark, folder):
 
 
 def shards(spark, folder):
-    return shard_plan(sequences(spark, folder), 500, ["seq_id"])
+    return shard_plan(sequences(spark, folder), 500)
 
 
 def output_files(spark, folder):
     """How many files of which length a sharded write leaves."""
     path = scratch_path(spark, "shards")
-    write_shards(sequences(spark, folder), path, rows=300, order=["seq_id"])
+    write_shards(sequences(spark, folder), path, rows=300, exact=True)
     return describe_output(spark, path).groupBy("n_rows").agg(F.count("*").alias("n_files"))
 
 
@@ -194,6 +210,8 @@ QUERIES = {
     "sql_over_path": by_path,
     "fasta_parse": fasta_parse,
     "corpus_coalesce": corpus_coalesce,
+    "corpus_whole": corpus_whole,
+    "fasta_whole": fasta_whole,
     "synth_sequences": synth_sequences,
     "lookup_json": lookup_json,
     "metadata_default": metadata_default,
@@ -274,3 +292,6 @@ SQL = {
         WITH {SEQUENCES_SQL}, {_ROWS_SQL}, sized AS (SELECT *, 1024 AS width FROM filled),
         padded AS (SELECT seq_id, {_PADDED_SQL} FROM sized) SELECT seq_id, input_ids FROM padded""",
 }
+SQL["fasta_whole"] = SQL["fasta_parse"].replace(f"substr({LETTERS_SQL}, 1, 1024)", LETTERS_SQL)
+SQL["corpus_whole"] = SQL["corpus_coalesce"].replace(
+    "substr(coalesce(nullif(text, ''), nullif(sequence, '')), 1, 1024)", "coalesce(nullif(text, ''), nullif(sequence, ''))")

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from ..operators.positions import file_positions
 from ..operators.rows import batch_ids
+from ..session import stage
 
 
 def write_stage(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
@@ -17,16 +19,20 @@ def write_stage(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
 
 
 def write_shards(df: DataFrame, path: str, rows: int = 500, order: Sequence[str] = (),
-                 mode: str = "errorifexists") -> None:
+                 mode: str = "errorifexists", exact: bool = False) -> None:
     """Write parquet files of at most `rows` rows, 0 for no bound.
 
-    With `order` every file but one has exactly `rows` rows: rows are numbered in that order and
-    whole shards go to a task, which cuts its sorted shards apart again. Without it tasks write what
-    they hold, which needs no shuffle.
+    With `exact` every file but one has exactly `rows` rows: rows are staged, their positions come from the
+    counts of the staged files, and whole shards go to a task, which cuts its shards apart again. With `order`
+    the shards are also cut in that order, for the price of a sort. Otherwise tasks write what they hold, which
+    needs no shuffle.
     """
     if order and rows:
         shards = batch_ids(df, rows, order, name="_shard")
         df = shards.repartition("_shard").sortWithinPartitions("_shard", *order).drop("_shard")
+    elif exact and rows:
+        shards = file_positions(stage(df, "shards")).withColumn("_shard", F.floor(F.col("_position") / rows))
+        df = shards.repartition("_shard").sortWithinPartitions("_shard").drop("_shard", "_position")
     df.write.mode(mode).option("maxRecordsPerFile", rows).parquet(path)
 
 

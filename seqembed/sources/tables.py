@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from ..operators.positions import file_offsets
 
 
 def read_stage(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -16,25 +16,19 @@ def read_stage(spark: SparkSession, path: str, schema: T.StructType | None = Non
 def read_first(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The first `n` rows of a parquet folder in file order, 0 for all.
 
-    Rows are counted per file first, which reads no column. Only the files that hold the rows are
-    then opened, so nothing is sorted, shuffled or gathered in one task.
+    Rows are counted per file first, which reads no column. The driver gets one row, the file in which the limit
+    falls and how many of its rows count; a filter on file names leaves later files unopened. Nothing is sorted,
+    shuffled or gathered in one task but the counts, one row per file.
     """
     df = spark.read.parquet(path)
     if n <= 0:
         return df
-    sizes = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_rows"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per file; what comes to the driver are the files that are read.
-    wanted = (sizes.withColumn("before", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)))
-              .filter(F.col("before") < n).orderBy("file").collect())
-    if not wanted:
+    boundary = file_offsets(df).filter(F.col("before") < n).orderBy(F.desc("file")).limit(1).collect()
+    if not boundary:
         return df
-    if len(wanted) < len(df.inputFiles()):
-        files = [unquote(row.file) for row in wanted]  # the metadata column has them URL-encoded
-        df = spark.read.schema(df.schema).option("basePath", path).parquet(*files)
-    last = wanted[-1]
-    return df.filter((F.col("_metadata.file_path") != last.file)
-                     | (F.col("_metadata.row_index") < n - last.before))
+    file = F.col("_metadata.file_path")
+    last, rest = boundary[0].file, n - boundary[0].before
+    return df.filter((file <= last) & ((file < last) | (F.col("_metadata.row_index") < rest)))
 
 
 def read_table(spark: SparkSession, name: str, *columns: str) -> DataFrame:

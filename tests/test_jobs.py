@@ -88,6 +88,10 @@ def test_shards_and_parts(spark, sequences, tmp_path):
     exact = str(tmp_path / "exact")
     files.write_shards(sequences.repartition(3), exact, rows=250, order=["seq_id"])
     assert sorted(r.n_rows for r in files.describe_output(spark, exact).collect()) == [200, 250, 250, 250, 250]
+    numbered = str(tmp_path / "numbered")
+    files.write_shards(sequences.repartition(7), numbered, rows=250, exact=True)
+    assert sorted(r.n_rows for r in files.describe_output(spark, numbered).collect()) == [200, 250, 250, 250, 250]
+    assert sorted(map(tuple, spark.read.parquet(numbered).collect())) == sorted(map(tuple, sequences.collect()))
     files.write_partitioned(sequences.withColumn("node", F.length("sequence") % 3), parts)
     assert len(glob.glob(f"{parts}/node=*")) == 3
     assert read_stage(spark, parts).count() == 1200

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqembed.operators.lengths import length_stats
+from seqembed.operators.positions import file_positions
 from seqembed.sources.corpus import read_corpus
 from seqembed.sources.fasta import read_fasta
 from seqembed.sources.synth import RESIDUES, SHARES, synth_sequences
@@ -24,6 +25,8 @@ def fasta(spark, tmp_path, text, **options):
     (">plain\nAA\n>sp|P1|A\nMKV\n>other\nCC\n", {("sp_000000", "AA"), ("P1", "MKV"), ("sp_000002", "CC")}),
     (">empty\n>sp|P1|A\nMKV\n>other\nCC\n", {("P1", "MKV"), ("sp_000001", "CC")}),
     (">>sp|P1|A\nMKV\n>>q|P2|B\nAA\n", {("P1", "MKV"), ("P2", "AA")}),
+    (">a\nAA\n>b\n>c\nCC\n>d\n>e\nEE\n", {("sp_000000", "AA"), ("sp_000001", "CC"), ("sp_000002", "EE")}),
+    ("junk\n>b\n>c\nCC\n>d\nDD\n", {("sp_000000", "CC"), ("sp_000001", "DD")}),
     (">sp|P1|A\n M KV\n\nLL\n", {("P1", " M KVLL")}),
     ("", set()),
     ("no header at all\n", set()),
@@ -71,8 +74,18 @@ def test_corpus_counts_raw_rows(spark):
     rows = [(0, "a", "TEXT", "SEQ"), (1, "b", "", "SEQ"), (2, "c", None, ""), (3, None, "LONGTEXT", None),
             (4, "e", "E", None)]
     df = spark.createDataFrame(rows, "pos int, id string, text string, sequence string")
-    got = read_corpus(df, ["pos"], n=4, max_len=4).collect()
-    assert {tuple(r) for r in got} == {("a", "TEXT"), ("b", "SEQ"), ("uniref50_000003", "LONG")}
+    for options in ({"order": ["pos"]}, {"position": "pos"}):
+        got = read_corpus(df, n=4, max_len=4, **options).collect()
+        assert {tuple(r) for r in got} == {("a", "TEXT"), ("b", "SEQ"), ("uniref50_000003", "LONG")}
+
+
+def test_positions_in_files(spark, tmp_path):
+    for name, ids in (("b", range(100, 130)), ("a", range(100)), ("c", range(130, 131))):
+        spark.range(ids.start, ids.stop, 1, 1).write.parquet(str(tmp_path / "in" / f"part={name}"))
+    rows = file_positions(spark.read.parquet(str(tmp_path / "in")))
+    assert all(r.id == r._position for r in rows.collect()) and rows.count() == 131
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan
 
 
 def test_long_numbers_are_not_cut(spark):

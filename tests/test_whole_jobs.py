@@ -28,8 +28,22 @@ def test_read_first(spark, staged, n, rows):
     assert ids(read_first(spark, staged, n)) == [f"synth_{i:06d}" for i in range(rows)]
 
 
+def files_opened(df):
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().selectedPartitions().totalNumberOfFiles()
+
+
 def test_read_first_opens_only_what_it_needs(spark, staged):
-    assert len(read_first(spark, staged, 60).inputFiles()) == 2
+    assert files_opened(read_first(spark, staged, 60)) == 2
+
+
+def test_read_first_of_many_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    for i in range(2000):
+        pq.write_table(pa.table({"x": [2 * i, 2 * i + 1]}), tmp_path / f"part-{i:05d}.parquet")
+    rows = read_first(spark, str(tmp_path), 3001)
+    assert files_opened(rows) == 1501
+    assert rows.agg(F.count("x"), F.max("x"), F.count_distinct("x")).first() == (3001, 3000, 3001)
 
 
 def test_embed_jobs_agree(spark, staged, tmp_path):
