@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -41,6 +43,35 @@ def framed_codes(column: pa.Array, alphabet: Alphabet) -> tuple[np.ndarray, np.n
     return framed, starts, lengths + 2
 
 
+def windowed_codes(column: pa.Array, alphabet: Alphabet, body: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows cut into windows of at most `body` characters, each with cls before and eos after.
+
+    Ids of all windows, their starts and lengths, and the row of each; an empty row is one empty window.
+    """
+    codes, bounds = text_codes(column, alphabet)
+    sizes = np.diff(bounds)
+    windows = np.maximum(1, -(-sizes // body))
+    row = np.repeat(np.arange(len(sizes)), windows)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    lengths = np.minimum(body, sizes[row] - within * body)
+    starts = np.cumsum(lengths + 2) - (lengths + 2)
+    framed = np.empty(len(codes) + 2 * len(row), np.int32)
+    inside = np.ones(len(framed), bool)
+    inside[starts] = inside[starts + lengths + 1] = False
+    framed[inside] = codes
+    framed[starts], framed[starts + lengths + 1] = alphabet.cls_id, alphabet.eos_id
+    return framed, starts, lengths + 2, row
+
+
+def byte_runs(batches: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs of rows of about `max_bytes`."""
+    for batch in batches:
+        if batch.num_rows:
+            step = max(1, int(batch.num_rows * max_bytes / max(1, batch.nbytes)))
+            for start in range(0, batch.num_rows, step):
+                yield batch.slice(start, step)
+
+
 def list_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of an integer list column, and the row boundaries among them."""
     bounds = column.offsets.to_numpy().astype(np.int64)

@@ -22,6 +22,7 @@ class CellSettings:
     normalized_total: float = 10000.0
     log1p: bool = False
     compute_medians: bool = False
+    median_accuracy: int | None = None
     hvg: int | None = None
     max_seq_len: int = 2048
     remove: dict[str, list] = field(default_factory=dict)
@@ -54,7 +55,7 @@ def preprocess_pairs(pairs: DataFrame, medians: DataFrame | None = None,
     values = ops.normalize_total(pairs, settings.normalized_total)
     if settings.compute_medians:
         values = stage(values, "values")
-        medians = stage(ops.gene_medians(values), "medians")
+        medians = stage(ops.gene_medians(values, settings.median_accuracy), "medians")
     if medians is not None:
         values = ops.scale_by_median(values, medians)
     return ops.log1p(values) if settings.log1p else values

@@ -10,10 +10,13 @@ from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.alphabet import PROTEIN, Alphabet
-from ..functions.arrays import framed_codes, list_codes, list_column, pad_rows
+from ..functions.arrays import byte_runs, framed_codes, list_codes, list_column, pad_rows, windowed_codes
 from ..functions.models import StandIn, resident
 from ..functions.pooling import POOLS
-from ..session import ship_package
+from ..session import ship_package, stage
+
+RUN_BYTES = 4 << 20
+RUN_WINDOWS = 4096
 
 
 def embed(df: DataFrame, model: Callable = StandIn(), max_length: int = 1024, batch_size: int = 32,
@@ -52,6 +55,109 @@ def embed_cells(df: DataFrame, model: Callable = StandIn(), seq_len: int = 2048,
                 profile)
 
 
+def embed_whole(df: DataFrame, model: Callable = StandIn(), max_length: int = 1024, batch_size: int = 32,
+                alphabet: Alphabet = PROTEIN, split_windows: int = 0, workers: int | None = None,
+                profile: ResourceProfile | None = None) -> DataFrame:
+    """`(seq_id, sequence)` to `(seq_id, embedding)`, nothing cut off.
+
+    A sequence is cut into windows of `max_length` tokens, cls and eos included; each is a model input of its own.
+    The embedding is the mean over the unmasked positions of all windows: sums of states and their counts merge.
+    A sequence of one window has the embedding that `embed` gives it.
+
+    Without `split_windows` a row stays in its task and nothing is shuffled. With it rows are cut into parts of so
+    many windows, which are dealt over all tasks (`workers` of them, if given); each part sends one sum, and sums
+    are merged again by row. That is for sequences that are long enough to hold up a task.
+    """
+    ship_package(df.sparkSession)
+    body = max_length - 2
+    embedding = T.StructField("embedding", T.ArrayType(T.FloatType()))
+    inputs = df.select("seq_id", "sequence")
+    id_field = T.StructField("seq_id", inputs.schema["seq_id"].dataType)
+    if not split_windows:
+        inputs = inputs.repartition(workers) if workers else inputs
+        worker = _WindowSums(model, batch_size, alphabet, body, merge=True)
+        return inputs.mapInArrow(worker, T.StructType([id_field, embedding]), profile=profile)
+    # Staged, so that a row keeps its number whatever is computed again.
+    rows = stage(inputs.withColumn("row", F.monotonically_increasing_id()), "whole")
+    parts = rows.select("row", "sequence").mapInArrow(_Parts(body * split_windows), "row long, part long, sequence string")
+    parts = parts.repartition(workers, "row", "part") if workers else parts.repartition("row", "part")
+    sums = parts.select("row", "sequence").mapInArrow(
+        _WindowSums(model, batch_size, alphabet, body, merge=False), "row long, sums array<double>, n long", profile=profile)
+    merged = sums.repartition("row").sortWithinPartitions("row").mapInArrow(
+        _MergeSums(), T.StructType([T.StructField("row", T.LongType()), embedding]))
+    return rows.select("row", "seq_id").join(merged, "row").select("seq_id", "embedding")
+
+
+class _Parts:
+    """(row, sequence) to (row, part, sequence) with at most `size` characters each."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_runs(batches, RUN_BYTES):
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = [(text or "")[at:at + self.size] for at in range(0, max(1, len(text or "")), self.size)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()),
+                    pa.array(parts, pa.string())], names=["row", "part", "sequence"])
+
+
+class _WindowSums:
+    """(key, sequence) to sums of states over all windows and their number, or, merged, to (key, mean)."""
+
+    def __init__(self, model, batch_size: int, alphabet: Alphabet, body: int, merge: bool):
+        self.model, self.batch_size, self.alphabet, self.body, self.merge = model, batch_size, alphabet, body, merge
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forward, pad = resident(self.model), self.alphabet.pad_id
+        for batch in byte_runs(batches, RUN_BYTES):
+            ids, starts, lengths, row = windowed_codes(batch.column(1), self.alphabet, self.body)
+            total, counts = None, np.bincount(row, lengths, minlength=batch.num_rows)
+            for first in range(0, len(row), RUN_WINDOWS):
+                order = first + np.argsort(lengths[first:first + RUN_WINDOWS], kind="stable")
+                for at in range(0, len(order), self.batch_size):
+                    rows = order[at:at + self.batch_size]
+                    tokens = pad_rows(ids, starts[rows], lengths[rows], int(lengths[rows].max()), pad)
+                    seen = (np.arange(tokens.shape[1]) < lengths[rows, None]).astype(np.int32)
+                    states = forward(tokens, seen)
+                    sums = np.matmul(seen.astype(np.float32)[:, None, :], states)[:, 0, :].astype(np.float64)
+                    total = np.zeros((batch.num_rows, sums.shape[1])) if total is None else total
+                    np.add.at(total, row[rows], sums)
+            if self.merge:
+                means = (total / counts[:, None]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), list_column(means)], names=["seq_id", "embedding"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), list_column(total), pa.array(counts.astype(np.int64))],
+                                                 names=["row", "sums", "n"])
+
+
+class _MergeSums:
+    """Sorted (row, sums, n) to (row, mean): the sums of a row are added; the last row of a batch waits for the next."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, bounds = list_codes(batch.column(1))
+            row, sums, n = batch.column(0).to_numpy(), values.reshape(len(bounds) - 1, -1), batch.column(2).to_numpy()
+            if held is not None:
+                row, sums, n = np.append(held[0], row), np.concatenate([held[1], sums]), np.append(held[2], n)
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            row, sums, n = row[first], np.add.reduceat(sums, first), np.add.reduceat(n, first)
+            held = row[-1:], sums[-1:], n[-1:]
+            if len(row) > 1:
+                yield self._means(row[:-1], sums[:-1], n[:-1])
+        if held is not None:
+            yield self._means(*held)
+
+    @staticmethod
+    def _means(row: np.ndarray, sums: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(row), list_column((sums / n[:, None]).astype(np.float32))],
+                                          names=["row", "embedding"])
+
+
 def _run(inputs, id_column, reader, model, pool, batch_size, pad_id, width, workers, profile):
     if workers:
         inputs = inputs.repartition(workers)

@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.batches import Doubler, map_batches
@@ -16,14 +17,14 @@ from ..operators.positions import file_positions
 from ..operators.rows import hash_split, limit_rows
 from ..schemas import SMOKE_OUT
 from ..session import stage
-from ..sinks.files import describe_output, export_csv, write_partitioned, write_shards, write_stage
+from ..sinks.files import describe_output, export_csv, publish, write_partitioned, write_shards, write_stage
 from ..sources.corpus import read_corpus
 from ..sources.fasta import read_fasta
 from ..sources.synth import synth_sequences
 from ..sources.tables import read_first, smoke_input
 from .cells import CellSettings, all_cells, cap_cells, filtered, preprocess_pairs, token_lists
 from .embed import embed, embed_cells
-from .guards import check_dim, postflight, preflight
+from .guards import check_dim, preflight
 
 
 @dataclass
@@ -80,7 +81,8 @@ def pretokenize_job(spark: SparkSession, path: str, output: str, n: int = 0, max
 
 def embed_job(spark: SparkSession, path: str, output: str, model: Callable = StandIn(), limit: int = 0,
               batch_size: int = 32, max_length: int = 1024, pretokenized: bool = False, nodes: int = 1,
-              workers: int | None = None, mode: str = "errorifexists") -> RunReport:
+              workers: int | None = None, mode: str = "errorifexists",
+              profile: ResourceProfile | None = None) -> RunReport:
     """Embed staged sequences or tokens, with checks before and after.
 
     With `nodes` above 1 the output has one subfolder per node; read `output` for all of them. The
@@ -90,19 +92,20 @@ def embed_job(spark: SparkSession, path: str, output: str, model: Callable = Sta
     expected = min(limit, total) if limit > 0 else total
     started = time.perf_counter()
     vectors = embed(read_first(spark, path, limit), model, max_length, batch_size, pretokenized,
-                    workers=workers)
+                    workers=workers, profile=profile)
     if nodes > 1:
-        write_partitioned(hash_split(vectors, nodes, "seq_id"), output, mode=mode)
+        rows = write_partitioned(hash_split(vectors, nodes, "seq_id"), output, mode=mode)
     else:
-        write_stage(vectors, output, mode)
+        rows = write_stage(vectors, output, mode)
     wall = time.perf_counter() - started
-    rows = postflight(spark, output, expected, strict=True)
+    if rows != expected:
+        raise ValueError(f"{output} has {rows} rows, expected {expected}")
     return RunReport(expected, rows, wall, workers or spark.sparkContext.defaultParallelism)
 
 
 def embed_table_job(spark: SparkSession, source: str, target: str, dims: int, model: Callable = StandIn(),
                     limit: int = 0, batch_size: int = 32, max_length: int = 1024, fmt: str = "parquet",
-                    location: str | None = None) -> bool:
+                    location: str | None = None, profile: ResourceProfile | None = None) -> bool:
     """Embed the rows of a catalog table that another one lacks; False when there are none.
 
     Done is what has an embedding of `dims` elements in the target; rows with others are replaced. New
@@ -118,22 +121,20 @@ def embed_table_job(spark: SparkSession, source: str, target: str, dims: int, mo
         rows = rows.filter("seq_id IS NOT NULL").join(good.select("seq_id"), "seq_id", "left_anti")
         if rows.isEmpty() and not wrong:
             return False
-    vectors = stage(embed(rows, model, max_length, batch_size), "vectors")
+    vectors = stage(embed(rows, model, max_length, batch_size, profile=profile), "vectors")
     if check_dim(vectors, dims).filter(~F.col("as_expected")).count():
         raise ValueError(f"the model's embeddings do not have {dims} elements")
-    if wrong:
-        vectors = stage(good, "kept").unionByName(vectors)
-    writer = vectors.write.mode("append" if exists and not wrong else "overwrite").format(fmt)
-    if location is not None and (wrong or not exists):
-        writer = writer.option("path", location)
-    writer.saveAsTable(target)
+    if exists and not wrong:
+        vectors.write.mode("append").format(fmt).saveAsTable(target)
+    else:
+        publish(good.unionByName(vectors) if wrong else vectors, target, fmt, location)
     return True
 
 
 def cell_job(spark: SparkSession, counts: DataFrame, vocab: DataFrame, output: str,
              medians: DataFrame | None = None, settings: CellSettings = CellSettings(),
              model: Callable = StandIn(), dims: int | None = None, batch_size: int = 4,
-             mode: str = "errorifexists") -> DataFrame:
+             mode: str = "errorifexists", profile: ResourceProfile | None = None) -> DataFrame:
     """Embed cells from raw counts; parquet at `output`, and CSV beside it when `dims` is given.
 
     Every cell that passes the filters is embedded; one without a token is all padding. Raises when the
@@ -142,9 +143,10 @@ def cell_job(spark: SparkSession, counts: DataFrame, vocab: DataFrame, output: s
     pairs = stage(filtered(counts, settings), "pairs")
     lists = token_lists(preprocess_pairs(pairs, medians, settings), vocab, settings.max_seq_len)
     lists = stage(cap_cells(all_cells(lists, pairs), settings), "token-lists")
-    vectors = embed_cells(lists, model, settings.max_seq_len, batch_size)
-    write_stage(vectors, output, mode)
-    postflight(spark, output, lists.count(), strict=True)
+    vectors = embed_cells(lists, model, settings.max_seq_len, batch_size, profile=profile)
+    rows, expected = write_stage(vectors, output, mode), lists.count()
+    if rows != expected:
+        raise ValueError(f"{output} has {rows} rows, expected {expected}")
     written = spark.read.parquet(output)
     if dims is not None:
         export_csv(written, f"{output}.csv", dims, mode)

@@ -53,6 +53,21 @@ def gene_median(spark, folder):
     return ops.gene_medians(normalized(spark, folder))
 
 
+SUMMARY = 100
+
+
+def gene_medians_sketch(spark, folder):
+    """Medians from summaries, with the share of the gene's values by which their exact rank is off."""
+    values = normalized(spark, folder).filter(F.col("value") > 0)
+    medians = ops.gene_medians(values, accuracy=SUMMARY).withColumnRenamed("median", "guess")
+    ranks = values.join(medians, "gene_id").groupBy("gene_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("value") < F.col("guess")).alias("below"),
+        F.count_if(F.col("value") <= F.col("guess")).alias("up_to"))
+    middle = F.ceil(F.col("n") / 2)
+    off = F.greatest(F.lit(0), F.col("below") + 1 - middle, middle - F.col("up_to"))
+    return ranks.select("gene_id", "n", (off <= F.floor(F.col("n") / SUMMARY) + 1).alias("within"))
+
+
 def hvg_topk(spark, folder):
     top = ops.hvg(cell_counts(spark, folder), 200)
     return top.select("gene_id", *[F.round(c, 9).alias(c) for c in ("mean", "variance", "dispersion")])
@@ -126,6 +141,7 @@ QUERIES = {
     "cells_max_mito": cells_max_mito,
     "cell_normalize": normalized,
     "gene_medians": gene_median,
+    "gene_medians_sketch": gene_medians_sketch,
     "hvg_topk": hvg_topk,
     "cell_median_scale": scaled,
     "cell_annotate": cell_annotate,
@@ -178,6 +194,9 @@ SQL = {
             FROM normalized WHERE value > 0)
         SELECT gene_id, avg(value) AS median FROM ranked
         WHERE rank IN ((n + 1) // 2, n // 2 + 1) GROUP BY gene_id""",
+    "gene_medians_sketch": f"""
+        WITH {NORMALIZED_SQL} SELECT gene_id, count(*) AS n, true AS within FROM normalized
+        WHERE value > 0 GROUP BY gene_id""",
     "hvg_topk": f"""
         WITH {COUNTS_SQL}, sums AS (
             SELECT gene_id, sum(count) AS s, sum(count * count) AS ss,

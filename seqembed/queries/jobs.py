@@ -42,9 +42,11 @@ def table_resume(spark, folder):
     source, target = (scratch_path(spark, name).rsplit("/", 1)[1].replace("-", "_") for name in ("from", "to"))
     sequences(spark, folder).write.option("path", scratch_path(spark, "source")).saveAsTable(source)
     again = [embed_table_job(spark, source, target, 64, limit=limit, location=place) for limit in (120, 0, 0)]
+    rows = spark.table(target)
     spark.sql(f"DROP TABLE {source}")
+    rows = spark.read.parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
     spark.sql(f"DROP TABLE {target}")
-    return spark.read.parquet(place).agg(
+    return rows.agg(
         F.count("*").alias("n_rows"), F.count_distinct("seq_id").alias("n_ids"), F.min(F.size("embedding")).alias("dim"),
         F.lit(again[1]).alias("resumed"), F.lit(again[2]).alias("again"))
 

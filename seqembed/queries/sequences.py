@@ -175,13 +175,13 @@ def tokenize_longest(spark, folder):
 
 
 # Residues of the alphabet in the order of their ids, which start at 4; 3 is unknown.
-_RESIDUES = "LAGVSERTIDPKQNFYMHWCXBUZO.-"
+RESIDUES_BY_ID = "LAGVSERTIDPKQNFYMHWCXBUZO.-"
 TOKENS_SQL = f"""letters AS (
     SELECT seq_id, unnest(string_split(substr(sequence, 1, 1022), '')) AS letter,
            generate_subscripts(string_split(substr(sequence, 1, 1022), ''), 1) AS position
     FROM sequences),
 tokens AS (
-    SELECT seq_id, position, strpos('{_RESIDUES}', letter) + 3 AS token FROM letters WHERE letter <> ''
+    SELECT seq_id, position, strpos('{RESIDUES_BY_ID}', letter) + 3 AS token FROM letters WHERE letter <> ''
     UNION ALL SELECT seq_id, 0, 0 FROM sequences
     UNION ALL SELECT seq_id, least(length(sequence), 1022) + 1, 2 FROM sequences)"""
 _ROWS_SQL = f"""{TOKENS_SQL}, filled AS (

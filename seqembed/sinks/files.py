@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -37,18 +38,59 @@ def write_shards(df: DataFrame, path: str, rows: int = 500, order: Sequence[str]
 
 
 def write_partitioned(df: DataFrame, path: str, column: str = "node",
-                      mode: str = "errorifexists") -> None:
-    """Write one subfolder per value of `column`; reading `path` gives all of them."""
-    df.write.mode(mode).partitionBy(column).parquet(path)
+                      mode: str = "errorifexists") -> int:
+    """Write one subfolder per value of `column`; reading `path` gives all of them. Returns the rows written."""
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.mode(mode).partitionBy(column).parquet(path)
+    return written.get["rows"]
 
 
 def promote(spark: SparkSession, path: str, table: str, fmt: str = "parquet",
             location: str | None = None) -> None:
     """Make the parquet folder `path` a catalog table, replacing what the table held."""
-    writer = spark.read.parquet(path).write.mode("overwrite").format(fmt)
-    if location is not None:
-        writer = writer.option("path", location)
-    writer.saveAsTable(table)
+    publish(spark.read.parquet(path), table, fmt, location)
+
+
+def publish(df: DataFrame, table: str, fmt: str = "parquet", location: str | None = None) -> int:
+    """Make the rows of `df` what the catalog table holds; returns their number.
+
+    The rows are written beside the present ones, into a version folder of their own below `location` (by default
+    below the folder of the database), read back and counted. Only then the table is pointed there, in one
+    statement of the catalog where the columns are the same, so a job that is lost before leaves the table as it
+    was. `df` may read the table. Where columns differ the new table takes the name in two renames. Folders of
+    versions before the last two are left to whoever cleans `location`.
+    """
+    spark = df.sparkSession
+    name = table.replace("`", "").split(".")
+    root = location or f"{_database_folder(spark, name)}/{name[-1]}__versions"
+    version = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.format(fmt).save(version)
+    rows, found = written.get["rows"], spark.read.format(fmt).schema(df.schema).load(version)
+    if found.count() != rows:
+        raise ValueError(f"{version} does not hold the {rows} rows written")
+    if not spark.catalog.tableExists(table):
+        _create(spark, df, table, fmt, version)
+    elif [(f.name, f.dataType) for f in spark.table(table).schema] == [(f.name, f.dataType) for f in df.schema]:
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{version}'")
+    else:
+        mark = uuid.uuid4().hex
+        _create(spark, df, f"{table}_{mark}", fmt, version)
+        spark.sql(f"ALTER TABLE {table} RENAME TO {table}_old_{mark}")
+        spark.sql(f"ALTER TABLE {table}_{mark} RENAME TO {table}")
+        spark.sql(f"DROP TABLE {table}_old_{mark}")
+    spark.catalog.refreshTable(table)
+    return rows
+
+
+def _create(spark: SparkSession, df: DataFrame, table: str, fmt: str, path: str) -> None:
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING {fmt} LOCATION '{path}'")
+
+
+def _database_folder(spark: SparkSession, name: list[str]) -> str:
+    database = name[-2] if len(name) > 1 else spark.catalog.currentDatabase()
+    return spark.catalog.getDatabase(database).locationUri.rstrip("/")
 
 
 def wide_columns(dims: int, vector: str = "embedding") -> list:

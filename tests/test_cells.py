@@ -42,6 +42,22 @@ def test_cell_filters(spark, counts):
     assert table(ops.max_mito(pairs, mito, 0.6), "cell_id") == {("c1",), ("c2",), ("c3",)}
 
 
+def test_median_summaries(spark):
+    values = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("gene_id"),
+        F.col("id").cast("string").alias("cell_id"), ((F.col("id") * 7919) % 10_007 - 50).cast("double").alias("value"))
+    exact = {r.gene_id: r.median for r in ops.gene_medians(values).collect()}
+    rows = {}
+    for r in values.filter("value > 0").collect():
+        rows.setdefault(r.gene_id, []).append(r.value)
+    for r in ops.gene_medians(values, accuracy=100).collect():
+        mine, middle = rows[r.gene_id], -(-len(rows[r.gene_id]) // 2)
+        below, up_to = sum(x < r.median for x in mine), sum(x <= r.median for x in mine)
+        assert max(below + 1 - middle, middle - up_to) <= len(mine) / 100 + 1
+        assert r.gene_id in exact
+    assert ops.gene_medians(values.limit(0), accuracy=100).count() == 0
+
+
 def test_missing_median_and_token(spark, counts):
     values = ops.normalize_total(read_cells(counts))
     medians = spark.createDataFrame([("a", 2.0)], "gene_id string, median double")

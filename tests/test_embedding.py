@@ -7,7 +7,7 @@ from seqembed.functions.batches import Doubler, map_batches
 from seqembed.functions.models import StandIn
 from seqembed.functions.pooling import masked_mean, plain_mean, pool_column
 from seqembed.functions.tokenize import mask_from_ids, pad_right, token_ids, tokenize
-from seqembed.plans.embed import embed, embed_cells
+from seqembed.plans.embed import embed, embed_cells, embed_whole
 from seqembed.schemas import SEQUENCES, SMOKE_OUT
 from seqembed.sources.synth import synth_sequences
 from seqembed.sources.tables import smoke_input
@@ -88,6 +88,26 @@ def test_rows_without_tokens(spark):
     assert got["gap"] == tuple((hidden(5, 0) + hidden(7, 2)) / 2)
 
 
+@pytest.mark.parametrize("split", [0, 1, 3])
+def test_whole_sequences(spark, split):
+    texts = ["", "L", "LAGVSE", "LAGVSER", "LAGVSERTIDPKQNFYMHWC" * 7, "Lé語A" * 5, None, "LAGVSE", "X" * 5000]
+    df = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(texts)] + [("s1", "LL")], SEQUENCES)
+
+    def plain(text):
+        hidden = []
+        for at in range(0, max(1, len(text)), 6):
+            ids = expected_ids(text[at:at + 6], 8)
+            hidden += [[(31 * x + 17 * d + 7 * i) % 1009 for d in range(5)] for i, x in enumerate(ids)]
+        return tuple(np.float32(sum(h[d] for h in hidden) / len(hidden)) for d in range(5))
+
+    got = embed_whole(df, StandIn(5), max_length=8, batch_size=3, split_windows=split).collect()
+    want = sorted([(f"s{i}", plain(t or "")) for i, t in enumerate(texts)] + [("s1", plain("LL"))])
+    assert sorted((r.seq_id, tuple(r.embedding)) for r in got) == want
+    assert embed_whole(df.limit(0), StandIn(5), split_windows=split).count() == 0
+    short = df.filter("length(sequence) <= 6 AND seq_id <> 's1'")
+    assert vectors(embed_whole(short, StandIn(5), max_length=8, split_windows=split)) == vectors(embed(short, StandIn(5), 8))
+
+
 def test_null_sequence_is_empty(spark):
     df = spark.createDataFrame([("a", None), ("b", "")], SEQUENCES)
     got = vectors(embed(df))

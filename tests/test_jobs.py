@@ -110,6 +110,24 @@ def test_modes_and_promotion(spark, sequences, tmp_path):
     assert sql_over_path(spark, path).columns == ["seq_id", "sequence"]
 
 
+def test_publish_keeps_the_old_table_when_a_write_breaks(spark, sequences, tmp_path):
+    place = str(tmp_path / "published")
+    assert files.publish(sequences, "published", location=place) == 1200
+    broken = sequences.withColumn("sequence", F.when(F.col("seq_id") == "s0700", F.raise_error(F.lit("lost"))).otherwise(F.col("sequence")))
+    with pytest.raises(Exception, match="lost"):
+        files.publish(broken, "published", location=place)
+    assert spark.table("published").count() == 1200
+    # A table may be replaced by what is read from it, and other columns take its name.
+    assert files.publish(spark.table("published").filter("seq_id < 's0010'"), "published", location=place) == 10
+    assert sorted(r.seq_id for r in spark.table("published").collect()) == [f"s{i:04d}" for i in range(10)]
+    assert files.publish(sequences.select(F.length("sequence").alias("n")), "published", location=place) == 1200
+    assert spark.table("published").columns == ["n"]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("published_")]
+    spark.sql("DROP TABLE published")
+    assert files.publish(sequences.limit(3), "published") == 3 and spark.table("published").count() == 3
+    spark.sql("DROP TABLE published")
+
+
 def test_csv_and_dims(spark, tmp_path):
     df = spark.createDataFrame([("a", [1.0, 2.5]), ("b", [3.0, 4.0])], EMBEDDINGS)
     path = str(tmp_path / "csv")

@@ -126,6 +126,26 @@ def test_no_cell_vanishes(spark, tmp_path):
         run(2, max_mitochondrial_prop=0.1)
 
 
+def test_profiles_reach_the_workers(spark, staged, tmp_path, monkeypatch):
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+    from pyspark.sql.classic.dataframe import DataFrame
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().resource("gpu", 1)).build
+    plain, seen = DataFrame.mapInArrow, []
+
+    def watched(self, func, schema, barrier=False, profile=None):
+        seen.append(profile)
+        return plain(self, func, schema, barrier)  # local mode grants no profile
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", watched)
+    jobs.embed_job(spark, staged, str(tmp_path / "out"), limit=5, profile=profile)
+    spark.read.parquet(staged).write.option("path", str(tmp_path / "src")).mode("overwrite").saveAsTable("profile_src")
+    jobs.embed_table_job(spark, "profile_src", "profile_dst", 64, limit=5, location=str(tmp_path / "dst"), profile=profile)
+    counts = spark.createDataFrame([("a", "g", 1.0)], "cell_id string, gene_id string, count double")
+    vocab = spark.createDataFrame([("g", 3)], "gene_id string, token_id int")
+    jobs.cell_job(spark, counts, vocab, str(tmp_path / "cells"), settings=CellSettings(max_seq_len=4), profile=profile)
+    assert seen.count(profile) == 3
+
+
 def test_staging_takes_all_and_whole(spark, tmp_path):
     spark.createDataFrame([("A" * 3000,)] * 1500, "text string").write.parquet(str(tmp_path / "in"))
     stats = jobs.stage_job(spark, "corpus", str(tmp_path / "out"), str(tmp_path / "in"), max_len=None).first()
