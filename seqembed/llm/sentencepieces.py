@@ -6,9 +6,10 @@ part of no longer piece. A worker cuts texts into such chunks, numbers the disti
 those that are new, and joins ids back to the texts by the positions of their chunks in one gather. A model
 whose pieces do go on into a marker is handled too: then a whole text is one chunk.
 
-A chunk is merged by score, best first and leftmost among equals: up to `SHORT` characters in a list, longer ones
-with a heap, so that one very long word of n characters costs n log n. Both give the same ids. Characters outside
-the vocabulary become the bytes of their UTF-8.
+A chunk is merged by score, best first and leftmost among equals. New chunks lie end to end in one array and are
+merged in rounds, each chunk its best pair. Chunks of more than `SHORT` characters, with characters outside the
+vocabulary or with pieces that share a score are merged one by one with a heap, so that one very long word of n
+characters costs n log n. Both give the same ids. Characters outside the vocabulary become the bytes of their UTF-8.
 
 A worker process keeps its table from task to task. Beyond `TABLE_CHUNKS` chunks or `TABLE_CHARS` characters the
 chunks that were met least go, and a long text is taken in runs of `RUN` chunks, so a worker holds its batch, one
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain, islice
 
@@ -27,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .bpe import spans
+from .bpe import NONE, Vocabulary, spans
 from .common import fresh, pieces, sha256_hex, ship_package
 
 MARK = "▁"
@@ -39,6 +41,13 @@ LONG_TEXT = 1 << 20
 UNKNOWN, CONTROL, BYTE = 2, 3, 6  # fixed values: the types of pieces in a model file
 
 
+class _Pairs(Vocabulary):
+    """The hash table of a vocabulary alone: (left, right) to the merged symbol, whose number is its rank."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self._hash(keys, values)
+
+
 class PieceModel:
     """Ranks, ids and bytes of the pieces of a model file; a few MB, built once on the driver."""
 
@@ -60,7 +69,20 @@ class PieceModel:
         order = {score: n for n, score in enumerate(sorted({proto.pieces[i].score for i in normal.values()}, reverse=True))}
         self.ids = normal
         self.rank = {piece: order[proto.pieces[i].score] for piece, i in normal.items()}
-        self.none = len(order)  # the rank of what is no piece
+        # For rounds over many chunks a piece is numbered by its rank; pieces that share a score have no order of their own.
+        ranked = sorted(normal, key=lambda piece: (self.rank[piece], normal[piece]))
+        number = {piece: n for n, piece in enumerate(ranked)}
+        self.final = np.array([normal[piece] for piece in ranked], np.int32)
+        self.codes = np.full(0x110000, -1, np.int32)
+        for piece in ranked:
+            if len(piece) == 1:
+                self.codes[ord(piece)] = number[piece]
+        pairs = {number[p[:i]] << 32 | number[p[i:]]: number[p]
+                 for p in ranked for i in range(1, len(p)) if p[:i] in number and p[i:] in number}
+        self.pairs = _Pairs(np.fromiter(pairs.keys(), np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
+        shared = Counter(self.rank[piece] for piece in normal if len(piece) > 1)
+        tied = [piece for piece in ranked if len(piece) > 1 and shared[self.rank[piece]] > 1]
+        self.tied = re.compile("|".join(map(re.escape, tied)) or r"(?!)")
         self.longest = max(map(len, normal))
         self.byte_ids = [0] * 256
         data = []
@@ -87,29 +109,7 @@ class PieceModel:
             self.pattern = f"{MARK}*[^{MARK}{solo}]+|{MARK}+|[{solo}]" if solo else f"{MARK}*[^{MARK}]+|{MARK}+"
 
     def segment(self, chunk: str) -> list[int]:
-        """Ids of one chunk."""
-        ids, known = [], self.ids
-        for piece in (self._short if len(chunk) <= SHORT else self._long)(chunk):
-            if piece in known:
-                ids.append(known[piece])
-            else:
-                ids.extend(self.byte_ids[b] for b in piece.encode())
-        return ids
-
-    def _short(self, chunk: str) -> list[str]:
-        parts, rank, none = list(chunk), self.rank.get, self.none
-        pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
-        while pairs and (best := min(pairs)) != none:
-            i = pairs.index(best)
-            parts[i] += parts.pop(i + 1)
-            pairs.pop(i)
-            if i < len(pairs):
-                pairs[i] = rank(parts[i] + parts[i + 1], none)
-            if i:
-                pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
-        return parts
-
-    def _long(self, chunk: str) -> Iterator[str]:
+        """Ids of one chunk, merged with a heap."""
         rank, size, longest = self.rank, len(chunk), self.longest
         end = list(range(1, size + 1))  # where the symbol that starts here ends; 0 once it is swallowed
         before = list(range(-1, size - 1))
@@ -129,16 +129,66 @@ class PieceModel:
                 last = end[stop]
                 if last - i <= longest and (found := rank.get(chunk[i:last])) is not None:
                     heapq.heappush(heap, (found, i, last))
-        i = 0
+        ids, i = [], 0
         while i < size:
-            yield chunk[i:end[i]]
+            piece = chunk[i:end[i]]
+            if piece in self.ids:
+                ids.append(self.ids[piece])
+            else:
+                ids.extend(self.byte_ids[b] for b in piece.encode())
             i = end[i]
+        return ids
 
     def merge(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all `chunks`, one after the other, and how many ids each has."""
-        found = list(map(self.segment, chunks))
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        tied = self.tied.search
+        plain = np.flatnonzero(np.fromiter((len(c) <= SHORT and not tied(c) for c in chunks), bool, len(chunks)))
+        symbols = self.codes[np.frombuffer("".join([chunks[i] for i in plain]).encode("utf-32-le"), np.uint32)]
+        owner = np.repeat(plain, sizes[plain])
+        strange = np.zeros(len(chunks), bool)
+        strange[owner[symbols < 0]] = True  # characters outside the vocabulary
+        kept = ~strange[owner]
+        owner, symbols = self._rounds(owner[kept], symbols[kept])
+        slow = np.ones(len(chunks), bool)
+        slow[plain] = strange[plain]
+        counts = np.bincount(owner, minlength=len(chunks))
+        rest = {int(i): self.segment(chunks[i]) for i in np.flatnonzero(slow)}
+        counts[list(rest)] = [len(ids) for ids in rest.values()]
+        ids = np.empty(int(counts.sum()), np.int32)
+        ids[np.repeat(~slow, counts)] = self.final[symbols]
+        ids[np.repeat(slow, counts)] = np.fromiter(chain.from_iterable(rest.values()), np.int32)
+        return ids, counts
+
+    def _rounds(self, owner: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Owners and symbols after all merges; every chunk merges its leftmost best pair in each round."""
+        done = [(owner[:0], symbols[:0])]
+        ranks = np.full(len(symbols), NONE, np.int32)  # of each symbol and the next one of its chunk
+        ranks[:-1] = np.where(owner[1:] == owner[:-1], self.pairs.rank(symbols[:-1], symbols[1:]), NONE)
+        while len(symbols):
+            new = np.append(True, owner[1:] != owner[:-1])
+            starts, chunk = np.flatnonzero(new), np.cumsum(new) - 1
+            best = np.minimum.reduceat(ranks, starts)[chunk]
+            alive = best < NONE
+            if not alive.all():
+                done.append((owner[~alive], symbols[~alive]))
+                owner, symbols, ranks, best, chunk = (x[alive] for x in (owner, symbols, ranks, best, chunk))
+                if not len(symbols):
+                    break
+            at = np.flatnonzero(ranks == best)
+            at = at[np.append(True, chunk[at[1:]] != chunk[at[:-1]])]
+            symbols[at] = best[at]
+            rest = np.ones(len(symbols), bool)
+            rest[at + 1] = False
+            owner, symbols, ranks = owner[rest], symbols[rest], ranks[rest]
+            at = at - np.arange(len(at))
+            for left in (at, at[at > 0] - 1):
+                right = np.minimum(left + 1, len(symbols) - 1)
+                paired = (right > left) & (owner[right] == owner[left])
+                ranks[left] = np.where(paired, self.pairs.rank(symbols[left], symbols[right]), NONE)
+        owner, symbols = (np.concatenate(parts) for parts in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        return owner[order], symbols[order]
 
     def marked(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
