@@ -4,7 +4,7 @@ Base spans are the leftmost, non-overlapping matches of three patterns, of which
 are dropped. Added spans are values next to a credential word that would take many guesses: the cheapest
 way to segment the value into dictionary words, dates, repeats, keyboard walks, sequences and characters
 that have to be tried one by one, found by dynamic programming over its ends. Costs are log10 of guesses.
-Offsets are code points, ends exclusive.
+An added span is the value alone and may lie in a base span, which stays. Offsets are code points, ends exclusive.
 
 Missing and empty texts have no spans. Repeated rows are scanned each on its own. The program is linear
 in the length of a value, so very long values are scanned whole.
@@ -48,6 +48,7 @@ COMMON = """password 123456 12345678 qwerty letmein admin welcome monkey dragon
 _ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _LEET = str.maketrans("013457@$!", "oieastasi")
 LONGEST_WORD = 20
+LONGEST_RUN = 64
 _DATE = re.compile(r"(?:19|20)\d\d|(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])(?:\d\d|(?:19|20)\d\d)?"
                    r"|(?:19|20)\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])"
                    r"|\d{1,2}[-/.]\d{1,2}[-/.](?:\d\d|\d{4})|\d{4}[-/.]\d{1,2}[-/.]\d{1,2}")
@@ -73,21 +74,25 @@ class Guesser:
             self.words[word] = i + 1
 
     def cost(self, value: str) -> float:
-        """log10 of the guesses that the cheapest segmentation of `value` takes."""
+        """log10 of the guesses that the cheapest segmentation of `value` takes.
+
+        Segments that join add 0.3, but for characters that are tried one after the other. Runs of equal keys,
+        walks, sequences and repeats are segments from wherever their run began, or of at most `LONGEST_RUN`.
+        """
         low = value.lower() if len(value.lower()) == len(value) else value
         plain = low.translate(_LEET)
         size = len(value)
+        tried, known = [math.inf] * (size + 1), [math.inf] * (size + 1)  # by what the last segment is
+        known[0] = 0.0
         best = [0.0] * (size + 1)
-        tried = False  # whether the best way to the last end tries a character
         same = walk = rise = 0  # where the run of equal keys, the walk, the sequence began
-        turns, heading, slope = 0, None, 0
+        turned, heading, slope = [0] * (size + 1), None, 0  # turns of the walk up to each key
         lag = [0] * 9
         for end in range(1, size + 1):
             last = end - 1
             one = value[last]
             alphabet = 10 if one.isdigit() else 26 if one.isalpha() else 33
-            least = best[last] + math.log10(alphabet) + (0 if tried or not last else 0.3)
-            tried = True
+            tried[end] = min(tried[last], known[last] + (0.3 if last else 0)) + math.log10(alphabet)
             ways = []
             for begin in range(max(0, end - LONGEST_WORD), end - 2):
                 rank = self.words.get(low[begin:end])
@@ -105,34 +110,38 @@ class Guesser:
                     same = last
                 step = NEXT_KEY.get(before, {}).get(low[last])
                 if step is None:
-                    walk, turns, heading = last, 0, None
-                elif step != heading:
-                    turns, heading = turns + 1, step
+                    walk = last
+                turned[last] = turned[last - 1] + (step is not None and step != heading)
+                heading = step
                 delta = ord(low[last]) - ord(before)
                 if delta not in (1, -1) or not low[last].isalnum():
                     rise, slope = last, 0
                 elif delta != slope:
                     rise, slope = last - 1, delta
-            if end - same >= 3:
-                ways.append((same, math.log10(alphabet * (end - same))))
-            if end - walk >= 4:
-                ways.append((walk, math.log10(47 * (end - walk)) + turns * math.log10(4.6)))
-            if end - rise >= 3:
-                ways.append((rise, math.log10(10 * (end - rise))))
+            for begin in _begins(same, end, 3):
+                ways.append((begin, math.log10(alphabet * (end - begin))))
+            for begin in _begins(walk, end, 4):  # the first step of a walk is a turn
+                turns = turned[last] - turned[begin + 1] + 1
+                ways.append((begin, math.log10(47 * (end - begin)) + turns * math.log10(4.6)))
+            for begin in _begins(rise, end, 3):
+                ways.append((begin, math.log10(10 * (end - begin))))
             for period in range(2, 9):
                 lag[period] = lag[period] + 1 if last >= period and low[last] == low[last - period] else 0
-                if lag[period] >= period:
-                    begin = end - lag[period] - period
+                for begin in _begins(end - lag[period] - period, end, 2 * period) if lag[period] >= period else ():
                     block = best[begin + period] - best[begin]
                     ways.append((begin, max(block, 1.0) + math.log10((end - begin) / period)))
-            for begin, way in ways:
-                total = best[begin] + way + (0.3 if begin else 0)
-                if total < least:
-                    least, tried = total, False
-            best[end] = least
+            known[end] = min((best[begin] + way + (0.3 if begin else 0) for begin, way in ways), default=math.inf)
+            best[end] = min(tried[end], known[end])
         return best[size]
 
 
+def _begins(first: int, end: int, least: int) -> Iterator[int]:
+    """Where segments of a run that began at `first` may begin: there, or `LONGEST_RUN` before the end or later."""
+    if first + least <= end:
+        yield first
+        yield from range(max(first + 1, end - LONGEST_RUN), end - least + 1)
+
+
 class Scanner:
     """Spans of one text."""
 
@@ -150,9 +159,7 @@ class Scanner:
         if b"h" * 16 in data.translate(_HEX_RUN):
             spans += [(m.start(), 2, m.end(), None) for m in HEX.finditer(text)]
         if any(word in low for word in _CONTEXT_WORDS):
-            taken = sorted((start, end) for start, _, end, _ in spans)
-            spans += [(a, 3, b, cost) for a, b, cost in self._values(text)
-                      if not any(s < b and a < e for s, e in taken)]
+            spans += [(a, 3, b, cost) for a, b, cost in self._values(text)]
         return sorted(spans, key=lambda span: span[:3])
 
     def _values(self, text: str) -> Iterator[tuple[int, int, float]]:

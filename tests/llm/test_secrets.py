@@ -1,5 +1,6 @@
 """Secret spans against the patterns applied plainly, and guess costs against known orders."""
 
+import functools
 import hashlib
 import itertools
 import math
@@ -81,6 +82,9 @@ def test_added_and_redacted(spark, words):
     found = [tuple(s.split(":")) for s in rows[1].spans.split(",")]
     assert [(k, text[int(a):int(b)]) for k, a, b in found] == [
         ("guess", "Zq9!mmK#x"), ("guess", "q8Rt!x2Lp0"), ("assign", "token=0123456789abcdef0"), ("hex", "0123456789abcdef0")]
+    both = spark.createDataFrame([(1, 'api_key="Zq9mmKx44TTw" x'), (2, "token = passwordpassword")], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.report(both, words).collect()}
+    assert spans == {1: "assign:0:21,guess:9:21", 2: "assign:0:24"}  # a value in a base span is judged as well
     assert rows[1].n_guess == 2 and rows[2].spans == "" and rows[None].spans == ""
     clean = {r.doc_id: r.text for r in secrets.redact(docs, words).collect()}
     assert clean == {1: "é the password is [SECRET], and pwd: correct; login: [SECRET]. Api key is bald, [SECRET]",
@@ -95,23 +99,71 @@ def test_costs():
     assert guesser.cost("ß" * 3) < 5 and guesser.cost("İx9$Kq2!vL") > 10 and guesser.cost("") == 0
 
 
+def plain_cost(guesser, value):
+    """The least over all segmentations, each segment priced on its own by every way that fits it."""
+    low = value.lower()
+    plain = low.translate(str.maketrans("013457@$!", "oieastasi"))
+    date = re.compile(r"(19|20)\d\d|(0[1-9]|[12]\d|3[01])(0[1-9]|1[0-2])(\d\d|(19|20)\d\d)?|(19|20)\d\d(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])"
+                      r"|\d{1,2}[-/.]\d{1,2}[-/.](\d\d|\d{4})|\d{4}[-/.]\d{1,2}[-/.]\d{1,2}")
+    alphabet = lambda c: 10 if c.isdigit() else 26 if c.isalpha() else 33
+
+    @functools.cache
+    def least(end):
+        return min((total for total, _ in ways_to(end)), default=0.0) if end else 0.0
+
+    @functools.cache
+    def ways_to(end):
+        """(cost, whether the last segment is a tried character) of the best of either kind."""
+        if not end:
+            return ((0.0, False),)
+        one = min(t + math.log10(alphabet(value[end - 1])) + (0.3 if end > 1 and not was else 0) for t, was in ways_to(end - 1))
+        known = min((least(b) + c + (0.3 if b else 0) for b in range(end) for c in prices(b, end)), default=math.inf)
+        return ((one, True), (known, False))
+
+    def prices(b, e):
+        part, size = low[b:e], e - b
+        if 3 <= size <= 20:
+            if part in guesser.words:
+                yield math.log10(guesser.words[part] + 1) + (0.3 if part != value[b:e] else 0)
+            elif plain[b:e] != part and plain[b:e] in guesser.words:
+                yield math.log10(guesser.words[plain[b:e]] + 1) + 0.6
+        if size in (4, 6, 8, 10) and part[-1].isdigit() and date.fullmatch(part):
+            yield {4: math.log10(366), 6: math.log10(36600), 8: math.log10(366 * 120), 10: math.log10(366 * 480)}[size]
+        steps = [secrets.NEXT_KEY.get(x, {}).get(y) for x, y in zip(part, part[1:])]
+        if size >= 3 and len(set(part)) == 1:
+            yield math.log10(alphabet(value[e - 1]) * size)
+        if size >= 4 and None not in steps:
+            yield math.log10(47 * size) + len(list(itertools.groupby(steps))) * math.log10(4.6)
+        rises = {ord(y) - ord(x) for x, y in zip(part, part[1:])}
+        if size >= 3 and (rises == {1} or rises == {-1}) and part[1:].isalnum():
+            yield math.log10(10 * size)
+        for period in range(2, 9):
+            if size >= 2 * period and all(part[i] == part[i - period] for i in range(period, size)):
+                yield max(least(b + period) - least(b), 1.0) + math.log10(size / period)
+
+    return least(len(value))
+
+
 def test_cheapest_segmentation():
-    """Against all segmentations, for words and single characters."""
-    guesser = secrets.Guesser({"abe": 9, "bed": 40, "edge": 3, "gem": 700})
-    for letters in itertools.product("abedgm", repeat=5):
-        value = "".join(letters)
-        if re.search(r"(.)\1|(.).?\2|ab|ba|de|ed|gh|fg|ef", value):
-            continue  # sequences and repeats have other ways
-        least = math.inf
-        for cuts in range(16):
-            parts = "".join(c + ("|" if i < 4 and cuts >> i & 1 else "") for i, c in enumerate(value)).split("|")
-            total, tried = 0.0, False
-            for i, part in enumerate(parts):
-                rank = guesser.words.get(part)
-                if not rank and len(part) > 1:
-                    total = math.inf
-                    break
-                total += (math.log10(rank + 1) if rank else math.log10(26)) + (0.3 if i and (rank or not tried) else 0)
-                tried = not rank
-            least = min(least, total)
-        assert guesser.cost(value) == pytest.approx(least, abs=0.31), value
+    """Against all segmentations into words, dates, repeats, walks, sequences and tried characters."""
+    guesser = secrets.Guesser({"abe": 9, "bed": 40, "edge": 3, "gem": 700, "password": 1, "wert": 50})
+    values = ["".join(letters) for letters in itertools.product("abedgm", repeat=5)]
+    draw = random.Random(8)
+    parts = ["password", "P4ssword", "edge", "Edge", "qwerty", "asdf", "zaq1", "1984", "05121984", "12/05/84", "aaaa", "1111", "abcd",
+             "4321", "xyxy", "k9k9k9", "Z", "q", "7", "!", "#", "wert", "gem"]
+    values += ["".join(draw.choice(parts) for _ in range(draw.randint(1, 5))) for _ in range(600)]
+    values += ["".join(draw.choice("qwe12aA!") for _ in range(draw.randint(1, 14))) for _ in range(600)]
+    for value in values:
+        assert guesser.cost(value) == pytest.approx(plain_cost(guesser, value), abs=1e-9), value
+
+
+def test_values_of_documents_are_judged(spark, words):
+    """On the given tables the method adds spans, and every value in a credential context has its plain cost."""
+    folder = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in op9_secret_guess_cost(spark, folder).collect()}
+    guesser, found = secrets.Guesser(words.value), 0
+    for doc in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        spans = [tuple(s.split(":")) for s in rows[doc.doc_id].spans.split(",") if s.startswith("guess")]
+        assert all(plain_cost(guesser, doc.text[int(a):int(b)]) >= secrets.MIN_GUESSES for _, a, b in spans if int(b) - int(a) <= 40)
+        found += len(spans)
+    assert found > 0
