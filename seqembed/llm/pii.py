@@ -4,17 +4,25 @@ Base spans are the leftmost, non-overlapping matches of four patterns, less thos
 are written so that Java matches the same text in time and stack that do not grow faster than the text: runs are
 possessive, and a run that failed from its start is not tried again from within.
 
-Sanitising: a base span is a mention of a protected entity, its kind and value. The words around a mention, within
-`CONTEXT` characters, are terms. Over the corpus, a term t reveals an entity e by
+Sanitising: a base span names a protected entity, its kind and value, and coarser ones: the domain of a mail, the
+network of an address, the issuer of a card, the first digits of a number. Terms are whole words of four letters and
+more, anywhere in a text but in mails. Documents that are equal count once. Over the corpus, a term t reveals an
+entity e to a reader of a document that has both by what the other documents show:
 
-    PMI(e, t) / IC(e) = log(n * n(e, t) / (n(e) * n(t))) / log(n / n(e))
+    log((n - 1) (n(e, t) - 1) / ((n(e) - 1) (n(t) - 1))) / log((n - 1) / (n(e) - 1))
 
-where n counts documents, n(e) and n(t) those that have the entity or the term, and n(e, t) different contexts that
-have both. From `GENERALISE` on, mentions of the term around the entity become its kind's mark, from `REMOVE` on
-they are removed. Less than `SUPPORT` different contexts reveal nothing, so copies of a text give no evidence.
+where n counts documents, n(e), n(t) and n(e, t) those that have the entity, the term, or both: pointwise mutual
+information over the entity's own information, with the document itself left out. A term that only one document
+with the entity has is no evidence. From `GENERALISE` on, the term becomes a mark in all documents that have the
+entity, from `REMOVE` on it is removed there; of several entities the one that it reveals most counts.
 
-Missing and empty texts have no spans. Repeated rows are handled each on its own; as documents they count each.
-Terms of an entity that every document has reveal nothing. Offsets are code points, ends exclusive.
+Which words can reach `GENERALISE` follows from n(e) and n(t) alone; others are left out before pairs are counted,
+and so are entities and words of a single document. A document makes the pairs of its entities and of its words
+that are left, so one with very many of both makes their product.
+
+Missing and empty texts have no spans. Repeated rows are handled each on its own. Terms of an entity that every
+document has reveal nothing. Very long texts are handled whole, in time that grows with their length and the square
+root of their matches. Offsets are code points, ends exclusive. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +34,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import fresh, sha256_hex, stage
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 60
-SUPPORT = 3
 GENERALISE = 0.6
 REMOVE = 0.9
 _BLOCK = 256
@@ -42,7 +48,8 @@ PATTERNS = {
 # What a text must contain for a pattern to match at all.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_TERM = r"\p{L}{4,}+"
+_HOLE = "\u0000"  # in place of a mail's characters; what touches it is no whole word
+_TERM = rf"(?<![\p{{L}}{_HOLE}])\p{{L}}{{4,}}+(?!{_HOLE})"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -111,46 +118,56 @@ def _spans_of(text: Column, kind: str) -> Column:
     return F.when(F.contains(text, F.lit(_NEEDS[kind])), spans).otherwise(none)
 
 
-def terms_around(text: Column, spans: Column) -> Column:
-    """For each span its entity, a hash of its context, and the terms there that are in no base span."""
+def without_mails(text: Column) -> Column:
+    """`text` with the characters of mails blotted out, of the same length."""
+    parts = F.zip_with(F.split(text, PATTERNS["email"], -1), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)),
+                       lambda gap, mail: F.concat(gap, F.repeat(F.lit(_HOLE), F.coalesce(F.length(mail), F.lit(0)))))
+    return F.when(F.contains(text, F.lit("@")), F.array_join(parts, "")).otherwise(text)
 
-    def around(span: Column) -> Column:
-        first = F.greatest(F.lit(0), span["start"] - CONTEXT)
-        before = F.substring(text, first + 1, span["start"] - first)
-        after = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
 
-        def of(part: Column, offset: Column) -> Column:
-            return F.transform(positions(part, _TERM), lambda r: F.struct(
-                F.lower(r["value"]).alias("term"), (r["start"] + offset).alias("start"),
-                (r["start"] + offset + F.length(r["value"])).alias("end")))
+def words_of(text: Column) -> Column:
+    """Different terms of a text without mails, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
 
-        terms = F.concat(of(before, first), of(after, span["end"]))
-        free = F.filter(terms, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-        return F.struct(F.concat_ws(":", span["kind"], F.lower(span["value"])).alias("entity"),
-                        F.xxhash64(before, after).alias("context"), free.alias("terms"))
 
-    return F.transform(spans, around)
+def entities_of(spans: Column) -> Column:
+    """The entities that base spans name, each once, as texts."""
 
+    def named(span: Column) -> Column:
+        kind, value = span["kind"], F.lower(span["value"])
+        digits = F.regexp_replace(value, "[^0-9]", "")
+        own = F.when(kind.isin("card", "phone"), digits).otherwise(value)
+        coarse = (F.when(kind == "email", F.concat(F.lit("domain:"), F.regexp_extract(value, "@(.*)$", 1)))
+                  .when(kind == "ip", F.concat(F.lit("network:"), F.regexp_extract(value, r"^(.*)\.", 1)))
+                  .when(kind == "card", F.concat(F.lit("issuer:"), F.substring(digits, 1, 6)))
+                  .otherwise(F.concat(F.lit("numbers:"), F.substring(digits, 1, 5))))
+        return F.array(F.concat(kind, F.lit(":"), own), coarse)
 
-def _words(text: Column) -> Column:
-    """Different terms of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
+    return F.array_distinct(F.flatten(F.transform(spans, named)))
 
 
-def disclosing(mentions: DataFrame, texts: DataFrame) -> DataFrame:
+def disclosing(entities: DataFrame, words: DataFrame, total: int) -> DataFrame:
     """`(entity, term, share)`: terms that reveal an entity, with how far.
 
-    `mentions` has (row, entity, context, term), `texts` the column text of the whole corpus.
+    `entities` has (doc, entity) and `words` (doc, term) of different documents, `doc` their hash; `total` is their
+    number. Rows may repeat.
     """
-    together = (mentions.filter("term IS NOT NULL").select("entity", "term", "context").distinct()
-                .groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= SUPPORT))
-    entities = mentions.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = texts.count()
-    share = (F.log(F.lit(total) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-             / F.log(F.lit(total) / F.col("n_entity")))
-    return (together.join(entities, "entity").join(terms, "term").filter(F.col("n_entity") < total)
-            .select("entity", "term", F.least(share, F.lit(1.0)).alias("share")).filter(F.col("share") >= GENERALISE))
+    if total < 2:
+        return entities.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("share")).limit(0)
+    entities, others = entities.distinct(), float(total - 1)
+    known = entities.groupBy("entity").agg((F.count("*") - 1).alias("e")).filter((F.col("e") > 0) & (F.col("e") < others))
+    held = stage(entities.join(known, "entity"), "entities")
+    # The rarest words can reveal any entity, others none: n(e, t) is n(e) at most.
+    most = held.agg(F.coalesce(F.max("e"), F.lit(0))).first()[0]
+    terms = words.groupBy("doc", "term").agg(F.lit(1)).groupBy("term").agg((F.count("*") - 1).alias("t"))
+    reach = F.lit(others ** (1 - GENERALISE)) * F.pow(F.col("e").cast("double"), F.lit(GENERALISE))
+    terms = terms.filter((F.col("t") > 0) & (F.col("t") <= F.lit(others ** (1 - GENERALISE) * float(most) ** GENERALISE * (1 + 1e-9))))
+    with_entity = words.join(held.select("doc").distinct(), "doc", "left_semi").distinct()
+    rare = with_entity.join(terms, "term")
+    both = (held.join(rare, "doc").filter(F.col("t") <= reach * (1 + 1e-9))
+            .groupBy("entity", "term", "e", "t").agg((F.count("*") - 1).alias("both")).filter("both > 0"))
+    share = (F.log(F.lit(others) * F.col("both") / (F.col("e") * F.col("t"))) / F.log(F.lit(others) / F.col("e")))
+    return both.select("entity", "term", F.least(share, F.lit(1.0)).alias("share")).filter(F.col("share") >= GENERALISE)
 
 
 def scan(docs: DataFrame, text_col: str = "text", drop: bool = False) -> tuple[DataFrame, str]:
@@ -158,24 +175,28 @@ def scan(docs: DataFrame, text_col: str = "text", drop: bool = False) -> tuple[D
 
     The kind of an added span is term; only these have a share. `docs` is read twice and best a scan or a staged table.
     """
-    row, base, around, spans = fresh(docs, "row", "base", "around", "spans")
+    row, base, plain, doc, named, spans = fresh(docs, "row", "base", "plain", "doc", "named", "spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(base, base_spans(text))
     kept = [column for column in docs.columns if not (drop and column == text_col)]
-    found = stage(found.withColumn(around, terms_around(text, F.col(base))).select(*kept, row, base, around), "mentions")
-    each = found.select(F.col(row).alias("row"), F.explode(around).alias("m")).select(
-        "row", "m.entity", "m.context", F.explode_outer("m.terms").alias("t")).select(
-        "row", "entity", "context", "t.term", "t.start", "t.end")
-    pairs = stage(disclosing(each, docs.select(text.alias("text"))), "disclosing")
-    added = (each.join(pairs, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("share").alias("share"))
-             .groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias(spans)))
-    joined = found.join(added, row, "left")
+    found = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(base, base_spans(text))
+    # Texts without a span need not be seen again.
+    found = stage(found.select(*kept, row, base, F.when(F.size(base) > 0, without_mails(text)).alias(plain), F.xxhash64(text).alias(doc),
+                               entities_of(F.col(base)).alias(named)), "mentions")
+    total = found.select(doc).distinct().count()
+    each = found.select(F.col(row).alias("row"), F.col(doc).alias("doc"), F.explode(named).alias("entity"))
+    words = docs.select(F.xxhash64(text).alias("doc"), F.explode(words_of(without_mails(text))).alias("term"))
+    pairs = stage(disclosing(each.select("doc", "entity"), words, total), "disclosing")
+    shares = (each.select("row", "entity").join(pairs, "entity").groupBy("row", "term").agg(F.max("share").alias("share"))
+              .groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias(spans)))
+    joined = found.join(shares, row, "left")
     kind = "array<struct<kind:string,start:int,end:int,share:double>>"
     own = F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
                                                F.lit(None).cast("double").alias("share")))
-    more = F.transform(spans, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                                                 s["share"].alias("share")))
-    return joined.select(*kept, F.concat(own.cast(kind), F.coalesce(more.cast(kind), F.array().cast(kind))).alias(spans)), spans
+    told = F.transform(F.filter(positions(F.col(plain), _TERM), lambda t: F.map_contains_key(spans, F.lower(t["value"]))), lambda t: F.struct(
+        F.lit("term").alias("kind"), t["start"].alias("start"), (t["start"] + F.length(t["value"])).alias("end"),
+        F.element_at(spans, F.lower(t["value"])).alias("share")))
+    more = F.when(F.col(spans).isNotNull(), told.cast(kind)).otherwise(F.array().cast(kind))
+    return joined.select(*kept, F.concat(own.cast(kind), more).alias(spans)), spans
 
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
