@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .lookup import lookup_join
+from .lookup import BROADCAST_ROWS, lookup_join
 from .rank import row_numbers, top_per_group
 from .rows import limit_rows
 
@@ -57,7 +57,7 @@ def log1p(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.log1p("value"))
 
 
-def gene_medians(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+def gene_medians(df: DataFrame, accuracy: int | None = None, window_rows: int | None = None) -> DataFrame:
     """Median of the non-zero values of each gene; the mean of the middle two for even counts.
 
     With `accuracy` a value whose rank is off by at most 1 / accuracy of the gene's values: a quantile summary per
@@ -68,7 +68,7 @@ def gene_medians(df: DataFrame, accuracy: int | None = None) -> DataFrame:
         median = F.percentile_approx("value", 0.5, accuracy).alias("median")
         return df.filter(F.col("value") > 0).groupBy("gene_id").agg(median)
     present = stage(df.select("gene_id", "cell_id", "value").filter(F.col("value") > 0), "present")
-    ranked = row_numbers(present, ["value", "cell_id"], ["gene_id"], name="rank", size="n")
+    ranked = row_numbers(present, ["value", "cell_id"], ["gene_id"], name="rank", size="n", window_rows=window_rows)
     middle = (F.col("rank") == F.floor((F.col("n") + 1) / 2)) | (
         F.col("rank") == F.floor(F.col("n") / 2) + 1)
     return ranked.filter(middle).groupBy("gene_id").agg(F.avg("value").alias("median"))
@@ -106,11 +106,11 @@ def map_tokens(df: DataFrame, vocab: DataFrame) -> DataFrame:
     return lookup_join(df, vocab.select("gene_id", "token_id"), "gene_id", "inner")
 
 
-def annotate(df: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
+def annotate(df: DataFrame, maps: dict[str, DataFrame], max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Replace the label columns named in `maps` by their mapped labels, null where unmapped."""
     for column, labels in maps.items():
         lookup = labels.select(F.col("label").alias(column), F.col("mapped").alias("_mapped"))
-        df = lookup_join(df, lookup, column).withColumn(column, F.col("_mapped")).drop("_mapped")
+        df = lookup_join(df, lookup, column, max_rows=max_rows).withColumn(column, F.col("_mapped")).drop("_mapped")
     return df
 
 
@@ -120,15 +120,15 @@ def rank_genes(df: DataFrame, top: int) -> DataFrame:
                          [F.desc("value"), F.col("gene_id")], top, spread=["gene_id"])
 
 
-def _all_ranks(df: DataFrame, order: list) -> DataFrame:
+def _all_ranks(df: DataFrame, order: list, window_rows: int | None = None) -> DataFrame:
     """Add the `rank` of each non-zero gene of a cell and their number `n`."""
     present = stage(df.filter(F.col("value") > 0), "present")
-    return row_numbers(present, order, ["cell_id"], name="rank", size="n")
+    return row_numbers(present, order, ["cell_id"], name="rank", size="n", window_rows=window_rows)
 
 
-def continuous_rank(df: DataFrame) -> DataFrame:
+def continuous_rank(df: DataFrame, window_rows: int | None = None) -> DataFrame:
     """Add `rank_value` = (n - rank + 1) / n over the non-zero genes of a cell: the largest gets 1."""
-    ranked = _all_ranks(df, [F.desc("value"), "gene_id"])
+    ranked = _all_ranks(df, [F.desc("value"), "gene_id"], window_rows)
     return ranked.withColumn(
         "rank_value", (F.col("n") - F.col("rank") + 1) / F.col("n")).drop("n", "rank")
 
@@ -147,20 +147,27 @@ def bin_values(df: DataFrame, bins: int) -> DataFrame:
     return ranked.withColumn("bin", (index + 1).cast("int")).drop("n", "rank")
 
 
-def cell_tokens(df: DataFrame, cls_id: int | None = None,
-                annotations: DataFrame | None = None) -> DataFrame:
+def cell_tokens(df: DataFrame, cls_id: int | None = None, annotations: DataFrame | None = None,
+                values: str | None = None) -> DataFrame:
     """Ranked `(cell_id, rank, token_id)` rows to `(cell_id, gene_ids)`, in rank order.
 
+    With `values`, a column of `df`, the list `gene_values` beside the ids; tokens in front have the value 0.
+
     `cls_id` and the `token_id` of `annotations(cell_id, token_id)` go in front when given. A list
     is as long as the cut of `rank_genes` at most.
     """
-    pairs = F.array_sort(F.collect_list(F.struct("rank", "token_id")))
-    lists = df.groupBy("cell_id").agg(F.transform(pairs, lambda p: p["token_id"]).alias("gene_ids"))
+    held = [F.col(values).cast("double").alias("value")] if values else []
+    pairs = F.array_sort(F.collect_list(F.struct("rank", "token_id", *held)))
+    lists = df.groupBy("cell_id").agg(pairs.alias("_pairs")).select(
+        "cell_id", F.col("_pairs.token_id").alias("gene_ids"), *([F.col("_pairs.value").alias("gene_values")] if values else []))
     if annotations is not None:
         lists = lists.join(annotations.withColumnRenamed("token_id", "_token"), "cell_id", "left")
         lead = F.when(F.col("_token").isNull(), F.array().cast("array<int>")).otherwise(
             F.array(F.col("_token").cast("int")))
-        lists = lists.select("cell_id", F.concat(lead, "gene_ids").alias("gene_ids"))
+        lists = lists.withColumn("gene_ids", F.concat(lead, "gene_ids")).drop("_token")
     if cls_id is not None:
         lists = lists.withColumn("gene_ids", F.concat(F.array(F.lit(cls_id)), "gene_ids"))
+    if values:
+        zeros = F.array_repeat(F.lit(0.0), F.size("gene_ids") - F.size("gene_values"))
+        lists = lists.withColumn("gene_values", F.concat(zeros, "gene_values"))
     return lists

@@ -18,10 +18,11 @@ _WITHIN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 
 def row_numbers(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str] = (),
-                name: str = "row_number", size: str | None = None) -> DataFrame:
+                name: str = "row_number", size: str | None = None, window_rows: int | None = None) -> DataFrame:
     """Number the rows of each key 1, 2, ... in `order`; with no keys, number the whole table.
 
-    Ties are numbered in any order. `size` names a further column with the rows of the key.
+    Ties are numbered in any order. `size` names a further column with the rows of the key. A key of more than
+    `window_rows` rows (`WINDOW_ROWS` when left out) is not left to one task.
 
     Keys are counted first, so `df` is best a scan or a staged table. While the largest key is
     small, a window does. Otherwise, and for a whole table, rows are range-partitioned on (keys,
@@ -30,7 +31,7 @@ def row_numbers(df: DataFrame, order: Sequence[Column | str], keys: Sequence[str
     numbered partitions are staged, as counts and rows have to come from the same split.
     """
     columns = df.columns
-    if keys and largest_group(df, keys) <= WINDOW_ROWS:
+    if keys and largest_group(df, keys) <= (WINDOW_ROWS if window_rows is None else window_rows):
         whole = Window.partitionBy(*keys)
         numbered = df.select("*", F.row_number().over(whole.orderBy(*order)).cast("long").alias(name))
         return numbered.withColumn(size, F.count("*").over(whole)) if size else numbered

@@ -12,15 +12,15 @@ from .rank import number_rows, row_numbers
 TOP_ROWS = 1_000
 
 
-def limit_rows(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
+def limit_rows(df: DataFrame, n: int, order: Sequence[Column | str], top_rows: int | None = None) -> DataFrame:
     """The first `n` rows in `order`; 0 keeps every row.
 
-    A short limit is a top-k that each task prunes on its own. A long one would gather all its
-    rows in one task, so it filters on distributed row numbers instead.
+    A short limit is a top-k that each task prunes on its own. One above `top_rows` (`TOP_ROWS` when left out) would
+    gather all its rows in one task, so it filters on distributed row numbers instead.
     """
     if n <= 0:
         return df
-    if n <= TOP_ROWS:
+    if n <= (TOP_ROWS if top_rows is None else top_rows):
         return df.orderBy(*order).limit(n)
     return row_numbers(df, order, name="_row").filter(F.col("_row") <= n).drop("_row")
 

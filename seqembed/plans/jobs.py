@@ -22,7 +22,7 @@ from ..sources.corpus import read_corpus
 from ..sources.fasta import read_fasta
 from ..sources.synth import synth_sequences
 from ..sources.tables import read_first, smoke_input
-from .cells import CellSettings, all_cells, cap_cells, filtered, preprocess_pairs, token_lists
+from .cells import CellSettings, all_cells, cap_cells, datasets, filtered, preprocess_pairs, token_table
 from .embed import embed, embed_cells
 from .guards import check_dim, preflight
 
@@ -134,16 +134,25 @@ def embed_table_job(spark: SparkSession, source: str, target: str, dims: int, mo
 def cell_job(spark: SparkSession, counts: DataFrame, vocab: DataFrame, output: str,
              medians: DataFrame | None = None, settings: CellSettings = CellSettings(),
              model: Callable = StandIn(), dims: int | None = None, batch_size: int = 4,
-             mode: str = "errorifexists", profile: ResourceProfile | None = None) -> DataFrame:
+             mode: str = "errorifexists", profile: ResourceProfile | None = None, tokens: str | None = None) -> DataFrame:
     """Embed cells from raw counts; parquet at `output`, and CSV beside it when `dims` is given.
 
+    `tokens` is a folder that keeps the token lists for later runs. With metadata the output names the dataset.
+
     Every cell that passes the filters is embedded; one without a token is all padding. Raises when the
     output does not have them all.
     """
     pairs = stage(filtered(counts, settings), "pairs")
-    lists = token_lists(preprocess_pairs(pairs, medians, settings), vocab, settings.max_seq_len)
-    lists = stage(cap_cells(all_cells(lists, pairs), settings), "token-lists")
+    lists = token_table(preprocess_pairs(pairs, medians, settings), vocab, settings)
+    lists = cap_cells(all_cells(lists, pairs), settings)
+    if tokens:
+        write_stage(lists, tokens, mode)
+        lists = spark.read.parquet(tokens)
+    else:
+        lists = stage(lists, "token-lists")
     vectors = embed_cells(lists, model, settings.max_seq_len, batch_size, profile=profile)
+    if settings.metadata is not None:
+        vectors = vectors.join(datasets(counts, settings.metadata), "cell_id", "left")
     rows, expected = write_stage(vectors, output, mode), lists.count()
     if rows != expected:
         raise ValueError(f"{output} has {rows} rows, expected {expected}")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.models import StandIn
 from ..operators import cells as ops
+from ..operators.lookup import BROADCAST_ROWS
 from ..operators.rows import cap_keys, drop_values
-from ..plans.cells import all_cells, filtered, preprocess, preprocess_pairs, token_lists
+from ..plans.cells import CellSettings, all_cells, filtered, preprocess, preprocess_pairs, token_lists
 from ..plans.embed import embed_cells
+from ..plans.jobs import cell_job
+from ..session import scratch_path
 from .embedding import DIMS, per_dim
 from .inputs import (COUNTS_SQL, NORMALIZED_SQL, SCALED_SQL, cell_counts, gene_medians, joined, raw_counts,
                      table, vocabulary)
@@ -73,7 +77,12 @@ def hvg_topk(spark, folder):
     return top.select("gene_id", *[F.round(c, 9).alias(c) for c in ("mean", "variance", "dispersion")])
 
 
-def cell_annotate(spark, folder):
+def lookup_unbroadcast(spark, folder):
+    """The same with lookups too large for a broadcast."""
+    return cell_annotate(spark, folder, max_rows=0)
+
+
+def cell_annotate(spark, folder, max_rows=BROADCAST_ROWS):
     """Labels of each supplier from its nation, mapped by tables made of nations and regions."""
     nations = table(spark, folder, "nation")
     named = nations.join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -92,7 +101,7 @@ def cell_annotate(spark, folder):
         "sex": table(spark, folder, "supplier").agg(
             F.lit("neg").alias("label"), F.concat(F.lit("below "), F.count("*")).alias("mapped")),
     }
-    return ops.annotate(cells, maps)
+    return ops.annotate(cells, maps, max_rows)
 
 
 def cell_log1p(spark, folder):
@@ -124,6 +133,17 @@ def cell_continuous_rank(spark, folder):
     return ranked.select("cell_id", "gene_id", F.round("rank_value", 12).alias("rank_value"))
 
 
+def cell_ranks_split(spark, folder):
+    """The ranks as for cells too large for one task."""
+    ranked = ops.continuous_rank(scaled(spark, folder), window_rows=0)
+    return ranked.select("cell_id", "gene_id", F.round("rank_value", 12).alias("rank_value"))
+
+
+def gene_medians_split(spark, folder):
+    """The medians as for genes too large for one task."""
+    return ops.gene_medians(normalized(spark, folder), window_rows=0)
+
+
 def cell_bins(spark, folder):
     return ops.bin_values(scaled(spark, folder), 10).select("cell_id", "gene_id", "bin")
 
@@ -133,8 +153,30 @@ def cell_embeddings(spark, folder):
     return per_dim(embed_cells(lists, seq_len=SEQ_LEN), "cell_id")
 
 
+def cell_job_whole(spark, folder):
+    """The whole job: scaled counts, ranks as values, tokens in front, stored token lists, embeddings, datasets."""
+    counts = table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("cell_id"), F.col("l_partkey").cast("string").alias("gene_id"),
+        F.col("l_quantity").alias("count"), F.col("_metadata.file_name").alias("file_name"))
+    front = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("cell_id"), (F.col("s_nationkey") + 100).cast("int").alias("token_id"))
+    unnamed = table(spark, folder, "supplier").select(F.col("s_name").alias("file_name"), F.col("s_name").alias("dataset"))
+    settings = CellSettings(max_seq_len=64, gene_values="rank", cls_id=1, annotations=front, metadata=unnamed)
+    out, tokens = scratch_path(spark, "cells"), scratch_path(spark, "cell-tokens")
+    written = cell_job(spark, counts, vocabulary(spark, folder), out, gene_medians(spark, folder), settings, StandIn(4), tokens=tokens)
+    sums = spark.read.parquet(tokens).select("cell_id", F.size("gene_ids").alias("n_tokens"), F.round(F.aggregate(
+        "gene_values", F.lit(0.0), lambda total, x: total + x), 6).alias("rank_sum"))
+    return written.join(sums, "cell_id").select(
+        "cell_id", "dataset", "n_tokens", "rank_sum", F.posexplode("embedding").alias("dim", "value")).withColumn(
+        "value", F.col("value").cast("double"))
+
+
 QUERIES = {
     "cell_counts": cell_counts,
+    "cell_job_whole": cell_job_whole,
+    "cell_ranks_split": cell_ranks_split,
+    "gene_medians_split": gene_medians_split,
+    "lookup_unbroadcast": lookup_unbroadcast,
     "cell_cap": cell_cap,
     "cells_drop_values": cells_drop_values,
     "cells_min_genes": cells_min_genes,
@@ -245,3 +287,25 @@ SQL = {
             FROM padded, dims GROUP BY cell_id, dim)
         SELECT cell_id, dim, CAST(CAST(total AS FLOAT) / CAST({SEQ_LEN} AS FLOAT) AS DOUBLE) AS value FROM sums""",
 }
+SQL["cell_ranks_split"] = SQL["cell_continuous_rank"]
+SQL["gene_medians_split"] = SQL["gene_medians"]
+SQL["lookup_unbroadcast"] = SQL["cell_annotate"]
+SQL["cell_job_whole"] = f"""
+    WITH {_TOKEN_SQL}, sized AS (SELECT *, count(*) OVER (PARTITION BY cell_id) AS n FROM ranked),
+    kept AS (SELECT cell_id, rank + 1 AS position, token, (n - rank + 1) / n AS share FROM sized WHERE rank <= 64),
+    tokens AS (
+        SELECT cell_id, position, token FROM kept WHERE position < 64
+        UNION ALL SELECT DISTINCT cell_id, 0, 1 FROM kept
+        UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 1, s_nationkey + 100 FROM supplier
+                  WHERE CAST(s_suppkey AS VARCHAR) IN (SELECT cell_id FROM kept)),
+    padded AS (
+        SELECT cell_id, position, coalesce(token, 0) AS token
+        FROM (SELECT cell_id, CAST(range AS BIGINT) AS position FROM (SELECT DISTINCT cell_id FROM counts), range(64))
+        LEFT JOIN tokens USING (cell_id, position)),
+    sums AS (
+        SELECT cell_id, CAST(d.range AS INT) AS dim, sum((31 * token + 17 * d.range + 7 * position) % 1009) AS total
+        FROM padded, range(4) AS d GROUP BY ALL),
+    stored AS (SELECT cell_id, CAST(count(*) + 2 AS INT) AS n_tokens, round(sum(share), 6) AS rank_sum FROM kept GROUP BY cell_id)
+    SELECT cell_id, 'lineitem' AS dataset, coalesce(n_tokens, 0) AS n_tokens, coalesce(rank_sum, 0) AS rank_sum, dim,
+           CAST(CAST(total AS FLOAT) / CAST(64 AS FLOAT) AS DOUBLE) AS value
+    FROM sums LEFT JOIN stored USING (cell_id)"""

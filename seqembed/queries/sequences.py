@@ -141,6 +141,11 @@ def first_rows(spark, folder):
     return limit_rows(sequences(spark, folder), 100, ["seq_id"])
 
 
+def first_rows_long(spark, folder):
+    """The same as for a limit too long for one task."""
+    return limit_rows(sequences(spark, folder), 100, ["seq_id"], top_rows=10)
+
+
 def first_of_files(spark, folder):
     """The first 100 rows of the documents as they lie in the file."""
     return read_first(spark, f"{folder}/documents.parquet", 100).select("doc_id", "lang", "source", "n_chars")
@@ -219,6 +224,7 @@ QUERIES = {
     "output_files": output_files,
     "node_split": node_split,
     "limit_rows": first_rows,
+    "limit_rows_long": first_rows_long,
     "limit_scan": first_of_files,
     "truncate_seq": cut,
     "length_stats": lengths,
@@ -270,6 +276,7 @@ SQL = {
         WITH {SEQUENCES_SQL} SELECT seq_id, CAST(length(sequence) AS INT) AS length,
             CAST((row_number() OVER (ORDER BY seq_id) - 1) % 3 AS INT) AS node FROM sequences""",
     "limit_rows": f"{_ALL} ORDER BY seq_id LIMIT 100",
+    "limit_rows_long": f"{_ALL} ORDER BY seq_id LIMIT 100",
     "limit_scan": "SELECT doc_id, lang, source, n_chars FROM documents LIMIT 100",
     "truncate_seq": f"WITH {SEQUENCES_SQL} SELECT seq_id, substr(sequence, 1, 1024) AS sequence FROM sequences",
     "length_stats": f"""

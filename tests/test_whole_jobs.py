@@ -163,5 +163,17 @@ def test_command_line(spark, tmp_path, capsys):
     main(["pretokenize", "--input", staged, "--output", tokens, "--max-length", "16"])
     main(["embed", "--input", tokens, "--output", out, "--pretokenized", "--model", "stand-in"])
     assert json.loads(capsys.readouterr().out)["output_rows"] == 2
+    spark.read.parquet(staged).write.option("path", str(tmp_path / "src")).mode("overwrite").saveAsTable("cli_src")
+    main(["table", "--source", "cli_src", "--target", "cli_dst", "--dims", "64", "--location", str(tmp_path / "dst"), "--model", "stand-in"])
+    assert json.loads(capsys.readouterr().out) == {"embedded": True, "rows": 2}
+    counts, vocab, lists, cells = (str(tmp_path / name) for name in ("counts", "vocab", "lists", "cells"))
+    spark.createDataFrame([("a", "g", 2.0), ("a", "h", 1.0), ("b", "h", 1.0)], "cell_id string, gene_id string, count double").write.parquet(counts)
+    spark.createDataFrame([("g", 3), ("h", 4)], "gene_id string, token_id int").write.parquet(vocab)
+    (tmp_path / "medians.json").write_text('{"g": 4.0}')
+    main(["cells", "--counts", counts, "--vocab", vocab, "--medians", str(tmp_path / "medians.json"), "--tokens", lists, "--output", cells,
+          "--max-seq-len", "4", "--gene-values", "rank", "--cls-id", "1", "--model", "stand-in"])
+    assert json.loads(capsys.readouterr().out) == {"cells": 2}
+    assert {r.cell_id: (r.gene_ids, r.gene_values) for r in spark.read.parquet(lists).collect()} == {
+        "a": ([1, 4, 3], [0.0, 1.0, 0.5]), "b": ([1, 4], [0.0, 1.0])}
     main(["smoke", "--output", str(tmp_path / "smoke")])
     assert "n_rows" in capsys.readouterr().out
