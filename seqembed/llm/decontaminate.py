@@ -13,7 +13,8 @@ The benchmark is cut into blocks of about `BLOCK_WORDS` words, so an automaton h
 the benchmark grows to. Documents are read once for each block, and hits are merged on the row, without a join.
 
 Missing and empty texts have no words. Repeated rows are marked each on its own, and repeated items
-count once by id. Missing item ids count as the empty text.
+count once by id. Missing item ids count as the empty text. Long texts are walked whole, in pieces of `PIECE_WORDS`
+words; a worker holds their words. Without documents there are no rows, without items nothing is hit.
 """
 
 from __future__ import annotations

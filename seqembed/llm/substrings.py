@@ -16,9 +16,10 @@ The sketch grows with the text up to `MAX_CELLS` cells, 32 MB of bits. Beyond th
 windows through, and the exact pass has more to shuffle; results stay the same.
 
 A window that fills a third of the corpus is no hot group: what a task meets twice, it marks on the spot, and
-sends one row for others to see. A task sends each such key once.
+sends one row for others to see. A task sends each such key once. Sketches are merged in levels of `FAN` partitions.
 
 Missing and empty texts have no words. Repeated rows are copies of each other. Words are compared by 64 bits of hash.
+Texts are worked off whole: a worker holds some 75 bytes per byte of the longest one.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import pieces, ship_package, stage
@@ -36,6 +38,7 @@ MAX_CELLS = 1 << 27
 MIN_CELLS = 1 << 16
 BLOCK = 1 << 16
 ROWS = 2
+FAN = 256
 KNOWN_KEYS = 200_000
 PART_ROWS = 1_000_000
 PACK_BITS = 6
@@ -138,7 +141,7 @@ def _cells(grams: np.ndarray, row: int, cells: int) -> np.ndarray:
 
 
 class _Sketch:
-    """Arrow batches of (text) to blocks of the partition's sketch: (block, cells, counts), counts of 1 or 2."""
+    """Arrow batches of (text) to blocks of the partition's sketch: (block, part, cells, counts), counts of 1 or 2."""
 
     def __init__(self, size: int, cells: int):
         self.size, self.cells = size, cells
@@ -155,28 +158,51 @@ class _Sketch:
         used = np.flatnonzero(counts)
         block = used // BLOCK
         edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(used) else [0]
+        part = TaskContext.get().partitionId()
         for first in range(0, len(edges) - 1, 256):
-            rows = [(int(block[a]), (used[a:b] % BLOCK).astype(np.uint16).tobytes(), counts[used[a:b]].tobytes())
+            rows = [(int(block[a]), part, (used[a:b] % BLOCK).astype(np.uint16).tobytes(), counts[used[a:b]].tobytes())
                     for a, b in zip(edges[first:first + 256], edges[first + 1:first + 257])]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))],
-                                             names=["block", "cells", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                                             names=["block", "part", "cells", "counts"])
+
+
+def _added(table: pa.Table) -> np.ndarray:
+    """Counts of the cells of a block, up to 2, over the partitions of the table."""
+    counts = np.zeros(BLOCK, np.uint8)
+    for cells, n in zip(table.column("cells"), table.column("counts")):
+        cell = np.frombuffer(cells.as_py(), np.uint16)
+        counts[cell] = np.minimum(2, counts[cell] + np.frombuffer(n.as_py(), np.uint8))
+    return counts
+
+
+def _partly(table: pa.Table) -> pa.Table:
+    """The sketch of a block over some partitions."""
+    counts = _added(table)
+    cells = np.flatnonzero(counts)
+    return pa.table([table.column("block").slice(0, 1), table.column("part").slice(0, 1),
+                     pa.array([cells.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts[cells].tobytes()], pa.binary())],
+                    names=["block", "part", "cells", "counts"])
 
 
 def _merge(table: pa.Table) -> pa.Table:
     """The bits of a block: cells that all partitions together count twice or more."""
-    counts = np.zeros(BLOCK, np.int64)
-    for cells, n in zip(table.column("cells").to_pylist(), table.column("counts").to_pylist()):
-        cell = np.frombuffer(cells, np.uint16)
-        counts[cell] = np.minimum(2, counts[cell] + np.frombuffer(n, np.uint8))
-    return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(counts >= 2).tobytes()], pa.binary())})
+    return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.packbits(_added(table) >= 2).tobytes()], pa.binary())})
+
+
+def merged(sketches: DataFrame, partitions: int, fan: int = FAN) -> DataFrame:
+    """Bits `(block, bits)` of the partitions' sketches; a task merges `fan` of a block at most at a time."""
+    while partitions > fan:
+        sketches = sketches.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("block", "part").applyInArrow(
+            _partly, "block int, part int, cells binary, counts binary")
+        partitions = -(-partitions // fan)
+    return sketches.groupBy("block").applyInArrow(_merge, "block int, bits binary")
 
 
 def sketch(source: DataFrame, size: int, cells: int):
     """Broadcast bits of the merged sketch, `ROWS` x `cells`; `source` has the text alone."""
-    merged = (source.mapInArrow(_Sketch(size, cells), "block int, cells binary, counts binary")
-              .groupBy("block").applyInArrow(_merge, "block int, bits binary"))
+    sketches = source.mapInArrow(_Sketch(size, cells), "block int, part int, cells binary, counts binary")
     bits = np.zeros((ROWS * cells // BLOCK, BLOCK // 8), np.uint8)
-    for row in merged.toLocalIterator():  # at most ROWS * cells / BLOCK rows
+    for row in merged(sketches, source.rdd.getNumPartitions()).toLocalIterator():  # at most ROWS * cells / BLOCK rows
         bits[row.block] = np.frombuffer(row.bits, np.uint8)
     return source.sparkSession.sparkContext.broadcast(bits.reshape(ROWS, -1))
 

@@ -16,7 +16,7 @@ rate at any size. The lexicon compares rates within the classes, which thinning
 
 Missing and empty texts have features of zero and get the score of such a text. Repeated rows are scored
 each on its own; a document with several labels counts with each. Rows with a missing label are left
-out of the fit. If the training rows lack a class, every score is (toxic + 1) / (rows + 2).
+out of the fit. Long texts are read whole; a worker holds their words. If the training rows lack a class, every score is (toxic + 1) / (rows + 2).
 """
 
 from __future__ import annotations

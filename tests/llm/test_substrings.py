@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from seqembed.llm import substrings
 from seqembed.llm.queries import op4_count_min_windows
@@ -69,3 +71,17 @@ def test_word_hashes_tell_words_apart():
     w = substrings.Words(pa.array(texts, pa.string()))
     assert w.first.tolist() == [0, 2, 3, 3, 3, 4, 6]
     assert w.hashes[0] == w.hashes[5] and len(set(w.hashes.tolist())) == 5
+
+
+def test_sketches_merge_in_levels(spark):
+    """Of 5,000 partitions no task merges more than 256; cells of two partitions count, those of one do not."""
+    rows = [(block, part, np.array([part // 2, 60_000], np.uint16).tobytes(), bytes([1, 1])) for block in range(2) for part in range(5000)]
+    rows.append((1, 7, np.array([65_000], np.uint16).tobytes(), bytes([1])))
+    frame = spark.createDataFrame(rows, "block int, part int, cells binary, counts binary").repartition(8)
+    plan = substrings.merged(frame, 5000)
+    partly = frame.withColumn("part", F.floor(F.col("part") / substrings.FAN)).groupBy("block", "part").count()
+    assert partly.agg(F.max("count")).first()[0] <= 257
+    bits = {r.block: np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in plan.collect()}
+    assert set(bits) == {0, 1}
+    for block in bits.values():
+        assert set(np.flatnonzero(block)) == {*range(2500), 60_000}
