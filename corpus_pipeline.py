@@ -3,7 +3,9 @@
 Each stage is called with (spark, docs, sf_dir) and returns a DataFrame; `run` writes what it returns as Parquet
 in the shared folder and hands the reread table to the next one. All but the last return the columns of
 `documents`. Missing and empty texts pass through every stage: they are not toxic, equal ones are copies of
-each other, and they give no ids. Without documents the result has no rows.
+each other, and they give no ids. Very long texts are handled whole by every stage; repeated rows are copies, and of
+rows with one id one stays. Further columns pass through all stages but the last, which keeps `doc_id`, `lang` and
+`source` and needs them. Without documents the result has no rows.
 
 The stages learn and gather what they need from the documents that they are given: toxicity fits on the training
 part of `labels`, and the near-duplicate stage compares all documents that are left.
