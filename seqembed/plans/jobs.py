@@ -16,7 +16,7 @@ from ..operators.lengths import length_stats
 from ..operators.positions import file_positions
 from ..operators.rows import hash_split, limit_rows
 from ..schemas import SMOKE_OUT
-from ..session import stage
+from ..session import cleaned_up, stage
 from ..sinks.files import describe_output, export_csv, publish, write_partitioned, write_shards, write_stage
 from ..sources.corpus import read_corpus
 from ..sources.fasta import read_fasta
@@ -44,6 +44,7 @@ class RunReport:
         return {**asdict(self), "rate": self.rate, "rate_per_worker": self.rate / self.workers}
 
 
+@cleaned_up
 def stage_job(spark: SparkSession, source: str, output: str, path: str | None = None, n: int | None = None,
               max_len: int | None = 1024, min_len: int = 50, mean_len: int = 200, seed: int = 42,
               shard_rows: int = 0, exact_shards: bool = False, mode: str = "errorifexists") -> DataFrame:
@@ -72,6 +73,7 @@ def stage_job(spark: SparkSession, source: str, output: str, path: str | None =
     return length_stats(spark.read.parquet(output))
 
 
+@cleaned_up
 def pretokenize_job(spark: SparkSession, path: str, output: str, n: int = 0, max_length: int = 1024,
                     shard_rows: int = 0, mode: str = "errorifexists") -> None:
     """Tokenize staged sequences to fixed-width token parquet."""
@@ -79,6 +81,7 @@ def pretokenize_job(spark: SparkSession, path: str, output: str, n: int = 0, max
     write_shards(tokens, output, shard_rows, mode=mode)
 
 
+@cleaned_up
 def embed_job(spark: SparkSession, path: str, output: str, model: Callable = StandIn(), limit: int = 0,
               batch_size: int = 32, max_length: int = 1024, pretokenized: bool = False, nodes: int = 1,
               workers: int | None = None, mode: str = "errorifexists",
@@ -103,6 +106,7 @@ def embed_job(spark: SparkSession, path: str, output: str, model: Callable = Sta
     return RunReport(expected, rows, wall, workers or spark.sparkContext.defaultParallelism)
 
 
+@cleaned_up
 def embed_table_job(spark: SparkSession, source: str, target: str, dims: int, model: Callable = StandIn(),
                     limit: int = 0, batch_size: int = 32, max_length: int = 1024, fmt: str = "parquet",
                     location: str | None = None, profile: ResourceProfile | None = None) -> bool:
@@ -131,6 +135,7 @@ def embed_table_job(spark: SparkSession, source: str, target: str, dims: int, mo
     return True
 
 
+@cleaned_up
 def cell_job(spark: SparkSession, counts: DataFrame, vocab: DataFrame, output: str,
              medians: DataFrame | None = None, settings: CellSettings = CellSettings(),
              model: Callable = StandIn(), dims: int | None = None, batch_size: int = 4,

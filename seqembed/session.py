@@ -5,11 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_scopes: list[list[str]] = []
 _shipped: set[str] = set()
 
 
@@ -37,10 +41,35 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     only the columns it needs.
     """
     path = scratch_path(df.sparkSession, label)
+    for paths in _scopes[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is staged within: for jobs that have written their result by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cleaned_up(job: Callable) -> Callable:
+    """A job, whose first argument is the session, that deletes what it has staged."""
+
+    @wraps(job)
+    def run(spark: SparkSession, *args, **options):
+        with scratch_scope(spark):
+            return job(spark, *args, **options)
+
+    return run
+
+
 def ship_package(spark: SparkSession) -> None:
     """Put this package on the Python path of the executors, once per application."""
     context = spark.sparkContext

@@ -146,6 +146,22 @@ def test_profiles_reach_the_workers(spark, staged, tmp_path, monkeypatch):
     assert seen.count(profile) == 3
 
 
+def test_jobs_leave_no_scratch(spark, staged, tmp_path):
+    from pathlib import Path
+    from seqembed.session import scratch_root
+    scratch = Path(scratch_root(spark)) / "seqembed"
+    before = set(scratch.iterdir()) if scratch.exists() else set()
+    (tmp_path / "x.fasta").write_text(">a|B|c\nMK\n>no\nAC\n")
+    assert jobs.stage_job(spark, "fasta", str(tmp_path / "f"), str(tmp_path / "x.fasta"), shard_rows=1, exact_shards=True).first().n_rows == 2
+    spark.read.parquet(staged).write.option("path", str(tmp_path / "src")).mode("overwrite").saveAsTable("scratch_src")
+    assert jobs.embed_table_job(spark, "scratch_src", "scratch_dst", 64, limit=20, location=str(tmp_path / "dst"))
+    counts = spark.createDataFrame([("a", "g", 1.0)], "cell_id string, gene_id string, count double")
+    vocab = spark.createDataFrame([("g", 3)], "gene_id string, token_id int")
+    settings = CellSettings(max_seq_len=4, gene_values="bin", bins=2, compute_medians=True)
+    assert jobs.cell_job(spark, counts, vocab, str(tmp_path / "cells"), settings=settings).count() == 1
+    assert set(scratch.iterdir()) == before
+
+
 def test_staging_takes_all_and_whole(spark, tmp_path):
     spark.createDataFrame([("A" * 3000,)] * 1500, "text string").write.parquet(str(tmp_path / "in"))
     stats = jobs.stage_job(spark, "corpus", str(tmp_path / "out"), str(tmp_path / "in"), max_len=None).first()
