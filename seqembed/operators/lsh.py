@@ -218,6 +218,6 @@ def knn_lsh_recall(df: DataFrame, k: int = 15, id_column: str = "vec_id", vector
     exact = best_of_sample(nodes, sample, k).select("rep", "other")
     both = exact.join(hits.select("rep", "other").withColumn("found", F.lit(1)), ["rep", "other"], "left")
     counts = stage(both.groupBy("rep").agg(F.count("*").alias("n_exact"), F.count("found").alias("n_found")), "lsh-recall")
-    whole = counts.agg((F.sum("n_found") / F.sum("n_exact")).alias("recall"))
-    return asked.join(F.broadcast(counts.crossJoin(whole)), "rep").select(
-        F.col("id").alias(id_column), "n_exact", "n_found", "recall")
+    share = counts.agg(F.sum("n_found") / F.sum("n_exact")).first()[0]
+    return asked.join(F.broadcast(counts), "rep").select(
+        F.col("id").alias(id_column), "n_exact", "n_found", F.lit(share).cast("double").alias("recall"))
