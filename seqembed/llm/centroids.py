@@ -195,14 +195,11 @@ def report(vectors: DataFrame, **options) -> DataFrame:
     """Cluster, distance and sums of distances of every kept vector, with a digest of its centroid."""
     spark: SparkSession = vectors.sparkSession
     assigned, points = cluster(vectors, **options)
-    digests = spark.createDataFrame(
-        [(i, hashlib.sha256(",".join(map(str, p)).encode()).hexdigest()) for i, p in enumerate(points.tolist())],
-        "cluster int, centroid_sha256 string")
     whole = F.sum(F.col("distance").cast("decimal(38,0)"))
-    totals = assigned.groupBy("cluster").agg(whole.alias("of_cluster"))  # one row per centroid
-    totals = totals.crossJoin(totals.agg(F.sum("of_cluster").alias("of_all"))).join(digests, "cluster").select(
-        "cluster", F.col("of_cluster").cast("long").alias("cluster_inertia"), F.col("of_all").cast("long").alias("inertia"),
-        "centroid_sha256")
+    sums = {r.cluster: int(r.total) for r in assigned.groupBy("cluster").agg(whole.alias("total")).collect()}  # one row per centroid
+    digests = [hashlib.sha256(",".join(map(str, p)).encode()).hexdigest() for p in points.tolist()]
+    totals = spark.createDataFrame([(c, n, sum(sums.values()), digests[c]) for c, n in sums.items()],
+                                   "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return assigned.join(F.broadcast(totals), "cluster").select(
         F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
