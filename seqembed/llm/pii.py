@@ -31,6 +31,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.lookup import lookup_join
 from .common import fresh, sha256_hex, stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -146,11 +147,11 @@ def entities_of(spans: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(spans, named)))
 
 
-def disclosing(entities: DataFrame, words: DataFrame, total: int) -> DataFrame:
+def disclosing(entities: DataFrame, texts: DataFrame, copies: DataFrame, total: int) -> DataFrame:
     """`(entity, term, share)`: terms that reveal an entity, with how far.
 
-    `entities` has (doc, entity) and `words` (doc, term) of different documents, `doc` their hash; `total` is their
-    number. Rows may repeat.
+    `entities` has (doc, entity) and `texts` (doc, text) of all documents, `doc` the hash of the text, so rows may
+    repeat; staged `copies` has the `doc` of texts that do. `total` is the number of different texts.
     """
     if total < 2:
         return entities.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("share")).limit(0)
@@ -159,11 +160,14 @@ def disclosing(entities: DataFrame, words: DataFrame, total: int) -> DataFrame:
     held = stage(entities.join(known, "entity"), "entities")
     # The rarest words can reveal any entity, others none: n(e, t) is n(e) at most.
     most = held.agg(F.coalesce(F.max("e"), F.lit(0))).first()[0]
-    terms = words.groupBy("doc", "term").agg(F.lit(1)).groupBy("term").agg((F.count("*") - 1).alias("t"))
+    # Texts that do not repeat are counted in every task before the shuffle; of copies each text counts once.
+    words = lookup_join(texts, copies.withColumn("copy", F.col("doc")), "doc").select("copy", F.explode(words_of(F.col("text"))).alias("term"))
+    counts = words.groupBy("term", "copy").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("copy").isNull(), F.col("n")).otherwise(1))
+    terms = counts.groupBy("term").agg((F.sum("n") - 1).alias("t"))
     reach = F.lit(others ** (1 - GENERALISE)) * F.pow(F.col("e").cast("double"), F.lit(GENERALISE))
     terms = terms.filter((F.col("t") > 0) & (F.col("t") <= F.lit(others ** (1 - GENERALISE) * float(most) ** GENERALISE * (1 + 1e-9))))
-    with_entity = words.join(held.select("doc").distinct(), "doc", "left_semi").distinct()
-    rare = with_entity.join(terms, "term")
+    with_entity = texts.join(held.select("doc").distinct(), "doc", "left_semi")
+    rare = with_entity.select("doc", F.explode(words_of(F.col("text"))).alias("term")).distinct().join(terms, "term")
     both = (held.join(rare, "doc").filter(F.col("t") <= reach * (1 + 1e-9))
             .groupBy("entity", "term", "e", "t").agg((F.count("*") - 1).alias("both")).filter("both > 0"))
     share = (F.log(F.lit(others) * F.col("both") / (F.col("e") * F.col("t"))) / F.log(F.lit(others) / F.col("e")))
@@ -182,10 +186,12 @@ def scan(docs: DataFrame, text_col: str = "text", drop: bool = False) -> tuple[D
     # Texts without a span need not be seen again.
     found = stage(found.select(*kept, row, base, F.when(F.size(base) > 0, without_mails(text)).alias(plain), F.xxhash64(text).alias(doc),
                                entities_of(F.col(base)).alias(named)), "mentions")
-    total = found.select(doc).distinct().count()
+    repeats = found.groupBy(F.col(doc).alias("doc")).agg(F.count("*").alias("n"))
+    total = repeats.count()
     each = found.select(F.col(row).alias("row"), F.col(doc).alias("doc"), F.explode(named).alias("entity"))
-    words = docs.select(F.xxhash64(text).alias("doc"), F.explode(words_of(without_mails(text))).alias("term"))
-    pairs = stage(disclosing(each.select("doc", "entity"), words, total), "disclosing")
+    copies = stage(repeats.filter("n > 1").select("doc"), "copies")
+    texts = docs.select(F.xxhash64(text).alias("doc"), without_mails(text).alias("text"))
+    pairs = stage(disclosing(each.select("doc", "entity"), texts, copies, total), "disclosing")
     shares = (each.select("row", "entity").join(pairs, "entity").groupBy("row", "term").agg(F.max("share").alias("share"))
               .groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias(spans)))
     joined = found.join(shares, row, "left")
