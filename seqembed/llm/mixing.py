@@ -17,7 +17,8 @@ is left out of its own counts. In each text they are then learned on, after 32 b
 `BLOCK`, and a further adaptive map from the mixed logit to what really happened refines the outcome. Nothing carries
 over from one text to another, so scores do not depend on how rows are dealt out.
 
-The base score is that of single words with add-one smoothing. Words are counted by 64 bits of hash; the `FREQUENT`
+The base score is that of single words with add-one smoothing; with `fold` they are compared with A-Z in lower case,
+while the model always scores the bytes as they are. Words are counted by 64 bits of hash; the `FREQUENT`
 most frequent ones are broadcast, all others are joined.
 
 Missing texts are empty, and empty texts have their end mark alone. Repeated rows are counted and scored each on
@@ -381,9 +382,12 @@ def first_weights(windows: list[bytes], trees: Trees, zeros: np.ndarray, ones: n
 class _Tokens:
     """Arrow batches of (text) to counts (kind, key, n): kind 0 by hash of a word, kind 1 by last byte and byte, kind 2 of texts."""
 
+    def __init__(self, fold: bool):
+        self.fold = fold
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1 << 20):
-            words = Words(batch.column(0))
+            words = Words(batch.column(0), self.fold)
             keys, counts = np.unique(words.hashes, return_counts=True)
             data = words.data.copy()
             data[words.edges] = END
@@ -398,14 +402,14 @@ class _Tokens:
 class _Score:
     """(row, doc_id, held_out, text) to the model's score and what is known of the words without the rare ones."""
 
-    def __init__(self, model, frequent):
-        self.model, self.frequent = model, frequent
+    def __init__(self, model, frequent, fold: bool):
+        self.model, self.frequent, self.fold = model, frequent, fold
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = self.model.value
         keys, logs = self.frequent.value
         for batch in pieces(batches, 3 << 17):
-            words = Words(batch.column(3))
+            words = Words(batch.column(3), self.fold)
             n = np.diff(words.first)
             text = np.repeat(np.arange(batch.num_rows), n)
             at = np.minimum(np.searchsorted(keys, words.hashes), max(len(keys) - 1, 0))
@@ -447,14 +451,14 @@ def fit(training: DataFrame, tokens: DataFrame) -> Model:
     return Model(trees, _logit(zeros, ones), seen, weights, shape)
 
 
-def report(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
+def report(docs: DataFrame, modulus: int = 7, held: int = 2, fold: bool = False) -> DataFrame:
     """Scores of every row of `docs`, learned from those whose id's crc32 modulo `modulus` is not `held`."""
     spark = docs.sparkSession
     ship_package(spark)
     source = docs.select("doc_id", (remainder("doc_id", modulus) == held).alias("held_out"),
                          F.coalesce("text", F.lit("")).alias("text"))
     training = source.filter("NOT held_out").select("text")
-    tokens = stage(training.mapInArrow(_Tokens(), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "tokens")
+    tokens = stage(training.mapInArrow(_Tokens(fold), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "tokens")
     words = tokens.filter("kind = 0").select("key", "n")
     whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     texts = tokens.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -465,7 +469,7 @@ def report(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     frequent = spark.sparkContext.broadcast((keys[order], np.log10(top["n"].to_numpy(np.float64)[order] + 1)))
     model = spark.sparkContext.broadcast(fit(training, tokens))
     numbered = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    scored = stage(numbered.mapInArrow(_Score(model, frequent), T.StructType([
+    scored = stage(numbered.mapInArrow(_Score(model, frequent, fold), T.StructType([
         T.StructField("row", T.LongType()), source.schema["doc_id"], T.StructField("held_out", T.BooleanType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("n_frequent", T.LongType()), T.StructField("base", T.DoubleType()),
         T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))])), "scored")

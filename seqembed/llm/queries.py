@@ -79,7 +79,7 @@ def op10_disclosure_pii(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def op2_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Word and mixing scores of every document."""
-    return mixing.report(read(spark, folder, "documents"))
+    return mixing.report(read(spark, folder, "documents"), fold=True)
 
 
 @registered

@@ -46,6 +46,8 @@ PACK_BITS = 6
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTERS = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLDED = _LETTERS.copy()
+_FOLDED[65:91] = _LETTERS[97:123]
 _BASES = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
 
 
@@ -86,9 +88,9 @@ def _runs(values: np.ndarray, size: int, base: int) -> np.ndarray:
 
 
 class Words:
-    """The words of a run of texts, as hashes: one flat array, and where each text begins."""
+    """The words of a run of texts, as hashes: one flat array, and where each text begins. `fold` takes A-Z for a-z."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, fold: bool = False):
         column = column.cast(pa.large_binary()).fill_null(b"")
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
@@ -102,7 +104,7 @@ class Words:
         change = np.flatnonzero(space[1:] != space[:-1]) + 1
         starts, ends = change[::2], change[1::2]
         up, down = _powers[0].take(len(padded) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_LETTERS[padded] * up[:-1])])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((_FOLDED if fold else _LETTERS)[padded] * up[:-1])])
         self.hashes = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         self.data, self.starts, self.ends = padded, starts, ends
         self.first = np.searchsorted(starts, self.edges)  # first word of each text

@@ -68,6 +68,18 @@ def test_odd_rows(spark):
     check(mixing.report(spark.createDataFrame(alone, "doc_id long, text string")).collect(), alone)
 
 
+def lowered(text):
+    return text and re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+@pytest.mark.parametrize("frequent", [mixing.FREQUENT, 1])
+def test_query_takes_words_in_lower_case(spark, tmp_path, monkeypatch, frequent):
+    monkeypatch.setattr(mixing, "FREQUENT", frequent)
+    docs = [(d, t) for d, t in zip(range(20), ["The the THE", "É é É", None, "ZeBra\x0bzebra [AZ] {az}", "AZ az Zebra"] * 4)] + [(None, "THE end")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    check(op2_context_mixing(spark, str(tmp_path)).collect(), [(d, lowered(t)) for d, t in docs])
+
+
 def test_bytes_sum_to_one():
     """All ways to go on after a start, with the end mark, have the probability of the start."""
     tree = mixing.Trees(np.arange(1 << 16) ** 2 % 977)
