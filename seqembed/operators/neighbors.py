@@ -9,8 +9,13 @@ The driver knows at most `MAX_SHELLS` shells. A shell with more than `block_rows
 of that many rows by the distance to a second pivot of its own; rows that reach the shell are compared with its
 blocks' bounds in the cluster. So blocks have one size, whatever the number of rows.
 
-Every search of a block keeps the `k` best of it per row, ties by the smallest id, so ties make no more hits than
-rows, k and visited blocks allow. Equal vectors are searched once, so a vector repeated a million times is one row.
+Blocks one after the other make a band of up to `BAND_ROWS` rows. A row is sent once to each other band in which it
+reaches a block, and a band once to each band that has such rows. So what is shuffled grows with rows times bands,
+not with visited blocks. Up to `BANDS` bands of that size it grows like the rows; beyond, on vectors without structure,
+with their square divided by `BAND_ROWS`.
+
+Every search of a block, and of a band, keeps the `k` best per row, ties by the smallest id, so ties make no more hits
+than rows, k and visited bands allow. In a band nothing is kept that is worse than the `k` best known before. Equal vectors are searched once, so a vector repeated a million times is one row.
 """
 
 from __future__ import annotations
@@ -30,7 +35,9 @@ MAX_PIVOTS = 256
 MAX_SHELLS = 50_000
 PIVOTS_PER_BLOCK = 4
 QUERY_ROWS = 1024
-FAN_OUT = 256
+BANDS = 6
+BAND_ROWS = 1 << 16
+SEARCH_ROWS = 4096
 BOUND_CELLS = 4_000_000
 SIM_DIGITS = 12
 # Allowance for rounding: similarities are good to 1e-12, chords near 0 to about 1e-6.
@@ -62,30 +69,36 @@ def knn_cosine(df: DataFrame, k: int = 15, id_column: str = "vec_id", vector: st
     bounds = (shelled.groupBy("pivot", "slice")
               .agg(F.min("dist").alias("low"), F.max("dist").alias("high"), F.count("*").alias("n"))
               .orderBy("pivot", "slice").toPandas())
-    shells = spark.createDataFrame(bounds[["pivot", "slice"]].assign(shell=range(len(bounds))),
-                                   "pivot int, slice int, shell int")
-    shelled = shelled.join(F.broadcast(shells), ["pivot", "slice"]).select("rep", "first", "shell", "vector")
+    band_rows = max(block_rows, min(BAND_ROWS, math.ceil(total / BANDS)))
+    bounds["band"] = (bounds["n"].cumsum() - bounds["n"]) // band_rows
+    shells = spark.createDataFrame(bounds[["pivot", "slice"]].assign(shell=range(len(bounds)), band=bounds["band"]),
+                                   "pivot int, slice int, shell int, band long")
+    shelled = shelled.join(F.broadcast(shells), ["pivot", "slice"]).select("rep", "first", "shell", "band", "vector")
     two_levels = size > block_rows
-    blocked = stage(_blocks(shelled, block_rows) if two_levels else shelled.withColumn("block", _block_of("shell", F.lit(0))),
-                    "knn-blocks")
-
-    home_search = _HomeSearch(k, shared, spark.sparkContext.broadcast(bounds))
-    home = stage(blocked.select("rep", "first", "shell", "block", "vector").groupBy("block").applyInArrow(
+    # In two levels a band has at most so many blocks of a shell.
+    inner_band = _block_of("band", F.floor(F.col("part") / (band_rows // block_rows)))
+    blocked = stage(
+        _blocks(shelled, block_rows).withColumn("band", inner_band).drop("part") if two_levels else shelled.withColumn("block", _block_of("shell", F.lit(0))), "knn-blocks")
+
+    known = spark.sparkContext.broadcast(bounds)
+    home_search = _HomeSearch(k, shared, known, two_levels)
+    home = stage(blocked.select("rep", "first", "shell", "block", "band", "vector").groupBy("block").applyInArrow(
         lambda table: home_search(table), T.StructType([
-            T.StructField("rep", T.StringType()), T.StructField("block", T.LongType()), T.StructField("reach", T.DoubleType()),
+            T.StructField("rep", T.StringType()), T.StructField("block", T.LongType()), T.StructField("band", T.LongType()),
+            T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("reach", T.DoubleType()), T.StructField("least", T.DoubleType()),
             T.StructField("found", T.ArrayType(T.StringType())), T.StructField("firsts", T.ArrayType(id_type)),
-            T.StructField("sims", T.ArrayType(T.DoubleType())), T.StructField("visits", T.ArrayType(T.IntegerType()))])),
+            T.StructField("sims", T.ArrayType(T.DoubleType())), T.StructField("visits", T.ArrayType(T.LongType()))])),
         "knn-home")
     hits = home.select("rep", F.explode(F.arrays_zip("found", "firsts", "sims")).alias("hit")).select(
         "rep", F.col("hit.found").alias("other"), F.col("hit.firsts").alias("first"), F.col("hit.sims").alias("sim"))
     if len(bounds) > 1 or two_levels:
-        visits = home.select("rep", F.col("block").alias("home"), "reach", F.explode("visits").alias("shell"))
+        rows_of = home.select("rep", F.col("block").alias("home"), F.col("band").alias("from_band"), "reach", "least", "vector", "visits")
         if two_levels:
-            visits = _within(visits, blocked)
+            reached = _within(rows_of.select("rep", "reach", "vector", F.explode("visits").alias("shell")), blocked)
+            visits = rows_of.drop("visits").join(reached, "rep")
         else:
-            visits = visits.withColumn("block", _block_of("shell", F.lit(0)))
-        visits = visits.filter("block <> home").select("rep", "block")
-        hits = hits.unionByName(_away(visits, blocked, k))
+            visits = rows_of.select("*", F.explode("visits").alias("band")).drop("visits")
+        hits = hits.unionByName(_away(visits, blocked, _BandSearch(k, shared, known, two_levels)))
     best = top_per_group(hits, ["rep"], [F.desc("sim"), F.asc_nulls_last("first")], k, spread=["other"])
     return finished(rows, best, k, id_column)
 
@@ -150,35 +163,25 @@ def _blocks(shelled: DataFrame, block_rows: int) -> DataFrame:
                            T.StructField("apart", T.DoubleType())])
     measured = stage(shelled.join(centres, "shell").select(*shelled.columns, "centre").mapInArrow(_Apart(), schema), "knn-apart")
     cut = _slices(measured, ["shell"], "apart", block_rows, "part")
-    return cut.withColumn("block", _block_of("shell", F.col("part"))).drop("part")
+    return cut.withColumn("block", _block_of("shell", F.col("part")))
 
 
 def _within(visits: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Of the shells that rows reach, `(rep, home, block)` of the blocks that they reach."""
-    bounds = blocked.groupBy("shell", "block").agg(F.min("apart").alias("low"), F.max("apart").alias("high"))
+    """Of the shells that rows `(rep, reach, vector, shell)` reach, `(rep, band)` of the bands with a block that they reach."""
+    bounds = blocked.groupBy("shell", "block", "band").agg(F.min("apart").alias("low"), F.max("apart").alias("high"))
     centres = blocked.groupBy("shell").agg(F.min_by("centre", "rep").alias("centre"))
-    inner = bounds.groupBy("shell").agg(F.sort_array(F.collect_list(F.struct("block", "low", "high"))).alias("inner"))
-    inner = inner.select("shell", F.col("inner.block").alias("blocks"), F.col("inner.low").alias("lows"),
+    inner = bounds.groupBy("shell").agg(F.sort_array(F.collect_list(F.struct("band", "low", "high"))).alias("inner"))
+    inner = inner.select("shell", F.col("inner.band").alias("bands"), F.col("inner.low").alias("lows"),
                          F.col("inner.high").alias("highs")).join(centres, "shell")
-    reaching = visits.join(blocked.select("rep", "vector"), "rep").join(inner, "shell").select(
-        "rep", "home", "reach", "vector", "centre", "blocks", "lows", "highs")
-    return stage(reaching.mapInArrow(_Refine(), "rep string, home long, block long"), "knn-reached")
-
-
-def _away(visits: DataFrame, blocked: DataFrame, k: int) -> DataFrame:
-    """Hits of visiting rows `(rep, block)`. A block is copied once per `QUERY_ROWS` visitors."""
-    chunks = visits.groupBy("block").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    queries = visits.join(chunks, "block").select("rep", "block", chunk.alias("chunk")).join(
-        blocked.select("rep", "vector"), "rep").toDF("q_rep", "q_block", "q_chunk", "q_vector")
-    # A block of many visitors is copied in two steps, so no task makes all its copies.
-    fans = chunks.select("block", "chunks", F.explode(F.sequence(F.lit(0), F.floor((F.col("chunks") - 1) / FAN_OUT).cast("int")))
-                         .alias("fan"))
-    fanned = blocked.select("block", "rep", "first", "vector").join(fans, "block").repartition("block", "fan")
-    last = F.least((F.col("fan") + 1) * FAN_OUT, F.col("chunks")) - 1
-    candidates = fanned.select("block", "rep", "first", "vector", F.explode(F.sequence(F.col("fan") * FAN_OUT, last)).alias("chunk"))
-    search = _PairSearch(k)
-    return (queries.groupBy("q_block", "q_chunk").cogroup(candidates.groupBy("block", "chunk"))
+    reaching = visits.join(inner, "shell").select("rep", "reach", "vector", "centre", "bands", "lows", "highs")
+    return stage(reaching.mapInArrow(_Refine(), "rep string, band long").distinct(), "knn-reached")
+
+
+def _away(visits: DataFrame, blocked: DataFrame, search: _BandSearch) -> DataFrame:
+    """Hits of visiting rows `(rep, home, from_band, reach, least, vector, band)`: one search per pair of bands."""
+    pairs = visits.select("from_band", "band").distinct().toDF("visitors", "band")
+    candidates = blocked.select("band", "shell", "block", "rep", "first", "vector").join(pairs, "band")
+    return (visits.groupBy("from_band", "band").cogroup(candidates.groupBy("visitors", "band"))
             .applyInArrow(lambda left, right: search(left, right), _hits(blocked.schema["first"].dataType)))
 
 
@@ -242,21 +245,29 @@ class _Apart:
 
 
 class _Refine:
-    """Rows with a shell that they reach, its second pivot and its blocks' bounds, to the blocks that they reach."""
+    """Rows with a shell that they reach, its second pivot and its blocks' bands and bounds, to the bands in which they reach a block."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             apart = _chord((matrix(batch.column("vector")) * matrix(batch.column("centre"))).sum(axis=1))
-            blocks, bounds = list_codes(batch.column("blocks"))
+            bands, bounds = list_codes(batch.column("bands"))
             low, high = list_codes(batch.column("lows"))[0], list_codes(batch.column("highs"))[0]
             row = np.repeat(np.arange(len(apart)), np.diff(bounds))
             reach = batch.column("reach").to_numpy()[row] + SLACK
             near = np.flatnonzero(np.maximum(apart[row] - high, low - apart[row]) <= reach)
-            of_row = pa.array(row[near])
-            yield pa.RecordBatch.from_arrays([batch.column("rep").take(of_row), batch.column("home").take(of_row),
-                                              pa.array(blocks[near])], names=["rep", "home", "block"])
+            row, band = row[near], bands[near]
+            once = _changes(row, band)
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row[once])), pa.array(band[once])], names=["rep", "band"])
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """True where one of the columns differs from the place before."""
+    changes = np.ones(len(columns[0]), bool)
+    if len(changes):
+        changes[1:] = np.logical_or.reduce([column[1:] != column[:-1] for column in columns])
+    return changes
 
 
 def best_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,18 +286,19 @@ def best_columns(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class _HomeSearch:
-    """Search a block for its own rows, and list the shells each row has to visit."""
+    """Search a block for its own rows, and list the bands, or in two levels the shells, that each row has to visit."""
 
-    def __init__(self, k, pivots, bounds):
+    def __init__(self, k, pivots, bounds, two_levels):
         self.k = k
         self.pivots = pivots
         self.bounds = bounds
+        self.two_levels = two_levels
 
     def __call__(self, table: pa.Table) -> pa.Table:
         table = table.sort_by("first")  # so that ties, taken from the left, go to the smaller id
         vectors, names, firsts = matrix(table["vector"]), table["rep"].combine_chunks(), table["first"].combine_chunks()
         shell = table["shell"][0].as_py()
-        counts, columns, near, reaches, shells, visits = [], [], [], [], [], []
+        counts, columns, near, leasts, reaches, shells, visits = [], [], [], [], [], [], []
         for start in range(0, len(vectors), QUERY_ROWS):
             part = vectors[start:start + QUERY_ROWS]
             own = np.arange(len(part))
@@ -296,6 +308,7 @@ class _HomeSearch:
             counts.append(np.bincount(row, minlength=len(part)))
             columns.append(column)
             near.append(sims[row, column])
+            leasts.append(least)
             for reach, which, number in self._reachable(part, shell, least, len(vectors)):
                 reaches.append(reach)
                 shells.append(which)
@@ -304,11 +317,12 @@ class _HomeSearch:
         ends = pa.array(np.append(0, np.cumsum(np.concatenate(counts))), pa.int32())
         visit_ends = pa.array(np.append(0, np.cumsum(np.concatenate(visits))), pa.int32())
         return pa.table({
-            "rep": names, "block": table["block"], "reach": np.concatenate(reaches),
+            "rep": names, "block": table["block"], "band": table["band"], "vector": table["vector"],
+            "reach": np.concatenate(reaches), "least": np.concatenate(leasts),
             "found": pa.ListArray.from_arrays(ends, names.take(columns)),
             "firsts": pa.ListArray.from_arrays(ends, firsts.take(columns)),
             "sims": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(near))),
-            "visits": pa.ListArray.from_arrays(visit_ends, pa.array(np.concatenate(shells), pa.int32())),
+            "visits": pa.ListArray.from_arrays(visit_ends, pa.array(np.concatenate(shells), pa.int64())),
         })
 
     def _reachable(self, vectors, home, least, held) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -328,18 +342,28 @@ class _HomeSearch:
             short = np.flatnonzero(~np.isfinite(cut))
             if len(short):
                 reach[short] = _k_within(to_pivots[short][:, of_shell] + high, sizes, self.k)
-            # Rows of another pivot lie beyond the plane halfway between it and ours.
-            beyond = (to_pivots ** 2 - to_pivots[:, centre, None] ** 2) / np.maximum(2 * apart, SLACK)
-            beyond[:, apart < SLACK] = 0
-            spread = to_pivots[:, of_shell]
-            gap = np.maximum(np.maximum(spread - high, low - spread), beyond[:, of_shell])
-            near = gap <= reach[:, None] + SLACK
+            near = _gaps(to_pivots, centre, apart, of_shell, low, high) <= reach[:, None] + SLACK
             if sizes[home] + 1 == held:  # the shell is this block
                 near[:, home] = False
             row, which = np.nonzero(near)
+            if not self.two_levels:
+                which = bounds["band"].to_numpy()[which]
+                once = _changes(row, which)  # bands rise with the shells
+                row, which = row[once], which[once]
             yield reach, which, np.bincount(row, minlength=len(near))
 
 
+def _gaps(to_pivots: np.ndarray, centre: np.ndarray | int, apart: np.ndarray, of_shell: np.ndarray, low: np.ndarray,
+          high: np.ndarray) -> np.ndarray:
+    """How far rows at least are from the rows of shells; `centre` is their own pivot, `apart` its distance from all pivots."""
+    spread = to_pivots[:, of_shell]
+    # Rows of another pivot lie beyond the plane halfway between it and ours.
+    own = to_pivots[np.arange(len(to_pivots)), centre]
+    beyond = (to_pivots ** 2 - own[:, None] ** 2) / np.maximum(2 * apart, SLACK)
+    beyond[np.broadcast_to(apart < SLACK, beyond.shape)] = 0
+    return np.maximum(np.maximum(spread - high, low - spread), beyond[:, of_shell])
+
+
 def _k_within(farthest: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     """Per row a distance within which the shells of these sizes and farthest rows hold `k` rows."""
     order = np.argsort(farthest, axis=1)
@@ -348,23 +372,83 @@ def _k_within(farthest: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return np.where(enough[:, -1], farthest[np.arange(len(order)), at], np.inf)
 
 
-class _PairSearch:
-    """The nearest rows of one block for a chunk of its visitors."""
+class _BandSearch:
+    """The `k` nearest rows of a band for the visitors from another, or the same, outside their own block."""
 
-    def __init__(self, k):
+    def __init__(self, k, pivots, bounds, two_levels):
         self.k = k
+        self.pivots = pivots
+        self.bounds = bounds
+        self.two_levels = two_levels
 
     def __call__(self, queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        candidates = candidates.sort_by("first")
-        vectors, others = matrix(queries["q_vector"]), matrix(candidates["vector"])
-        rows, columns, near = [], [], []
-        for start in range(0, len(vectors), QUERY_ROWS):
-            sims = np.round(vectors[start:start + QUERY_ROWS] @ others.T, SIM_DIGITS)
-            row, column, _ = best_columns(sims, self.k)
-            rows.append(start + row)
-            columns.append(column)
-            near.append(sims[row, column])
-        columns = pa.array(np.concatenate(columns))
-        return pa.table([queries["q_rep"].combine_chunks().take(pa.array(np.concatenate(rows))),
-                         candidates["rep"].combine_chunks().take(columns), candidates["first"].combine_chunks().take(columns),
-                         pa.array(np.concatenate(near))], names=["rep", "other", "first", "sim"])
+        names, vectors = queries["rep"].combine_chunks(), matrix(queries["vector"])
+        home, reach, least = (queries[name].to_numpy() for name in ("home", "reach", "least"))
+        candidates = candidates.sort_by("first")  # places are in the order of ids
+        place = np.argsort(candidates["block"].to_numpy(), kind="stable")
+        others = matrix(candidates["vector"])[place]
+        block, shell = candidates["block"].to_numpy()[place], candidates["shell"].to_numpy()[place]
+        runs = self._runs(block)
+        found = []
+        order = np.argsort(home, kind="stable")  # rows of a block reach the same blocks, mostly
+        for at in range(0, len(order), QUERY_ROWS):
+            part = order[at:at + QUERY_ROWS]
+            near = self._near(vectors[part], home[part], reach[part], shell, runs)
+            row, column, sims = self._search(vectors[part], home[part], least[part].copy(), others, block, place, near, runs)
+            found.append((part[row], place[column], sims))
+        row, column, sims = (np.concatenate(parts) for parts in zip(*found)) if found else (np.empty(0, np.int64),) * 2 + (np.empty(0),)
+        row, column = pa.array(row), pa.array(column)
+        return pa.table([names.take(row), candidates["rep"].combine_chunks().take(column),
+                         candidates["first"].combine_chunks().take(column), pa.array(sims)], names=["rep", "other", "first", "sim"])
+
+    @staticmethod
+    def _runs(block: np.ndarray) -> list[tuple[int, int]]:
+        """Whole blocks one after the other, up to `SEARCH_ROWS` rows, or one block."""
+        starts = np.append(np.flatnonzero(_changes(block)), len(block)).tolist()
+        runs, first = [], 0
+        for start, end in zip(starts[:-1], starts[1:]):
+            if end - first > SEARCH_ROWS and start > first:
+                runs.append((first, start))
+                first = start
+        return [*runs, (first, len(block))] if len(block) else runs
+
+    def _near(self, vectors: np.ndarray, home: np.ndarray, reach: np.ndarray, shell: np.ndarray, runs: list) -> np.ndarray:
+        """Whether a row reaches a block of a run."""
+        if self.two_levels:  # bands were chosen by their blocks
+            return np.ones((len(vectors), len(runs)), bool)
+        pivots, bounds = self.pivots.value, self.bounds.value
+        of_shell = bounds["pivot"].to_numpy()
+        to_pivots = _chord(vectors @ pivots.T)
+        centre = of_shell[home >> 32]
+        apart = _chord(pivots[centre] @ pivots.T)
+        near = np.empty((len(vectors), len(runs)), bool)
+        for i, (low, high) in enumerate(runs):
+            held = np.unique(shell[low:high])
+            here = bounds.iloc[held]
+            gaps = _gaps(to_pivots, centre, apart, of_shell[held], here["low"].to_numpy(), here["high"].to_numpy())
+            near[:, i] = ((gaps <= reach[:, None] + SLACK) & (held != home[:, None] >> 32)).any(axis=1)
+        return near
+
+    def _search(self, vectors, home, least, others, block, place, near, runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, columns and similarities of the `k` best of each row, none worse than `least`, which rises meanwhile."""
+        row, column, sims = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for i, (low, high) in enumerate(runs):
+            part = np.flatnonzero(near[:, i])
+            if not len(part):
+                continue
+            all_sims = vectors[part] @ others[low:high].T
+            r, c = np.nonzero(all_sims >= least[part, None] - 10.0 ** -SIM_DIGITS)
+            s = np.round(all_sims[r, c], SIM_DIGITS)
+            r, c = part[r], c + low
+            kept = (s >= least[r]) & (block[c] != home[r])
+            if not kept.any():
+                continue
+            row, column, sims = np.append(row, r[kept]), np.append(column, c[kept]), np.append(sims, s[kept])
+            order = np.lexsort((place[column], -sims, row))
+            row, column, sims = row[order], column[order], sims[order]
+            starts = np.flatnonzero(_changes(row))
+            rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+            last = rank == self.k - 1
+            least[row[last]] = np.maximum(least[row[last]], sims[last])
+            row, column, sims = row[rank < self.k], column[rank < self.k], sims[rank < self.k]
+        return row, column, sims

@@ -115,3 +115,16 @@ def test_missing_and_ragged_vectors(spark):
     ragged = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0, 2.0])], "vec_id long, embedding array<float>")
     with pytest.raises(Exception, match="different lengths|inhomogeneous"):
         knn_cosine(ragged, k=2).collect()
+
+
+@pytest.mark.parametrize("max_shells", [50_000, 4])
+def test_rows_are_sent_once_per_band(spark, monkeypatch, staged, max_shells):
+    """Without structure rows reach nearly all blocks; what is sent follows the bands, however small the blocks are."""
+    from seqembed.operators import neighbors
+    matrix = np.random.default_rng(7).normal(size=(600, 16)).astype(np.float32)
+    sent = []
+    plain = neighbors._away
+    monkeypatch.setattr(neighbors, "_away", lambda visits, blocked, search: sent.append(visits.count()) or plain(visits, blocked, search))
+    assert found(knn_cosine(frame(spark, matrix), 5, block_rows=10, max_shells=max_shells)) == brute_force(matrix, 5)
+    assert staged["knn-blocks"].select("block").distinct().count() >= 60
+    assert sent[0] <= len(matrix) * staged["knn-blocks"].select("band").distinct().count() <= len(matrix) * (neighbors.BANDS + 3)
