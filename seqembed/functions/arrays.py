@@ -72,6 +72,14 @@ def byte_runs(batches: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[pa.
                 yield batch.slice(start, step)
 
 
+def width_runs(batch: pa.RecordBatch, widths: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """An Arrow batch cut into runs of rows whose widths add up to about `most`, at least a row each."""
+    part = (np.cumsum(widths) - widths) // most
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for start, end in zip(starts, np.append(starts[1:], batch.num_rows)):
+        yield batch.slice(start, end - start)
+
+
 def list_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of an integer list column, and the row boundaries among them."""
     bounds = column.offsets.to_numpy().astype(np.int64)

@@ -12,7 +12,9 @@ from ..operators.rank import row_numbers
 from ..schemas import TOKENS
 from ..session import ship_package, stage
 from .alphabet import PROTEIN, Alphabet
-from .arrays import framed_codes, list_column, pad_rows
+from .arrays import framed_codes, list_column, pad_rows, width_runs
+
+RUN_CELLS = 1 << 19  # positions that a worker lays out at a time
 
 
 def token_ids(sequence: Column, max_length: int, alphabet: Alphabet = PROTEIN) -> Column:
@@ -73,7 +75,7 @@ class _Widths:
         self.alphabet = alphabet
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (run for whole in batches for run in width_runs(whole, whole.column("width").to_numpy().astype(np.int64), RUN_CELLS)):
             values, starts, lengths = framed_codes(batch.column("sequence"), self.alphabet)
             widths = batch.column("width").to_numpy().astype(np.int64)
             ends = np.append(0, np.cumsum(widths))
@@ -96,7 +98,7 @@ class _FixedWidth:
         self.alphabet = alphabet
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (run for whole in batches for run in width_runs(whole, np.full(whole.num_rows, self.max_length), RUN_CELLS)):
             values, starts, lengths = framed_codes(batch.column("sequence"), self.alphabet)
             ids = pad_rows(values, starts, lengths, self.max_length, self.alphabet.pad_id)
             mask = (np.arange(self.max_length) < lengths[:, None]).astype(np.int32)

@@ -203,7 +203,7 @@ class _GeneReader:
 class _Embedder:
     """Arrow batches in, ids and pooled vectors out; hidden states live for one model call only.
 
-    Rows of an Arrow batch are taken in order of length, so that a model call pads little.
+    Rows of a run of `RUN_BYTES` are taken in order of length, so that a model call pads little.
     """
 
     def __init__(self, id_column, reader, model, pool, batch_size, pad_id, width):
@@ -217,9 +217,7 @@ class _Embedder:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forward, pool = resident(self.model), POOLS[self.pool]
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in byte_runs(batches, RUN_BYTES):
             values, starts, lengths, mask = self.reader(batch)
             order = np.argsort(lengths, kind="stable")
             pooled = []
