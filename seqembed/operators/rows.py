@@ -46,14 +46,17 @@ def drop_values(df: DataFrame, column: str, values: Sequence | DataFrame) -> Dat
     return df.filter(F.col(column).isNull() | ~F.col(column).isin(list(values)))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Repartition a file scan with fewer splits than there are task slots over all slots.
 
     Meant for costly work on a small input. A scan that fills the slots stays as it is, so what is
-    shuffled is less than one split per slot.
+    shuffled is less than one split per slot. With `rows` a task also gets about so many at most: narrow rows pack so
+    densely that one split can hold many millions of them. They are counted, so `df` is best a scan.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        wanted = max(wanted, -(-df.count() // rows))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def hash_split(df: DataFrame, n: int, key: str, name: str = "node") -> DataFrame:

@@ -28,9 +28,12 @@ LETTERS_SQL = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
 SEQUENCES_SQL = f"sequences AS (SELECT 'doc_' || doc_id AS seq_id, {LETTERS_SQL} AS sequence FROM documents)"
 
 
+COUNT_ROWS = 500_000  # a task adds up; some 150 bytes of memory each
+
+
 def raw_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Counts per line item: the supplier is the cell, the part the gene, the quantity the count."""
-    lines = spread(table(spark, folder, "lineitem").select("l_suppkey", "l_partkey", "l_quantity"))
+    lines = spread(table(spark, folder, "lineitem").select("l_suppkey", "l_partkey", "l_quantity"), COUNT_ROWS)
     return lines.select(
         F.col("l_suppkey").cast("string").alias("cell_id"),
         F.col("l_partkey").cast("string").alias("gene_id"), F.col("l_quantity").alias("count"))

@@ -130,3 +130,14 @@ def test_cap_keys(skewed):
 def test_spread_keeps_a_full_scan(spark):
     assert rows.spread(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
     assert rows.spread(spark.range(0, 100, 1, 2)).rdd.getNumPartitions() == 4
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, tmp_path):
+    """A split of narrow rows holds many; the partial sums of the cells hold one entry for each."""
+    from seqembed.operators.rows import spread
+    spark.range(20_000).coalesce(1).write.parquet(str(tmp_path / "narrow"))
+    scan = spark.read.parquet(str(tmp_path / "narrow"))
+    dealt = spread(scan, 500)
+    assert dealt.rdd.getNumPartitions() == 40 and dealt.count() == 20_000
+    assert dealt.groupBy(F.spark_partition_id()).count().selectExpr("max(count)").first()[0] <= 600
+    assert spread(scan, 10**6).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
