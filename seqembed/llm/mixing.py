@@ -11,10 +11,10 @@ as logits. The tables grow with the training bytes, from 5.8 million slots up to
 broadcast; beyond, contexts share slots. Word counts, behind the base score, grow without bound, as a table of Spark.
 
 A gate picks a set of weights: how far the word has come, and how often the two longest contexts have been seen
-before. The weighted sum of the logits is the logit of the mix. Weights start at `FIRST`, the same for all contexts, so
-nothing is learned from some of the training texts only; a caller may give `examples`, texts for a logistic regression
-in which each decision is left out of its own counts. In each text weights are learned, after 32 bytes, 64, 128 and so
-on up to every `BLOCK`, and a further adaptive map from the mixed logit to what really happened refines the outcome. Nothing carries
+before. The weighted sum of the logits is the logit of the mix. Weights start from a logistic regression on every decision
+of all training texts, one Newton step from `FIRST`, in which each decision is left out of its own counts; partitions
+send sums of a fixed size. In each text weights are then learned on, after 32 bytes, 64, 128 and so on up to every
+`BLOCK`, and a further adaptive map from the mixed logit to what really happened refines the outcome. Nothing carries
 over from one text to another, so scores do not depend on how rows are dealt out.
 
 The base score is that of single words with add-one smoothing; with `fold` they are compared with A-Z in lower case,
@@ -32,7 +32,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,7 @@ MERGE = 1 << 16
 FAN = 256
 DEPTHS, SEEN = 4, 4
 GATES = DEPTHS * SEEN * SEEN
-FIRST = 0.35
+FIRST = 0.3
 BLOCK = 4096
 SEGMENT = 1 << 18
 LEAD = 512
@@ -353,29 +353,66 @@ class _State:
         self.total = np.zeros(n)
 
 
-def first_weights(examples: list[bytes], trees: Trees, zeros: np.ndarray, ones: np.ndarray, shape: Shape) -> np.ndarray:
-    """Weights by gate: `FIRST`, or by Newton's steps a logistic regression on `examples`, each decision left out of its counts."""
+def curves(parts: list[Part], trees: Trees, zeros: np.ndarray, ones: np.ndarray, shape: Shape) -> np.ndarray:
+    """Sums by gate over all decisions, each left out of its counts: the curvature of the loss at `FIRST`, and its slope last."""
+    decisions = Decisions(parts, trees, shape)
+    y = decisions.outcome
+    sums = np.zeros((GATES, TABLES + 1, TABLES + 2))
+    if not len(y):
+        return sums
+    # Float32 on the way, as in scoring; the sums of a run of parts are added up in double precision.
+    one, x, seen = y.astype(np.float32), np.ones((TABLES + 1, len(y)), np.float32), []
+    for table, slots in enumerate(decisions.slots):
+        low, high = zeros[slots], ones[slots]
+        if table >= TABLES - 2:
+            seen.append(often(low + high - 1))
+        low += one - 1
+        high -= one
+        x[table] = _logit(np.maximum(low, 0, out=low), np.maximum(high, 0, out=high))
+    gates = gate_of(decisions.depth, *seen).astype(np.int16)
+    p = 1 / (1 + np.exp(-np.clip(x[:-1].sum(axis=0) * np.float32(FIRST), -30, 30)))
+    curve, slope = p * (1 - p), one - p
+    order = np.argsort(gates, kind="stable")
+    x, curve, slope = x[:, order], curve[order], slope[order]
+    ends = np.searchsorted(gates[order], np.arange(GATES + 1))
+    for gate, low, high in zip(range(GATES), ends[:-1], ends[1:]):
+        here = x[:, low:high]
+        sums[gate, :, :-1], sums[gate, :, -1] = (here * curve[low:high]) @ here.T, here @ slope[low:high]
+    return sums
+
+
+def moved(sums: np.ndarray) -> np.ndarray:
+    """Weights by gate, one Newton step from `FIRST`."""
     weights = np.full((GATES, TABLES + 1), FIRST)
     weights[:, TABLES] = 0
-    held: list[tuple] = []
-    for first in range(0, len(examples), 32):
-        decisions = Decisions([(example, 0, True) for example in examples[first:first + 32]], trees, shape)
-        y = decisions.outcome
-        inputs = [_logit(np.maximum(zeros[slots] - ~y, 0), np.maximum(ones[slots] - y, 0)) for slots in decisions.slots]
-        seen = [often(zeros[decisions.slots[t]] + ones[decisions.slots[t]] - 1) for t in (-2, -1)]
-        held.append((y, gate_of(decisions.depth, *seen).astype(np.int16), np.stack([*inputs, np.ones(len(y), np.float32)], axis=1)))
-    if not held:
-        return weights
-    y, gates, inputs = (np.concatenate(columns) for columns in zip(*held))
-    for gate in range(GATES):
-        here = gates == gate
-        x, t, w = inputs[here].astype(np.float64), y[here], weights[gate]
-        for _ in range(6):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            curve = (x * (p * (1 - p))[:, None]).T @ x + np.eye(TABLES + 1)
-            w = w + np.linalg.solve(curve, x.T @ (t - p) - (w - weights[gate]))
-        weights[gate] = w
-    return weights
+    return weights + np.linalg.solve(sums[:, :, :-1] + np.eye(TABLES + 1), sums[:, :, -1:])[:, :, 0]
+
+
+def first_weights(texts: list[bytes], trees: Trees, zeros: np.ndarray, ones: np.ndarray, shape: Shape) -> np.ndarray:
+    """Weights learned from texts that are at hand."""
+    return moved(sum(curves([(text, 0, True)], trees, zeros, ones, shape) for text in texts))
+
+
+class _Curves:
+    """Arrow batches of (text) to the sums of the partition (cell, value)."""
+
+    def __init__(self, counts, shape: Shape):
+        self.counts, self.shape = counts, shape
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, zeros, ones = self.counts.value
+        sums, held, size = np.zeros((GATES, TABLES + 1, TABLES + 2)), [], 0
+        for batch in pieces(batches, 1 << 20):
+            for text in texts_of(batch.column(0)):
+                for part in parts_of(text):
+                    held.append(part)
+                    size += len(part[0])
+                    if size >= SEGMENT // 4:  # runs that fit the caches
+                        sums += curves(held, trees, zeros, ones, self.shape)
+                        held, size = [], 0
+        if held:
+            sums += curves(held, trees, zeros, ones, self.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size, dtype=np.int32)), pa.array(sums.ravel())], names=["cell", "value"])
 
 
 class _Tokens:
@@ -423,7 +460,7 @@ class _Score:
                 names=["row", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "score", "rare"])
 
 
-def fit(training: DataFrame, tokens: DataFrame, examples: list[bytes]) -> Model:
+def fit(training: DataFrame, tokens: DataFrame) -> Model:
     """The model of the texts in `training`, whose only column is text; `tokens` are their counts."""
     follows = np.zeros(1 << 16, np.int64)
     for r in tokens.filter("kind = 1").collect():  # a row for each pair of bytes at most
@@ -435,12 +472,17 @@ def fit(training: DataFrame, tokens: DataFrame, examples: list[bytes]) -> Model:
     for r in merged(counts, training.rdd.getNumPartitions()).toLocalIterator():  # as many blocks as the tables have
         part = slice(r.block * MERGE, (r.block + 1) * MERGE)
         zeros[part], ones[part] = _unpacked(r.zeros), _unpacked(r.ones)
-    weights = first_weights(examples, trees, zeros, ones, shape)
+    shared = training.sparkSession.sparkContext.broadcast((trees, zeros, ones))
+    sums = np.zeros((GATES, TABLES + 1, TABLES + 2))
+    for r in training.mapInArrow(_Curves(shared, shape), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():
+        sums.flat[r.cell] = r.value  # as many rows as `sums` has cells
+    shared.unpersist()
+    weights = moved(sums)
     seen = often(zeros + ones)
     return Model(trees, _logit(zeros, ones), seen, weights, shape)
 
 
-def report(docs: DataFrame, modulus: int = 7, held: int = 2, fold: bool = False, examples: Sequence[bytes] = ()) -> DataFrame:
+def report(docs: DataFrame, modulus: int = 7, held: int = 2, fold: bool = False) -> DataFrame:
     """Scores of every row of `docs`, learned from those whose id's crc32 modulo `modulus` is not `held`."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -456,7 +498,7 @@ def report(docs: DataFrame, modulus: int = 7, held: int = 2, fold: bool = False,
     keys = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], np.log10(top["n"].to_numpy(np.float64)[order] + 1)))
-    model = spark.sparkContext.broadcast(fit(training, tokens, list(examples)))
+    model = spark.sparkContext.broadcast(fit(training, tokens))
     numbered = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     scored = stage(numbered.mapInArrow(_Score(model, frequent, fold), T.StructType([
         T.StructField("row", T.LongType()), source.schema["doc_id"], T.StructField("held_out", T.BooleanType()),

@@ -210,12 +210,18 @@ def test_tables_grow_and_merge_in_levels(spark):
         assert set(mixing._unpacked(row.ones).tolist()) == {70}
 
 
-def test_nothing_is_learned_from_some_texts_only(spark, monkeypatch):
-    """Counts are of all training texts, and weights start the same whatever the texts."""
-    asked, plain = [], mixing.first_weights
-    monkeypatch.setattr(mixing, "first_weights", lambda examples, *rest: asked.append((len(examples), plain(examples, *rest))) or asked[-1][1])
-    docs = [(d, text.decode()) for d, text in enumerate(prose(6, 40))]
-    rows = mixing.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert len(rows) == 40 and all(r.score < 0 for r in rows)
-    (number, weights), = asked
-    assert number == 0 and (weights[:, :-1] == mixing.FIRST).all() and (weights[:, -1] == 0).all()
+def test_first_weights_are_learned_from_all_texts(spark, monkeypatch):
+    """Parts are summed to what all texts at once give, though there are more of them than any sample."""
+    texts = prose(6, 400)
+    learned, plain = [], mixing.moved
+    monkeypatch.setattr(mixing, "moved", lambda sums: learned.append(plain(sums)) or learned[-1])
+    docs = [(7 * d, text.decode()) for d, text in enumerate(texts)]
+    training = [text.encode() for d, text in docs if not held(d)]
+    assert len(mixing.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == 400
+    _, zeros, ones = trained(training)
+    follows = np.zeros(1 << 16, np.int64)
+    for text in training:
+        flat = np.frombuffer(b"\xff" + text + b"\xff", np.uint8).astype(np.int64)
+        follows += np.bincount(flat[:-1] << 8 | flat[1:], minlength=1 << 16)
+    want = plain(mixing.curves([(text, 0, True) for text in training], mixing.Trees(follows), zeros, ones, mixing.Shape()))
+    assert len(training) > 300 and learned[0] == pytest.approx(want, abs=1e-3)
