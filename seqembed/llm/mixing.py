@@ -360,7 +360,7 @@ def curves(parts: list[Part], trees: Trees, zeros: np.ndarray, ones: np.ndarray,
     sums = np.zeros((GATES, TABLES + 1, TABLES + 2))
     if not len(y):
         return sums
-    # Float32 on the way, as in scoring; the sums of a run of parts are added up in double precision.
+    # Terms are whole multiples of small powers of two, so their sums are the same however rows are dealt out.
     one, x, seen = y.astype(np.float32), np.ones((TABLES + 1, len(y)), np.float32), []
     for table, slots in enumerate(decisions.slots):
         low, high = zeros[slots], ones[slots]
@@ -371,12 +371,12 @@ def curves(parts: list[Part], trees: Trees, zeros: np.ndarray, ones: np.ndarray,
         x[table] = _logit(np.maximum(low, 0, out=low), np.maximum(high, 0, out=high))
     gates = gate_of(decisions.depth, *seen).astype(np.int16)
     p = 1 / (1 + np.exp(-np.clip(x[:-1].sum(axis=0) * np.float32(FIRST), -30, 30)))
-    curve, slope = p * (1 - p), one - p
+    x, curve, slope = np.round(x * 64) / 64, np.round(p * (1 - p) * 1024) / 1024, np.round((one - p) * 1024) / 1024
     order = np.argsort(gates, kind="stable")
     x, curve, slope = x[:, order], curve[order], slope[order]
     ends = np.searchsorted(gates[order], np.arange(GATES + 1))
     for gate, low, high in zip(range(GATES), ends[:-1], ends[1:]):
-        here = x[:, low:high]
+        here = x[:, low:high].astype(np.float64)
         sums[gate, :, :-1], sums[gate, :, -1] = (here * curve[low:high]) @ here.T, here @ slope[low:high]
     return sums
 
