@@ -15,7 +15,8 @@ before. The weighted sum of the logits is the logit of the mix. Weights start fr
 of all training texts, one Newton step from `FIRST`, in which each decision is left out of its own counts; partitions
 send sums of a fixed size. In each text weights are then learned on, after 32 bytes, 64, 128 and so on up to every
 `BLOCK`, and a further adaptive map from the mixed logit to what really happened refines the outcome. Nothing carries
-over from one text to another, so scores do not depend on how rows are dealt out.
+over from one text to another, so scores do not depend on how rows are dealt out. Texts are worked off in runs whose
+decisions fit the caches, and a slot's logit and how often it has been seen are read at once.
 
 The base score is that of single words with add-one smoothing; with `fold` they are compared with A-Z in lower case,
 while the model always scores the bytes as they are. Words are counted by 64 bits of hash; the `FREQUENT`
@@ -33,6 +34,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,7 @@ DEPTHS, SEEN = 4, 4
 GATES = DEPTHS * SEEN * SEEN
 FIRST = 0.3
 BLOCK = 4096
+RUN, CACHED = 8192, 1 << 15  # bytes of which what is known of decisions, and of contexts, fits the caches
 SEGMENT = 1 << 18
 LEAD = 512
 _STEPS = np.array([0, *(1 << np.arange(5, 12))])  # where the first steps of a text begin, up to BLOCK
@@ -61,6 +64,7 @@ FREQUENT = 1 << 18
 END = 255
 _NODE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
+_SMALL, _LARGE = np.float32(2.0 ** -95), np.float32(2.0 ** 95)  # counts of 31 bits give logits of 2^-31 to 2^5
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32, END]] = True
 
@@ -81,6 +85,15 @@ class Trees:
         self.lengths = np.array(lengths)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.nodes, self.bits = np.array(nodes, np.uint16), np.array(bits, bool)
+        self.marks = self.nodes.astype(np.uint64) * _NODE * _SPREAD
+
+    def decisions(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the given bytes each decision belongs to, the mark of its node, and its outcome."""
+        lengths = self.lengths.take(pair)
+        byte = np.repeat(np.arange(len(pair)), lengths)
+        index = (self.starts.take(pair) - (np.cumsum(lengths) - lengths)).take(byte)
+        index += np.arange(len(index))
+        return byte, self.marks.take(index), self.bits.take(index)
 
     @staticmethod
     def _paths(counts: list[int]) -> list[list[tuple[int, int]]]:
@@ -129,33 +142,52 @@ class Contexts:
     """
 
     def __init__(self, parts: list[Part]):
+        columns = []
+        begin = size = 0
+        for i, (data, _, _) in enumerate(parts, 1):
+            size += len(data) + 1
+            if size >= CACHED or i == len(parts):
+                columns.append(self._columns(parts[begin:i], begin))
+                begin, size = i, 0
+        columns = columns[0] if len(columns) == 1 else [np.concatenate(column) for column in zip(*columns or [self._columns([], 0)])]
+        self.pair, self.part, self.place, self.depth, *self.hashes = columns
+
+    @staticmethod
+    def _columns(parts: list[Part], number: int) -> list[np.ndarray]:
         # An end mark before the first part and after each.
         flat = np.frombuffer(b"\xff".join([b"", *(data for data, _, _ in parts), b""]), np.uint8)
         sizes = np.array([len(data) + 1 for data, _, _ in parts], np.int64)
         first = np.cumsum(sizes) - sizes
         one = flat[:-1]
-        two = np.where(one == END, END, np.concatenate([[END], flat[:-2]])).astype(np.uint8)
-        three = np.where(two == END, END, np.concatenate([[END, END], flat[:-3]])[:len(two)]).astype(np.uint8)
-        place = np.arange(len(one))
-        start = np.maximum.accumulate(np.where(_SPACES[one], place, 0))  # where the word began
+        two, three = np.full((2, len(one)), END, np.uint8)
+        two[1:], three[2:] = flat[:-2], flat[:-3]
+        two[one == END] = END
+        three[two == END] = END
+        place = np.arange(len(one), dtype=np.int32)
+        space = _SPACES[flat]
+        start = np.maximum.accumulate(np.where(space[:-1], place, 0))  # where the word began
         up, down = _powers[0].take(len(flat) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((one.astype(np.uint64) + np.uint64(1)) * up[:len(one)])])
-        word = (sums[place + 1] - sums[start + 1]) * down[start]
+        sums = np.zeros(len(one) + 1, np.uint64)
+        np.cumsum((one.astype(np.uint64) + np.uint64(1)) * up[:len(one)], out=sums[1:])
+        word = sums[1:] - sums[1:].take(start)
+        word *= down.take(start)
         depth = place - start
         so_far = _mix(word + depth.astype(np.uint64))
         # The word before, in the same part, is the word so far where it ended.
-        last = np.maximum.accumulate(np.where(~_SPACES[one] & _SPACES[flat[1:]], place, -1))[start]
-        before = np.where(last >= np.repeat(first, sizes), so_far[np.maximum(last, 0)], np.uint64(0))
+        last = np.maximum.accumulate(np.where(~space[:-1] & space[1:], place, -1)).take(start)
+        before = so_far.take(np.maximum(last, 0))
+        before *= last >= np.repeat(first, sizes)
         wide = one.astype(np.uint64) | two.astype(np.uint64) << np.uint64(8)
-        part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
         inside = place - np.repeat(first + [lead for _, lead, _ in parts], sizes)
+        columns = [one.astype(np.int64) << 8 | flat[1:], np.repeat(np.arange(number, number + len(parts), dtype=np.int32), sizes), inside,
+                   np.minimum((depth + 1) // 2, DEPTHS - 1),
+                   *((context * _SPREAD) & _HIGH
+                     for context in (wide, wide | three.astype(np.uint64) << np.uint64(16), so_far, _mix(so_far + np.uint64(3) * before)))]
+        if all(whole and not lead for _, lead, whole in parts):
+            return columns
         wanted = inside >= 0
         wanted[(first + sizes - 1)[[not whole for _, _, whole in parts]]] = False
-        self.pair = (one.astype(np.int64) << 8 | flat[1:])[wanted]
-        self.part, self.place = part[wanted], inside[wanted]
-        self.depth = np.minimum((depth[wanted] + 1) // 2, DEPTHS - 1).astype(np.int32)
-        self.hashes = [(context[wanted] * _SPREAD) & _HIGH
-                       for context in (wide, wide | three.astype(np.uint64) << np.uint64(16), so_far, _mix(so_far + np.uint64(3) * before))]
+        return [column[wanted] for column in columns]
 
 
 class Shape:
@@ -170,36 +202,26 @@ class Shape:
         return cls(max(0, min(MOST_GROWTH, int(training_bytes).bit_length() - FIRST_GROWTH)))
 
     def slots(self, table: int, hashes: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Slots of contexts and nodes; `hashes` is overwritten."""
-        hashes += nodes
-        hashes *= _SPREAD
-        hashes >>= np.uint64(64 - self.bits[table])
-        return hashes.astype(np.int32) + np.int32(self.offsets[table])
+        """Slots of contexts and nodes."""
+        return self.places(table, hashes * _SPREAD, nodes * _SPREAD)
 
+    def places(self, table: int, spread: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Slots of contexts and nodes that are multiplied by `_SPREAD` already; `spread` is overwritten."""
+        spread += marks
+        spread >>= np.uint64(64 - self.bits[table])
+        slots = spread.view(np.int64)
+        slots += self.offsets[table]
+        return slots
 
-class Decisions:
-    """All decisions of a run of parts: slots by table, outcomes and depths of the word, and their part.
 
-    They are in the order in which parts are worked off: the first step of each, then the second of each, and so on.
-    Step i is the decisions from `steps[i]` to `steps[i + 1]`. Parts that go on with a text have long steps from the start.
-    """
+class Decisions:
+    """All decisions of a run of parts: slots by table, outcomes and depths of the word."""
 
-    def __init__(self, parts: list[Part], trees: Trees, shape: Shape, going_on: bool = False):
+    def __init__(self, parts: list[Part], trees: Trees, shape: Shape):
         found = Contexts(parts)
-        step = found.place // BLOCK
-        if not going_on:
-            step = np.where(step > 0, step + len(_STEPS) - 1, np.searchsorted(_STEPS, found.place, "right") - 1)
-        order = np.argsort(step, kind="stable")
-        pair = found.pair[order]
-        lengths = trees.lengths[pair]
-        index = spans(trees.starts[pair], lengths)
-        node = trees.nodes[index].astype(np.uint64) * _NODE
-        self.outcome = trees.bits[index]
-        byte = np.repeat(order, lengths)
-        self.depth, self.part = found.depth[byte], found.part[byte]
-        self.slots = [shape.slots(table, hashes[byte], node) for table, hashes in enumerate(found.hashes)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        self.steps = ends[np.searchsorted(step[order], np.arange(step.max() + 2 if len(step) else 1))]
+        byte, marks, self.outcome = trees.decisions(found.pair)
+        self.depth = found.depth.take(byte)
+        self.slots = [shape.places(table, (hashes * _SPREAD).take(byte), marks) for table, hashes in enumerate(found.hashes)]
 
 
 def often(counts: np.ndarray) -> np.ndarray:
@@ -245,11 +267,14 @@ class _Count:
         found = Contexts(parts)
         for table, hashes in enumerate(found.hashes):
             keys, counts = np.unique(hashes | found.pair.astype(np.uint64), return_counts=True)
-            pair = (keys & ~_HIGH).astype(np.int64)
-            lengths = trees.lengths[pair]
-            index = spans(trees.starts[pair], lengths)
-            slots = self.shape.slots(table, np.repeat(keys & _HIGH, lengths), trees.nodes[index].astype(np.uint64) * _NODE)
-            np.add.at(pairs, slots * np.int32(2) + trees.bits[index], np.repeat(counts.astype(np.int32), lengths))
+            counts = counts.astype(np.int32)
+            for low in range(0, len(keys), RUN):
+                run = keys[low:low + RUN]
+                key, marks, bits = trees.decisions((run & ~_HIGH).view(np.int64))
+                slots = self.shape.places(table, ((run & _HIGH) * _SPREAD).take(key), marks)
+                slots <<= 1
+                slots += bits
+                np.add.at(pairs, slots, counts[low:low + RUN].take(key))
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -286,98 +311,184 @@ def _logit(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)), dtype=np.float32)
 
 
+def _marked(logits: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Logits with a class of `SEEN`, so both are read at once: it takes two bits of the exponent that logits of counts never need."""
+    return (logits * _SMALL).view(np.uint32) | seen.astype(np.uint32) << np.uint32(29)
+
+
+def _unmarked(marked: np.ndarray) -> np.ndarray:
+    return (marked & np.uint32(0x9FFFFFFF)).view(np.float32) * _LARGE
+
+
+def _marks(marked: np.ndarray) -> np.ndarray:
+    return marked >> np.uint32(29) & np.uint32(SEEN - 1)
+
+
 class Model:
     """Trees, logits of all slots and how often they have been seen, and first weights."""
 
     def __init__(self, trees: Trees, logits: np.ndarray, seen: np.ndarray, weights: np.ndarray, shape: Shape = Shape()):  # noqa: B008
-        self.trees, self.logits, self.seen, self.weights, self.shape = trees, logits, seen, weights, shape
+        self.trees, self.marked, self.weights, self.shape = trees, _marked(logits, seen), weights, shape
+
+    @cached_property
+    def logits(self) -> np.ndarray:
+        return _unmarked(self.marked)
+
+    @cached_property
+    def seen(self) -> np.ndarray:
+        return _marks(self.marked).astype(np.uint8)
 
     def score(self, column: pa.Array) -> np.ndarray:
         """Natural logarithm of the probability of each text."""
-        state = _State(self.weights, len(column))
-        ways = [parts_of(text) for text in texts_of(column)]
+        data = texts_of(column)
+        order = sorted(range(len(data)), key=lambda text: -len(data[text]))  # texts that end in the same step are neighbours
+        state = _State(self.weights, len(data))
+        ways = [parts_of(data[text]) for text in order]
         texts, going_on = np.arange(len(ways)), False
         while len(texts):
             parts = [next(ways[text]) for text in texts]
             self._advance(state, texts, parts, going_on)
             texts, going_on = texts[[not whole for _, _, whole in parts]], True
-        return state.total
+        total = np.empty(len(data))
+        total[order] = state.total
+        return total
 
     def _advance(self, state: _State, texts: np.ndarray, parts: list[Part], going_on: bool) -> None:
-        """Score the next part of each text, and learn from it step by step."""
-        decisions = Decisions(parts, self.trees, self.shape, going_on)
-        n = len(state.total)
-        texts = texts[decisions.part]
-        inputs = [self.logits[slots] for slots in decisions.slots]
-        rows = gate_of(decisions.depth, self.seen[decisions.slots[-2]], self.seen[decisions.slots[-1]]) + texts * GATES
-        weights = state.weights
-        for low, high in zip(decisions.steps[:-1].tolist(), decisions.steps[1:].tolist()):
-            if low == high:
-                continue
-            text, y, row = texts[low:high], decisions.outcome[low:high], rows[low:high]
-            x = [column[low:high] for column in inputs]
-            logit = weights[TABLES][row]
-            for w, column in zip(weights, x):
-                logit += w[row] * column
-            np.clip(logit, -12, 12, out=logit)
-            p = 1 / (1 + np.exp(-logit))
-            cell = np.clip(logit, -7.999, 7.999) * 2 + 16
-            left = cell.astype(np.int32)
-            right = cell - left
-            left += text.astype(np.int32) * 33
-            refined = ((state.prior * 24 + state.happened) / (24 + state.seen)).astype(np.float32)
-            value = refined[left]
-            value += (refined[left + 1] - value) * right
-            final = (value + p) * np.float32(0.5)
-            chance = np.maximum(np.where(y, final, 1 - final), np.float32(1e-6))
-            state.total += np.bincount(text, np.log(chance), n)
-            # Learn from the step.
-            error = y - p
-            count = np.bincount(row, minlength=n * GATES)
-            rate = RATE / np.sqrt(np.maximum(count, 1))
-            for w, column in zip(weights, x):
-                w += (rate * np.bincount(row, error * column, n * GATES)).astype(np.float32)
-            weights[TABLES] += (rate * np.bincount(row, error, n * GATES)).astype(np.float32)
-            left += right >= 0.5
-            state.seen += np.bincount(left, minlength=n * 33)
-            state.happened += np.bincount(left, y, n * 33)
+        """Score the next part of each text, and learn from it step by step, in runs of texts that fit the caches.
+
+        Parts that go on with a text have long steps from the start. Nothing is learned from the last step of a text.
+        """
+        found = Contexts(parts)
+        sizes = np.bincount(found.part, minlength=len(parts))
+        first = np.cumsum(sizes) - sizes
+        whole = np.array([whole for _, _, whole in parts])
+        spread = [hashes * _SPREAD for hashes in found.hashes]
+        low, most = 0, sizes.max()
+        while low < most:
+            high = low + BLOCK if going_on or low >= BLOCK else int(_STEPS[_STEPS > low].min(initial=BLOCK))
+            here = np.flatnonzero(sizes > low)
+            many, ends = np.minimum(sizes[here], high) - low, whole[here] & (sizes[here] <= high)
+            for begin, end in _runs(many, ends):
+                place = spans(first[here[begin:end]] + low, many[begin:end])
+                self._step(state, texts[here[begin:end]], many[begin:end], found.pair.take(place), found.depth.take(place),
+                           [hashes.take(place) for hashes in spread], not ends[begin])
+            low = high
+
+    def _step(self, state: _State, texts: np.ndarray, many: np.ndarray, pair: np.ndarray, depth: np.ndarray,
+              spread: list[np.ndarray], learn: bool) -> None:
+        """Score the next bytes of some texts, so many of each, with the weights as they are, and then learn from them."""
+        n = len(texts)
+        byte, marks, y = self.trees.decisions(pair)
+        text = np.repeat(np.arange(n), many)
+        starts = np.searchsorted(byte, np.cumsum(many) - many)
+        marked = [self.marked.take(self.shape.places(table, hashes.take(byte), marks)) for table, hashes in enumerate(spread)]
+        row = (depth * (SEEN * SEEN) + text * GATES).take(byte)
+        row += _marks(marked[-2]) * np.uint32(SEEN) + _marks(marked[-1])
+        x = [_unmarked(column) for column in marked]
+        weights = [w[texts] for w in state.weights]
+        flat = [w.reshape(-1) for w in weights]
+        logit = flat[TABLES].take(row)
+        for w, column in zip(flat, x):
+            logit += w.take(row) * column
+        np.clip(logit, -12, 12, out=logit)
+        p = 1 / (1 + np.exp(-logit))
+        cell = np.clip(logit, -7.999, 7.999) * 2 + 16
+        left = cell.astype(np.int64)
+        right = cell - left
+        left += (text * 33).take(byte)
+        refined = ((state.prior * 24 + state.happened[texts]) / (24 + state.seen[texts])).astype(np.float32).reshape(-1)
+        value = refined.take(left)
+        value += (refined.take(left + 1) - value) * right
+        final = (value + p) * np.float32(0.5)
+        chance = np.maximum(np.abs(final - ~y), np.float32(1e-6))
+        state.total[texts] += np.add.reduceat(np.log(chance), starts, dtype=np.float64)
+        if not learn:
+            return
+        error = y - p
+        rate = RATE / np.sqrt(np.maximum(np.bincount(row, minlength=n * GATES), 1))
+        for w, column in zip(flat, x):
+            w += (rate * np.bincount(row, error * column, n * GATES)).astype(np.float32)
+        flat[TABLES] += (rate * np.bincount(row, error, n * GATES)).astype(np.float32)
+        for old, new in zip(state.weights, weights):
+            old[texts] = new
+        left += right >= 0.5
+        state.seen[texts] += np.bincount(left, minlength=n * 33).reshape(n, 33)
+        state.happened[texts] += np.bincount(left, y, n * 33).reshape(n, 33)
+
+
+def _runs(many: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts with `RUN` bytes or few more in all, of which either all end or none."""
+    begin = size = 0
+    for i, (n, last) in enumerate(zip(many.tolist(), ends.tolist())):
+        if i > begin and (size >= RUN or last != ends[begin]):
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(many):
+        yield begin, len(many)
 
 
 class _State:
     """What is learned in each text: weights by gate and table, and the map of outcomes; and its score so far."""
 
     def __init__(self, weights: np.ndarray, n: int):
-        self.weights = [np.tile(w.astype(np.float32), n) for w in weights.T]
-        self.prior = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, 33))), n)
-        self.seen, self.happened = np.zeros(n * 33), np.zeros(n * 33)
+        self.weights = [np.tile(w.astype(np.float32), (n, 1)) for w in weights.T]
+        self.prior = 1 / (1 + np.exp(-np.linspace(-8, 8, 33)))
+        self.seen, self.happened = np.zeros((n, 33)), np.zeros((n, 33))
         self.total = np.zeros(n)
 
 
+def left_out(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Logits of a slot without one zero, and without one of its ones, marked with how often it has been seen then, by slot."""
+    out = np.empty((len(zeros), 2), np.uint32)
+    for low in range(0, len(zeros), MERGE):
+        part = slice(low, low + MERGE)
+        seen = often(zeros[part] + ones[part] - 1)
+        out[part, 0] = _marked(_logit(np.maximum(zeros[part] - 1, 0), ones[part]), seen)
+        out[part, 1] = _marked(_logit(zeros[part], np.maximum(ones[part] - 1, 0)), seen)
+    return out.reshape(-1)
+
+
 def curves(parts: list[Part], trees: Trees, zeros: np.ndarray, ones: np.ndarray, shape: Shape) -> np.ndarray:
     """Sums by gate over all decisions, each left out of its counts: the curvature of the loss at `FIRST`, and its slope last."""
+    return _curves(parts, trees, left_out(zeros, ones), shape)
+
+
+def _curves(parts: list[Part], trees: Trees, logits: np.ndarray, shape: Shape) -> np.ndarray:
+    """Sums of `curves`, from logits of `left_out`."""
     decisions = Decisions(parts, trees, shape)
     y = decisions.outcome
     sums = np.zeros((GATES, TABLES + 1, TABLES + 2))
     if not len(y):
         return sums
     # Terms are whole multiples of small powers of two, so their sums are the same however rows are dealt out.
-    one, x, seen = y.astype(np.float32), np.ones((TABLES + 1, len(y)), np.float32), []
-    for table, slots in enumerate(decisions.slots):
-        low, high = zeros[slots], ones[slots]
-        if table >= TABLES - 2:
-            seen.append(often(low + high - 1))
-        low += one - 1
-        high -= one
-        x[table] = _logit(np.maximum(low, 0, out=low), np.maximum(high, 0, out=high))
-    gates = gate_of(decisions.depth, *seen).astype(np.int16)
-    p = 1 / (1 + np.exp(-np.clip(x[:-1].sum(axis=0) * np.float32(FIRST), -30, 30)))
-    x, curve, slope = np.round(x * 64) / 64, np.round(p * (1 - p) * 1024) / 1024, np.round((one - p) * 1024) / 1024
+    x, seen, one = [], [], y.astype(np.int64)
+    for slots in decisions.slots:
+        slots <<= 1
+        slots += one
+        marked = logits.take(slots)
+        x.append(_unmarked(marked))
+        seen.append(_marks(marked))
+    gates = gate_of(decisions.depth, *seen[-2:]).astype(np.uint8)
+    logit = x[0] + x[1]
+    for column in x[2:TABLES]:
+        logit += column
+    p = 1 / (1 + np.exp(-np.clip(logit * np.float32(FIRST), -30, 30)))
     order = np.argsort(gates, kind="stable")
-    x, curve, slope = x[:, order], curve[order], slope[order]
-    ends = np.searchsorted(gates[order], np.arange(GATES + 1))
-    for gate, low, high in zip(range(GATES), ends[:-1], ends[1:]):
-        here = x[:, low:high].astype(np.float64)
-        sums[gate, :, :-1], sums[gate, :, -1] = (here * curve[low:high]) @ here.T, here @ slope[low:high]
+    ends = np.cumsum(np.bincount(gates, minlength=GATES)).tolist()
+    # Inputs, and inputs by curvature with the slope, in the order of the gates, as whole numbers.
+    left, right = np.empty((2, TABLES + 2, len(y)))
+    for row, column in zip(left, x):
+        row[:] = np.rint(column.take(order) * np.float32(64))
+    left[TABLES] = 64
+    right[-1] = np.rint((p * (1 - p)).take(order) * np.float32(1024))
+    np.multiply(left[:-1], right[-1], out=right[:-1])
+    right[-1] = np.rint((y - p).take(order) * np.float32(1024))
+    for gate, low, high in zip(range(GATES), [0, *ends], ends):
+        if low < high:
+            sums[gate] = left[:-1, low:high] @ right[:, low:high].T
+    sums[:, :, :-1] /= 64 * 64 * 1024
+    sums[:, :, -1] /= 64 * 1024
     return sums
 
 
@@ -396,22 +507,22 @@ def first_weights(texts: list[bytes], trees: Trees, zeros: np.ndarray, ones: np.
 class _Curves:
     """Arrow batches of (text) to the sums of the partition (cell, value)."""
 
-    def __init__(self, counts, shape: Shape):
-        self.counts, self.shape = counts, shape
+    def __init__(self, known, shape: Shape):
+        self.known, self.shape = known, shape
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, zeros, ones = self.counts.value
+        trees, logits = self.known.value
         sums, held, size = np.zeros((GATES, TABLES + 1, TABLES + 2)), [], 0
         for batch in pieces(batches, 1 << 20):
             for text in texts_of(batch.column(0)):
                 for part in parts_of(text):
                     held.append(part)
                     size += len(part[0])
-                    if size >= SEGMENT // 4:  # runs that fit the caches
-                        sums += curves(held, trees, zeros, ones, self.shape)
+                    if size >= 2 * RUN:
+                        sums += _curves(held, trees, logits, self.shape)
                         held, size = [], 0
         if held:
-            sums += curves(held, trees, zeros, ones, self.shape)
+            sums += _curves(held, trees, logits, self.shape)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size, dtype=np.int32)), pa.array(sums.ravel())], names=["cell", "value"])
 
 
@@ -472,7 +583,7 @@ def fit(training: DataFrame, tokens: DataFrame) -> Model:
     for r in merged(counts, training.rdd.getNumPartitions()).toLocalIterator():  # as many blocks as the tables have
         part = slice(r.block * MERGE, (r.block + 1) * MERGE)
         zeros[part], ones[part] = _unpacked(r.zeros), _unpacked(r.ones)
-    shared = training.sparkSession.sparkContext.broadcast((trees, zeros, ones))
+    shared = training.sparkSession.sparkContext.broadcast((trees, left_out(zeros, ones)))
     sums = np.zeros((GATES, TABLES + 1, TABLES + 2))
     for r in training.mapInArrow(_Curves(shared, shape), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():
         sums.flat[r.cell] = r.value  # as many rows as `sums` has cells

@@ -225,3 +225,49 @@ def test_first_weights_are_learned_from_all_texts(spark, monkeypatch):
         follows += np.bincount(flat[:-1] << 8 | flat[1:], minlength=1 << 16)
     want = plain(mixing.curves([(text, 0, True) for text in training], mixing.Trees(follows), zeros, ones, mixing.Shape()))
     assert len(training) > 300 and learned[0] == pytest.approx(want, abs=1e-3)
+
+
+def test_scoring_holds_the_decisions_of_a_run_at_a_time():
+    """Many short texts need little more than their contexts, not arrays of all their decisions."""
+    model, _, _ = trained(prose(1, 20))
+    texts = pa.array(prose(8, 1000), pa.binary())
+    size = sum(len(t.as_py()) for t in texts)
+    assert size > 250_000
+    model.score(texts[:10])
+    tracemalloc.start()
+    model.score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * size
+
+
+def test_logits_and_how_often_are_kept_exactly_in_one_number():
+    draw = np.random.default_rng(2)
+    zeros, ones = ((draw.integers(0, 2**31, 4000) >> draw.integers(0, 32, 4000)).astype(np.float32) for _ in range(2))
+    zeros[:200], ones[100:300] = 0, 0
+    logits, seen = mixing._logit(zeros, ones), mixing.often(zeros + ones)
+    marked = mixing._marked(logits, seen)
+    assert marked.nbytes == logits.nbytes and (mixing._unmarked(marked) == logits).all() and (mixing._marks(marked) == seen).all()
+    out = mixing.left_out(zeros, ones).reshape(-1, 2)
+    for outcome, (low, high) in enumerate([(np.maximum(zeros - 1, 0), ones), (zeros, np.maximum(ones - 1, 0))]):
+        assert (mixing._unmarked(out[:, outcome].copy()) == mixing._logit(low, high)).all()
+        assert (mixing._marks(out[:, outcome]) == mixing.often(zeros + ones - 1)).all()
+
+
+def test_sums_of_the_fit_against_plain_ones():
+    texts = prose(7, 12)
+    model, zeros, ones = trained(texts)
+    want = np.zeros((mixing.GATES, mixing.TABLES + 1, mixing.TABLES + 2))
+    for text in texts:
+        decisions = mixing.Decisions([(text, 0, True)], model.trees, model.shape)
+        for i, y in enumerate(decisions.outcome.tolist()):
+            at = [int(slots[i]) for slots in decisions.slots]
+            low, high = ([np.float32(max(float(n[a]) - (y == one), 0)) for a in at] for n, one in ((zeros, False), (ones, True)))
+            gate = mixing.gate_of(int(decisions.depth[i]), *(int(mixing.often(np.float32(zeros[a] + ones[a] - 1))) for a in at[-2:]))
+            x = mixing._logit(np.array(low), np.array(high))
+            p = 1 / (1 + np.exp(-np.clip((x[0] + x[1] + x[2] + x[3]) * np.float32(mixing.FIRST), -30, 30)))
+            x = np.array([*(np.round(x * 64) / 64), 1], np.float64)
+            want[gate, :, :-1] += np.outer(x, x) * float(np.round(p * (1 - p) * 1024) / 1024)
+            want[gate, :, -1] += x * float(np.round((np.float32(y) - p) * 1024) / 1024)
+    got = mixing.curves([(text, 0, True) for text in texts], model.trees, zeros, ones, model.shape)
+    assert got == pytest.approx(want, rel=1e-6, abs=0.05)
