@@ -138,7 +138,8 @@ def texts_of(column: pa.Array) -> list[bytes]:
 class Contexts:
     """Hashed contexts, last and next byte, depth of the word, part and place of every byte to predict.
 
-    A context takes the upper 48 bits of a word whose lower 16 are left for the last and the next byte.
+    A context takes the upper 48 bits of a word whose lower 16 are left for the last and the next byte. `four` has the
+    last three bytes and the next one, unhashed.
     """
 
     def __init__(self, parts: list[Part]):
@@ -150,7 +151,7 @@ class Contexts:
                 columns.append(self._columns(parts[begin:i], begin))
                 begin, size = i, 0
         columns = columns[0] if len(columns) == 1 else [np.concatenate(column) for column in zip(*columns or [self._columns([], 0)])]
-        self.pair, self.part, self.place, self.depth, *self.hashes = columns
+        self.pair, self.part, self.place, self.depth, self.four, *self.hashes = columns
 
     @staticmethod
     def _columns(parts: list[Part], number: int) -> list[np.ndarray]:
@@ -179,8 +180,10 @@ class Contexts:
         before *= last >= np.repeat(first, sizes)
         wide = one.astype(np.uint64) | two.astype(np.uint64) << np.uint64(8)
         inside = place - np.repeat(first + [lead for _, lead, _ in parts], sizes)
-        columns = [one.astype(np.int64) << 8 | flat[1:], np.repeat(np.arange(number, number + len(parts), dtype=np.int32), sizes), inside,
+        pair = one.astype(np.uint32) << np.uint32(8) | flat[1:]
+        columns = [pair.astype(np.int64), np.repeat(np.arange(number, number + len(parts), dtype=np.int32), sizes), inside,
                    np.minimum((depth + 1) // 2, DEPTHS - 1),
+                   pair | two.astype(np.uint32) << np.uint32(16) | three.astype(np.uint32) << np.uint32(24),
                    *((context * _SPREAD) & _HIGH
                      for context in (wide, wide | three.astype(np.uint64) << np.uint64(16), so_far, _mix(so_far + np.uint64(3) * before)))]
         if all(whole and not lead for _, lead, whole in parts):
@@ -265,25 +268,36 @@ class _Count:
     def _add(self, pairs: np.ndarray, parts: list[Part], trees: Trees) -> None:
         """Count each different context and byte once, with how often it came."""
         found = Contexts(parts)
-        for table, hashes in enumerate(found.hashes):
-            keys, counts = np.unique(hashes | found.pair.astype(np.uint64), return_counts=True)
-            counts = counts.astype(np.int32)
-            for low in range(0, len(keys), RUN):
-                run = keys[low:low + RUN]
-                key, marks, bits = trees.decisions((run & ~_HIGH).view(np.int64))
-                slots = self.shape.places(table, ((run & _HIGH) * _SPREAD).take(key), marks)
-                slots <<= 1
-                slots += bits
-                np.add.at(pairs, slots, counts[low:low + RUN].take(key))
+        keys, counts = np.unique(found.four, return_counts=True)
+        pair, three = (keys & np.uint32(0xFFFF)).astype(np.int64), keys.astype(np.uint64) >> np.uint64(8)
+        for table, context in ((0, three & np.uint64(0xFFFF)), (1, three)):
+            self._count(pairs, table, (context * _SPREAD) & _HIGH, pair, counts, trees)
+        for table in range(2, TABLES):
+            keys, counts = np.unique(found.hashes[table] | found.pair.view(np.uint64), return_counts=True)
+            self._count(pairs, table, keys & _HIGH, (keys & ~_HIGH).view(np.int64), counts, trees)
+
+    def _count(self, pairs: np.ndarray, table: int, hashes: np.ndarray, pair: np.ndarray, counts: np.ndarray, trees: Trees) -> None:
+        spread, counts = hashes * _SPREAD, counts.astype(np.int32)
+        for low in range(0, len(pair), RUN):
+            run = slice(low, low + RUN)
+            key, nodes, bits = trees.decisions(pair[run])
+            slots = self.shape.places(table, spread[run].take(key), nodes)
+            slots <<= 1
+            slots += bits
+            np.add.at(pairs, slots, counts[run].take(key))
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zlib.compress(np.stack([(counts >> shift).astype(np.uint8) for shift in (0, 8, 16, 24)]), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.int32)[:, 0]
+    counts = planes[3].astype(np.int32)
+    for plane in planes[2::-1]:
+        counts <<= 8
+        counts |= plane
+    return counts
 
 
 def _merge(table: pa.Table) -> pa.Table:
